@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, quality_rules, substring_dedup, token_counts, token_store, vector_dedup
+from . import bpe_codec, minhash_dedup, quality_rules, substring_dedup, token_counts, token_store, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,16 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_links(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digest(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_token_store, op6_token_counts, op7_vector_dedup, op9_bpe_codec)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_token_store, op6_token_counts, op7_vector_dedup, op8_minhash_dedup, op9_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
