@@ -8,6 +8,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import dialect, relational
+from .plans.adapters import VIEWS
+
 
 @dataclass(frozen=True)
 class Item:
@@ -17,4 +20,8 @@ class Item:
 
 @lru_cache(maxsize=1)
 def catalog() -> dict[str, Item]:
-    return {}
+    found: dict[str, Item] = {}
+    for module in (relational,):
+        for key, text in module.PLANS.items():
+            found[key] = Item(dialect.runner(text, VIEWS), dialect.oracle(text, VIEWS))
+    return found
