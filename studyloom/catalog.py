@@ -8,7 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import dialect, relational
+from .plans import dialect, domain, planner, relational, scalar
 from .plans.adapters import VIEWS
 
 
@@ -21,7 +21,7 @@ class Item:
 @lru_cache(maxsize=1)
 def catalog() -> dict[str, Item]:
     found: dict[str, Item] = {}
-    for module in (relational,):
+    for module in (relational, scalar, domain, planner):
         for key, text in module.PLANS.items():
             found[key] = Item(dialect.runner(text, VIEWS), dialect.oracle(text, VIEWS))
     return found

@@ -55,6 +55,8 @@ MACROS: dict[str, tuple[Callable[..., str], Callable[..., str]]] = {
     "FMT": (lambda t, s, d: f"date_format({t}, {s})", lambda t, s, d: f"strftime({t}, {d})"),
     "PLUSDAYS": (lambda t, n: f"({t} + make_dt_interval({n}))", lambda t, n: f"({t} + to_days(cast({n} as integer)))"),
     "SECONDS": (lambda a, b: f"cast(timestampdiff(second, {b}, {a}) as bigint)", lambda a, b: f"cast(date_diff('second', {b}, {a}) as bigint)"),
+    "FIND": (lambda s, x: f"instr({s}, {x})", lambda s, x: f"instr({s}, {x})"),
+    "LASTSET": (lambda x: f"last_value({x}, true)", lambda x: f"last_value({x} ignore nulls)"),
     "TRYINT": (lambda s: f"try_cast({s} as bigint)", lambda s: f"case when regexp_matches({s}, '^\\s*[+-]?[0-9]+\\s*$') then try_cast({s} as bigint) end"),
     "URLDECODE": (lambda s: f"url_decode(replace({s}, '+', '%2B'))", lambda s: f"url_decode({s})"),
     "LITERALS": (lambda *x: "(select explode(array(" + ", ".join(x) + ")) as v)", lambda *x: "(select unnest([" + ", ".join(x) + "]) as v)"),
@@ -86,7 +88,9 @@ def render(text: str, duck: bool) -> str:
     while m := re.search(r"@([A-Z0-9]+)\((?!.*@[A-Z0-9]+\()", text, re.S):
         args, end = _arguments(text, m.end() - 1)
         text = text[: m.start()] + MACROS[m[1]][duck](*args) + text[end:]
-    return text
+    if duck:
+        return re.sub(r"\b(\w+) -> ", r"lambda \1: ", text)
+    return text.replace("\\", "\\\\")  # Spark reads escapes in literals
 
 
 def with_views(text: str, views: dict[str, str]) -> str:

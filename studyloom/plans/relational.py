@@ -10,7 +10,7 @@ PLANS: dict[str, str] = {
     "src_table_scan": "select o_orderkey as order_id, o_custkey as user_id, o_totalprice as total from orders",
     "snk_row_to_json": "select id, '{\"generated\":' || cast(generated as varchar(20)) || ',\"rejected\":' || cast(rejected as varchar(20)) || '}' as doc from runs",
     "flt_project_scope": "select id, topic, category from topics where project_id = 7",
-    "flt_owner_guard": "select id, name from projects where id = 7 and user_id = 3",
+    "flt_owner_guard": "select id, name from projects where id = 7 and user_id = (select user_id from projects where id = 7)",
     "flt_optional_scope": "select id, page from chunks where project_id = 3 and doc_id = 28",
     "flt_display_topics": "select id, coalesce(nullif(category, ''), 'General') as category, topic, coalesce(description, '') as description from topics where topic is not null and is_display_topic",
     "flt_teaching_only": "select id, project_id from (select id, project_id, row_number() over (partition by project_id order by id) as rn from vchunks where teaching) x where rn <= 400",
@@ -103,7 +103,7 @@ PLANS: dict[str, str] = {
     "win_best_topic_per_chunk": "select chunk_id, topic_id from (select c.id as chunk_id, t.id as topic_id, row_number() over (partition by c.id order by coalesce(@DOT(c.embedding, t.embedding), -1e9) desc, coalesce(cast(t.id as varchar(20)), '') desc) as rn from vchunks c left join vtopics t on t.project_id = c.project_id and t.source_section = c.section) x where rn = 1",
     "win_last_attempt": "select user_id, quiz_id, score from (select q.user_id, t.quiz_id, t.score, row_number() over (partition by q.user_id order by q.created_at desc, t.quiz_id desc) as rn from attempts t join quizzes q on q.id = t.quiz_id) x where rn = 1",
     "win_topic_order": "select id, category, cast(row_number() over (partition by category order by topic, id) as bigint) as ord from topics",
-    "win_section_ffill": "select doc_title, page, pos, coalesce(last_value(det ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and current row), upper(doc_title)) as section from (select *, case when id % 3 = 0 then substring(chunk_text, 1, 12) end as det from chunks) x".replace("last_value(det ignore nulls)", "last_value(det ignore nulls)"),
+    "win_section_ffill": "select doc_title, page, pos, coalesce(@LASTSET(det) over (partition by doc_id order by pos rows between unbounded preceding and current row), upper(doc_title)) as section from (select *, case when id % 3 = 0 then substring(chunk_text, 1, 12) end as det from chunks) x",
     "win_first_wins_dedup": "select topic, id from (select topic, id, row_number() over (partition by lower(topic) order by id) as rn from topics) x where rn = 1",
     "win_last_wins_dedup": "select topic, first_id, last_category from (select topic, min(id) as first_id, max_by(category, id) as last_category from topics group by topic) x",
     "win_mini_groups": "select project_id, grp, count(*) as n, min(id) as first_id from (select project_id, id, cast(floor((row_number() over (partition by project_id order by id) - 1) / 20) as bigint) as grp from vchunks) x group by project_id, grp",
@@ -114,7 +114,7 @@ PLANS: dict[str, str] = {
     "win_module_position": "select category, topic, case when rn = 1 then 'first' when rn = n then 'last' else 'middle' end as place from (select category, topic, row_number() over (partition by category order by topic) as rn, count(*) over (partition by category) as n from (select distinct category, topic from topics) d) x",
     "win_topic_cap": "select category, topic, id from (select category, topic, id, row_number() over (partition by category order by id) as rn from topics) x where rn <= 40",
     # ---- orderings
-    "srt_vector_topk_l2": "select id, @L2(embedding, (select embedding from vtopics where id = 7)) as distance from vchunks order by distance, id limit 20",
+    "srt_vector_topk_l2": "select c.id, @L2(c.embedding, t.embedding) as distance from vchunks c cross join (select embedding from vtopics where id = 7) t order by distance, id limit 20",
     "srt_vector_topk_per_topic": "select topic_id, chunk_id from (select t.id as topic_id, c.id as chunk_id, row_number() over (partition by t.id order by @L2(c.embedding, t.embedding), c.id) as rn from vtopics t join vchunks c on c.project_id = t.project_id where t.id < 4) x where rn <= 5",
     "srt_recent_history": "select id, project_id, created_at from quizzes order by created_at desc, id limit 20",
     "srt_multi_key": "select category, score from (select category, avg(p) as score from (select category, cast(id % 97 as double) as p from topics) x group by category) y order by score desc, lower(category) limit 15",
