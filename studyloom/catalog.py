@@ -8,6 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import queries as programs
 from .plans import dialect, domain, planner, relational, scalar
 from .plans.adapters import VIEWS
 
@@ -24,4 +25,6 @@ def catalog() -> dict[str, Item]:
     for module in (relational, scalar, domain, planner):
         for key, text in module.PLANS.items():
             found[key] = Item(dialect.runner(text, VIEWS), dialect.oracle(text, VIEWS))
+    for function, text in programs.QUERIES.items():
+        found[function.__name__] = Item(function, dialect.oracle(text, VIEWS) if text else None)
     return found

@@ -107,8 +107,8 @@ def with_views(text: str, views: dict[str, str]) -> str:
     if not needed:
         return text
     clauses = ", ".join(f"{n} AS ({views[n]})" for n in needed)
-    m = re.match(r"\s*with\s+", text, re.I)
-    return f"WITH {clauses}" + (f", {text[m.end():]}" if m else f" {text}")
+    m = re.match(r"\s*with\s+(recursive\s+)?", text, re.I)
+    return f"WITH {m[1] or ''}{clauses}, {text[m.end():]}" if m else f"WITH {clauses} {text}"
 
 
 def used_tables(text: str) -> list[str]:
