@@ -1,0 +1,378 @@
+"""The corpus operators against brute force, on small tables with nulls, empty and long texts, ties, repeated rows, empty
+tables and extra columns with clashing names."""
+
+import base64
+import gzip
+import hashlib
+import random
+import re
+import struct
+import urllib.parse
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from studyloom.llm import bpe_codec, components, html_extract, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, token_store, tokens, vector_dedup
+
+tokenizers = pytest.importorskip("tokenizers")
+vocab = pytest.importorskip("public_tokenizers")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, places long, row_hash int, label string, cand string"
+
+
+def made(seed: int = 3, n: int = 60) -> list[tuple]:
+    """Documents with copies, near copies, shared passages, junk, nulls, an empty and a long text, and repeated rows."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdeéß") for _ in range(rnd.randint(1, 6)))
+    text = lambda k: "\n".join(" ".join(word() for _ in range(rnd.randint(5, 30))) for _ in range(k))
+    passage = " ".join(word() for _ in range(70))
+    out = []
+    for i in range(n):
+        t = text(rnd.randint(1, 9))
+        if i % 5 == 1:
+            t += " " + passage + "\t" + text(1)
+        if i % 7 == 2 and out[-1][1]:
+            t = out[-1][1]
+        if i % 9 == 4 and out[-2][1]:
+            w = out[-2][1].split(" ")
+            w[len(w) // 2] = "edited"
+            t = " ".join(w)
+        out.append((i, t))
+    out += [(n, None), (n + 1, ""), (n + 2, " \n\t"), (n + 3, text(400)), (None, out[0][1]), (5, out[5][1]), (5, out[5][1]), (6, "other text under a used id"), (n + 4, "x " * 300)]
+    return [(i, t, "en", rnd.choice(["a", "b", None]), len(t or ""), "w", 1, 2, "l", "c") for i, t in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(made(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df):
+    return df.collect()
+
+
+def test_substrings_equal_brute_force(docs, none):
+    data = [(i, WORD.findall(t or "")) for i, t in ((r.doc_id, r.text) for r in docs.collect())]
+    first = {}
+    for d, w in data:
+        for i in range(len(w) - 49 if d is not None else 0):
+            k = tuple(w[i : i + 50])
+            first[k] = min(first.get(k, d), d)
+    want = Counter()
+    for d, w in data:
+        gone = [False] * len(w)
+        for i in range(len(w) - 49 if d is not None else 0):
+            if first[tuple(w[i : i + 50])] < d:
+                gone[i : i + 50] = [True] * 50
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        want[d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    assert Counter(map(tuple, rows(substring_dedup.substring_digest(docs)))) == want
+    assert sum(k[2] for k in want) > 500
+    assert rows(substring_dedup.substring_digest(none)) == []
+
+
+def test_removal_keeps_columns_and_rows(docs, none):
+    out = substring_dedup.remove_repeats(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.where("n_chars <> coalesce(length(text), 0)").count() == 0
+    assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def test_short_windows_by_parameters(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "x b c d e y")], "doc_id long, text string")
+    out = {r.doc_id: r.n_removed for r in rows(substring_dedup.substring_digest(df, length=4, seed=2))}
+    assert out == {1: 0, 2: 4}
+
+
+def test_quality_counts(docs, none):
+    want = Counter()
+    for r in docs.collect():
+        t = r.text or ""
+        w = WORD.findall(t)
+        c = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        cover = {j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
+        want[r.doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover), failed, not failed] += 1
+    assert Counter(map(tuple, rows(quality_rules.quality_digest(docs)))) == want
+    assert rows(quality_rules.quality_digest(none)) == []
+
+
+def test_boilerplate_lines_go_and_depleted_documents_too(spark):
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    line = "this line stands on every page of the site " * 8
+    own = lambda k: " ".join(word() for _ in range(k))
+    data = [(i, own(80) + "\n" + line, "s") for i in range(30)] + [(100 + i, own(6) + "\n" + line, "s") for i in range(30)]
+    same = own(90)
+    data += [(200 + i, same, "s") for i in range(50)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r.doc_id: r.kept for r in rows(quality_rules.quality_digest(df))}
+    assert all(got[i] for i in range(30)) and not any(got[100 + i] for i in range(30)) and all(got[200 + i] for i in range(50))
+    kept = quality_rules.keep_good(df)
+    assert kept.count() == 80 and kept.where(F.col("text").contains("every page")).count() == 0
+
+
+SECRET = "password=hunter2hunter2"
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda s: urllib.parse.quote(s, safe=""),
+        lambda s: "".join(f"%{b:02X}" for b in s.encode()),
+        lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+        lambda s: "".join(f"&#{ord(c)};" for c in s),
+        lambda s: base64.b64encode(s.encode()).decode(),
+        lambda s: base64.urlsafe_b64encode(gzip.compress(s.encode(), mtime=0)).decode(),
+        lambda s: base64.b64encode(zlib.compress(base64.b64encode(s.encode()))).decode(),
+        lambda s: urllib.parse.quote(base64.b64encode(s.encode()).decode(), safe=""),
+    ],
+)
+def test_wrapped_secrets_are_found_and_masked(wrap):
+    text = "é before " + wrap(SECRET) + " after"
+    spans = secret_scan.all_spans(text)
+    assert [k for _, _, k in spans] == ["assign"]
+    s, e, _ = spans[0]
+    assert 9 <= s < e <= len(text) - 6
+    assert "hunter" not in secret_scan.masked(text) and secret_scan.masked(text).startswith("é before ")
+
+
+def test_decoding_ends(spark):
+    assert secret_scan.all_spans("%25" * 3000) == []
+    bomb = base64.b64encode(zlib.compress(b"a" * (secret_scan.MOST_BYTES + 10))).decode()
+    assert secret_scan.all_spans(bomb) == []
+    df = spark.createDataFrame([(1, None), (1, SECRET), (None, "AKIA" + "A" * 12 + " " + "f" * 32)], "doc_id long, text string")
+    got = {(r.doc_id, r.spans) for r in rows(secret_scan.secret_digest(df))}
+    assert got == {(1, ""), (1, "assign:0:23"), (None, "access:0:16,hex:17:49")}
+    assert secret_scan.mask_secrets(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2048, 2049, 9000])
+def test_segments_round_trip(n):
+    rnd = np.random.default_rng(n)
+    documents = [rnd.integers(0, 50000, k).astype("<u4").tobytes() for k in rnd.multinomial(n, [0.3, 0.3, 0.2, 0.2])]
+    documents[0] = np.minimum(rnd.zipf(1.4, len(documents[0]) // 4), 49000).astype("<u4").tobytes()
+    payload = token_store.write_segment(documents)
+    assert token_store.read_segment(payload) == documents
+    if n > 2048:
+        broken = bytearray(payload)
+        broken[-40] ^= 255
+        with pytest.raises(ValueError):
+            token_store.read_segment(bytes(broken))
+
+
+def test_token_store(docs, none):
+    path = vocab.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    got = sorted(rows(token_store.token_digest(docs, path)), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in docs.collect()), key=lambda d: (d is not None, d or 0))
+    at = 0
+    texts = Counter((r.doc_id, zlib.crc32(np.array(library.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4").tobytes())) for r in docs.collect())
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == texts
+    assert rows(token_store.token_digest(none, path)) == []
+
+
+def test_packing(docs, none):
+    path = vocab.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    whole = Counter((r.doc_id, len(library.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in docs.collect())
+    pieces = rows(packing.pack_documents(docs, path))
+    assert sum(p.length for p in pieces) == sum(n * c for (_, n), c in whole.items())
+    assert {(p.doc_id, p.doc_tokens) for p in pieces} == set(whole)
+    sizes = Counter()
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == sizes[p.sequence_id] and p.length > 0
+        sizes[p.sequence_id] += p.length
+    assert all(n == 2048 or n & (n - 1) == 0 for n in sizes.values()) and max(sizes.values()) <= 2048
+    assert rows(packing.pack_documents(none, path)) == []
+
+
+def test_retrieval_prefers_related_documents():
+    docs = [np.arange(i % 2 * 500, i % 2 * 500 + 100) for i in range(8)]
+    packer = packing.Packer(0)
+    packer.shard(list(range(8)), docs)
+    packer.finish()
+    order = [p[0] for p in packer.done]
+    assert {x % 2 for x in dict.fromkeys(order[:3])} == {0}
+
+
+ODD = list("aabeinrst  \n\t'.,!12éΣİ\xa0\x1c\x85ß") + ["<|endoftext|>", "<|startoftext|>", "'s", "'re", " \n", "the ", "\0", "<|"]
+
+
+def odd_texts(n: int) -> list[str]:
+    rnd = random.Random(9)
+    return ["".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 30))) for _ in range(n)] + ["a" * 3000, " " * 500 + "x", "é" * 700]
+
+
+def test_codec_equals_library():
+    path = vocab.path("word_bpe_49k.json")
+    library, model = tokenizers.Tokenizer.from_file(path), tokens.bpe(path)
+    lexicon = bpe_codec.Lexicon(bpe_codec.compile_lexicon({w: model.encode(w) for w in (b"the", b"then", b"s", b"anther", b"ether")}))
+    assert lexicon.get(b"ether") == model.encode(b"ether") and lexicon.get(b"th") is None and lexicon.get(b"") is None
+    own = bpe_codec.Codec(path, lexicon, 50)
+    for t in odd_texts(700):
+        ids = library.encode(t, add_special_tokens=False).ids
+        parts = [x for x in own.parts(t) if x[0]]
+        assert " ".join(x[1] for x in parts) == " ".join(map(str, ids))
+        assert " ".join(x[2] for x in parts) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_suffixes_are_shared():
+    a = bpe_codec.compile_lexicon({b"walking": [1], b"talking": [2]})
+    assert struct.unpack_from("<5I", a)[1] == 8
+
+
+def test_codec_table(docs, none):
+    path = vocab.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in rows(bpe_codec.encode_digest(docs, path)))
+    want = Counter()
+    for r in docs.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()] += 1
+    assert got == want and rows(bpe_codec.encode_digest(none, path)) == []
+
+
+def test_prefix_tables_are_exact():
+    path = vocab.path("byte_bpe_50k.json")
+    library, counter = tokenizers.Tokenizer.from_file(path), token_counts.counter(path)
+    for t in odd_texts(250)[:250]:
+        want = [len(x.ids) for x in library.encode_batch([t[:i] for i in range(len(t) + 1)], add_special_tokens=False)]
+        assert counter.table(t).tolist() == want
+        budget = max(want) // 2
+        assert token_counts.longest_prefix(counter.table(t).astype("<u4").tobytes(), budget) == max(i for i, n in enumerate(want) if n <= budget)
+
+
+def test_token_counts(docs, none):
+    path = vocab.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    want = Counter()
+    for r in docs.collect():
+        n = len(library.encode(r.text or "", add_special_tokens=False).ids)
+        want[r.doc_id, len((r.text or "").encode()), n, n > 1024] += 1
+    assert Counter(map(tuple, rows(token_counts.count_digest(docs, path)))) == want
+    assert rows(token_counts.count_digest(none, path)) == []
+
+
+def test_vectors_equal_brute_force(spark):
+    rnd = np.random.default_rng(4)
+    base = rnd.normal(size=(40, 16))
+    vectors = [b + rnd.normal(scale=0.12, size=16) for b in base for _ in range(5)] + [base[0]] * 6
+    data = [(i, [float(x) for x in v], "ckey", 7) for i, v in enumerate(vectors)]
+    odd = [(1000, None), (1001, []), (1002, [0.0] * 16), (1003, [float("nan")] * 16), (1004, [None] * 16), (1005, [1.0, 2.0]), (None, data[0][1]), (3, data[3][1])]
+    df = spark.createDataFrame(data + [(i, v, "ckey", 7) for i, v in odd], "vec_id long, embedding array<double>, ckey string, chunk int")
+    ok = [(i, np.asarray(v, np.float64)) for i, v, *_ in df.collect() if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v) and len(v) == 16]
+    m = np.stack([v / np.linalg.norm(v) for _, v in ok])
+    close = m @ m.T >= 0.9
+    np.fill_diagonal(close, False)
+    want = Counter((i, int(n)) for (i, _), n in zip(ok, close.sum(axis=1), strict=True))
+    want += Counter({(i, 0): 1 for i in (1000, 1001, 1002, 1003, 1004, 1005, None)})
+    got = rows(vector_dedup.near_links(df))
+    assert Counter((r.vec_id, r.n_links) for r in got) == want and sum(n * c for (_, n), c in want.items()) > 300
+    assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+    assert rows(vector_dedup.near_links(df.limit(0))) == []
+
+
+def test_vectors_beyond_one_chunk(spark):
+    rnd = np.random.default_rng(5)
+    v = rnd.normal(size=8)
+    data = [(i, [float(x) for x in v + rnd.normal(scale=1e-3, size=8)]) for i in range(90)]
+    got = rows(vector_dedup.near_links(spark.createDataFrame(data, "vec_id long, embedding array<double>"), chunk=8))
+    assert {(r.n_links, r.component_id) for r in got} == {(89, 0)}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 300), (7, 7)]
+    got = {r.node: r.component for r in rows(components.components(spark.createDataFrame(edges, "a long, b long")))}
+    assert got == {**{i: 0 for i in range(31)}, 100: 100, 200: 100, 300: 100}
+
+
+def brute_groups(data: list[tuple[int, str]]) -> dict[int, int]:
+    sets = {}
+    for d, t in data:
+        w = WORD.findall(t or "")
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}
+
+
+def test_near_duplicates(spark, none):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    data = []
+    for g in range(25):
+        w = [word() for _ in range(rnd.randint(100, 300))]
+        data.append((len(data), " ".join(w)))
+        for _ in range(rnd.randint(0, 4) if g else 40):
+            v = list(w)
+            v[rnd.randrange(len(v))] = "edit" + word()
+            data.append((len(data), " ".join(v)))
+    data += [(900, ""), (901, None), (902, "one"), (903, "one"), (904, "two words")]
+    df = spark.createDataFrame([(*x, 1, "z") for x in data] + [(None, data[0][1], 1, "z"), (*data[3], 1, "z")], "doc_id long, text string, bands int, sketch string")
+    got = rows(minhash_dedup.near_digest(df))
+    assert {r.doc_id: r.group_id for r in got if r.doc_id is not None} == brute_groups(data)
+    kept = minhash_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(brute_groups(data).values()))
+    assert rows(minhash_dedup.near_digest(none)) == []
+
+
+def test_similarity_of_repeated_shingles():
+    idf = np.ones(minhash_dedup.DF_SLOTS, np.float32)
+    texts = [b"a b c d e " * 4, b"a b c d e " * 2, b"q r s t u v"]
+    held = minhash_dedup.Shingled(texts, idf)
+    counts = [Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    want = sum((counts[0] & counts[1]).values()) / sum((counts[0] | counts[1]).values())
+    got = minhash_dedup.similarities(held, np.array([0, 2]), np.array([1]), width=2)
+    assert got[:, 0] == pytest.approx([want, 0.0])
+
+
+PAGE = "<html><head><title>t</title></head><body class='with-sidebar'>{}</body></html>"
+LONG = "<p>A rather long paragraph of the story, with many words and hardly a link in it, as it goes on and on.</p>"
+TEXT = "A rather long paragraph of the story, with many words and hardly a link in it, as it goes on and on."
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1>{LONG}<p>To.<p>b <b>c</b>\n d<br>e</article><footer>f</footer>", f"T & U\n\n{TEXT}\n\nTo.\n\nb c d e"),
+        (f"<div id=menu><a href=/>Home</a></div><div class=content><h2>Title</h2>{LONG * 3}<div class=comments><p>{'nice ' * 60}</p></div></div><div class=sidebar>x</div>", "\n\n".join(["Title", TEXT, TEXT, TEXT])),
+        (f"<div><div>{LONG}</div><div>{LONG * 2}</div></div><div><a href=a>one</a> <a href=b>two</a></div>", "\n\n".join([TEXT] * 3)),
+        (f"<main><article>{LONG}<ul><li>a<li>b</ul><form>name <input></form></article><article class=comment><p>hey</p></article></main>", f"{TEXT}\n\na\n\nb"),
+        ("only text", "only text"),
+        ("", ""),
+    ],
+)
+def test_pages(body, want):
+    assert html_extract.extract(PAGE.format(body)) == want
+
+
+def test_page_table(spark):
+    data = [(1, "u", None, "t"), (1, None, "", "t"), (None, "u", PAGE.format(LONG), "t"), (2, "u", "<p>a < b <c", "t"), (3, "u", "<div>" * 3000 + "deep", "t")]
+    got = rows(html_extract.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string, text string")))
+    assert Counter((r.page_id, r.n_chars) for r in got) == Counter([(1, 0), (1, 0), (None, len(TEXT)), (2, 5), (3, 4)])
+    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
