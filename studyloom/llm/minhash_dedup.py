@@ -7,10 +7,13 @@ group of copies nearly weightless against its few edits, and hide the group.) Ea
 consistent weighted samples; documents whose samples agree in a band are candidates, and a link needs a weighted Jaccard
 similarity of ``THRESHOLD`` or more, computed from the texts.
 
-Copies of one text are a class that goes through once. Within a band's bucket a document is compared with the bucket's
-leaders by their samples: those far below the threshold are no candidates, and one that agrees with a leader nearly
-everywhere is its follower and no leader. A follower whose link does not hold is compared with the whole bucket in a second
-round, so it loses no partner. Buckets are cut into salted blocks and only leaders meet across blocks.
+Copies of one text are a class that goes through once. Within a band's bucket the samples of two documents tell roughly how
+similar they are; pairs far below the threshold are no candidates. The candidates of all bands make candidate groups. In a
+group the ``HUBS`` documents nearest to the group's consensus, its most frequent value of each sample, are compared with
+all members, which joins a group of copies at a cost linear in its size. What is outside the group's largest component is
+then compared with every member outside its own, in blocks, so no link is lost. A block's similarities are one matrix
+product over (shingle, occurrence) features, which gives the weighted intersection exactly. Buckets and groups are cut into
+blocks, so that no group meets in one task.
 
 Defined results: null or empty texts have no shingles and are their own group; rows of a null doc_id have a null group and
 are not kept by the digest (the stage keeps them); repeated rows are copies; an empty table gives an empty result; other
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import Rolling, Words, documents_only, durable, fresh, mix, schema, slices
 from .components import components
@@ -34,7 +38,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
 SAMPLES = BANDS * ROWS
 DF_SLOTS = 1 << 18
-CANDIDATE, FOLLOWER, BLOCK = 0.55, 0.95, 4096
+CANDIDATE, BUCKET_BLOCK, HUBS, BLOCK = 0.55, 4096, 4, 128
 _SHIFT = np.uint64(64 - 18)
 
 
@@ -71,8 +75,8 @@ def inverse(frequencies: np.ndarray) -> np.ndarray:
     return (1.0 + np.log((1.0 + frequencies[-1]) / (1.0 + frequencies[:-1]))).astype(np.float32)
 
 
-def shingles(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first shingle of each document and the end, shingle hashes in ascending order, weights)."""
+def shingles(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first shingle of each document and the end, shingle hashes in ascending order, counts, inverse frequencies)."""
     words = Words(texts)
     n = np.diff(words.first)
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
@@ -85,8 +89,8 @@ def shingles(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.lexsort((hashed, doc))
     hashed, doc, mean = hashed[order], doc[order], mean[order]
     new = np.flatnonzero(np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    weight = np.diff(np.concatenate([new, [len(doc)]])) * np.round(mean[new], 4)
-    return np.searchsorted(doc[new], np.arange(len(texts) + 1)), hashed[new], weight
+    count = np.diff(np.concatenate([new, [len(doc)]]))
+    return np.searchsorted(doc[new], np.arange(len(texts) + 1)), hashed[new], count, np.round(mean[new], 4)
 
 
 # ---- samples -----------------------------------------------------------------------------------------------------------
@@ -141,8 +145,8 @@ def _sketches(idf):
         for batch in batches:
             texts = _texts(batch)
             for a, b in slices([len(t) for t in texts], 1 << 20):
-                first, hashed, weight = shingles(texts[a:b], idf.value)
-                got = samples(first, hashed, weight)
+                first, hashed, count, rare = shingles(texts[a:b], idf.value)
+                got = samples(first, hashed, count * rare)
                 bands = got.reshape(len(got), BANDS, ROWS)
                 keys = np.zeros((len(got), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
                 for i in range(ROWS):
@@ -161,9 +165,6 @@ def _sketches(idf):
 
 # ---- candidates --------------------------------------------------------------------------------------------------------
 
-_PAIR = "a long, b long, follower boolean, leader boolean, bucket long, sketch binary"
-
-
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows of equal keys, across batches."""
     held: list[pa.RecordBatch] = []
@@ -183,172 +184,194 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each block of a bucket, and its leaders where the bucket has other blocks. A forced document
-    follows nobody and is compared with all."""
-    for g in _groups(batches, ["bucket", "salt"]):
-        reps = g.column("rep_id").to_pylist()
-        forced = g.column("forced").to_pylist()
-        if len(reps) == 2 and g.column("salts")[0].as_py() == 1:
-            marks = np.frombuffer(b"".join(g.column("sketch").to_pylist()), "<u2").reshape(2, SAMPLES)
-            if reps[0] != reps[1] and (marks[0] == marks[1]).mean() >= CANDIDATE:
-                yield _pairs([(min(reps), max(reps), False)], [])
-            continue
-        raw = g.column("sketch").to_pylist()
-        marks = np.frombuffer(b"".join(raw), "<u2").reshape(len(reps), SAMPLES)
-        lead, pairs, any_forced = [0], [], any(forced)
-        pool = np.empty_like(marks)
-        pool[0] = marks[0]
-        for k in range(1, len(reps)):
-            if forced[k]:
-                others = np.flatnonzero((marks[:k] == marks[k]).mean(axis=1) >= CANDIDATE)
-                pairs += [(reps[j], reps[k], False) for j in others.tolist()]
-                pool[len(lead)] = marks[k]
-                lead.append(k)
-                continue
-            like = (pool[: len(lead)] == marks[k]).mean(axis=1)
-            best = int(like.argmax())
-            follows = like[best] >= FOLLOWER and not forced[lead[best]]
-            pairs += [(reps[lead[j]], reps[k], follows and j == best) for j in np.flatnonzero(like >= CANDIDATE).tolist()]
-            if any_forced:
-                pairs += [(reps[j], reps[k], False) for j in np.flatnonzero((marks[:k] == marks[k]).mean(axis=1) >= CANDIDATE).tolist() if forced[j]]
-            if not follows:
-                pool[len(lead)] = marks[k]
-                lead.append(k)
-        leaders = [(reps[k], g.column("bucket")[0].as_py(), raw[k]) for k in lead] if g.column("salts")[0].as_py() > 1 else []
-        yield _pairs([(min(a, b), max(a, b), f) for a, b, f in pairs if a != b], leaders)
-
-
-def _pairs(pairs: list[tuple], leaders: list[tuple]) -> pa.RecordBatch:
-    n, m = len(pairs), len(leaders)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([p[0] for p in pairs] + [x[0] for x in leaders], pa.int64()),
-            pa.array([p[1] for p in pairs] + [None] * m, pa.int64()),
-            pa.array([p[2] for p in pairs] + [None] * m, pa.bool_()),
-            pa.array([False] * n + [True] * m, pa.bool_()),
-            pa.array([None] * n + [x[1] for x in leaders], pa.int64()),
-            pa.array([None] * n + [x[2] for x in leaders], pa.binary()),
-        ],
-        ["a", "b", "follower", "leader", "bucket", "sketch"],
-    )
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs between the leaders of two blocks."""
+def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the pairs, enough to keep their components."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return kept
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket's block, or of two of its blocks, whose samples agree enough; a spanning forest of them."""
     for g in _groups(batches, ["bucket", "i", "j"]):
-        role, reps = g.column("role").to_numpy(), g.column("a").to_numpy()
+        reps, role = g.column("rep_id").to_pylist(), g.column("role").to_numpy()
         marks = np.frombuffer(b"".join(g.column("sketch").to_pylist()), "<u2").reshape(len(reps), SAMPLES)
-        left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        for k in left.tolist():
-            near = right[(marks[right] == marks[k]).mean(axis=1) >= CANDIDATE]
-            if len(near):
-                x, y = np.full(len(near), reps[k]), reps[near]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-
-def candidates(buckets: DataFrame, forced: DataFrame | None = None) -> DataFrame:
-    """a, b, follower: pairs worth verifying. buckets: (bucket, rep_id, sketch, salts, salt)."""
-    if forced is None:
-        rows = buckets.withColumn("forced", F.lit(False))
-    else:
-        marked = buckets.join(forced.select(F.col("b").alias("rep_id"), F.lit(True).alias("forced")).distinct(), "rep_id", "left")
-        marked = marked.withColumn("forced", F.coalesce("forced", F.lit(False)))
-        rows = marked.join(marked.where("forced").select("bucket").distinct(), "bucket", "left_semi")
-        every = F.when(F.col("forced"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("salt"))
-        rows = rows.withColumn("salt", F.explode(every.cast("array<int>")))
-    rows = rows.select("bucket", "salt", "salts", "rep_id", "sketch", "forced").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "rep_id")
-    found = durable(rows.mapInArrow(_in_blocks, schema(_PAIR)))
-    sizes = buckets.where("salts > 1").groupBy("bucket").agg(F.max("salts").alias("salts"))
-    lead = found.where("leader").join(sizes, "bucket").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-    targets = F.filter(F.sequence(F.lit(0), F.col("salts") - 1), lambda j: j != F.col("salt"))
-    spread = lead.select("bucket", "a", "sketch", "salt", F.explode(targets).alias("t"))
-    spread = spread.select("bucket", "a", "sketch", F.least("salt", "t").alias("i"), F.greatest("salt", "t").alias("j"), (F.col("t") < F.col("salt")).cast("int").alias("role"))
-    cross = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across, schema("a long, b long"))
-    pairs = found.where("not leader").select("a", "b", "follower").unionByName(cross.withColumn("follower", F.lit(False)))
-    return pairs.groupBy("a", "b").agg(F.bool_or("follower").alias("follower"))
+        within = g.column("i")[0].as_py() == g.column("j")[0].as_py()
+        right = np.arange(len(reps)) if within else np.flatnonzero(role == 1)
+        pairs = []
+        for k in range(len(reps)) if within else np.flatnonzero(role == 0).tolist():
+            others = right[k + 1 :] if within else right
+            near = others[(marks[others] == marks[k]).sum(axis=1) >= CANDIDATE * SAMPLES]
+            pairs += [(reps[k], reps[j]) for j in near.tolist()]
+            if len(pairs) > 100_000:
+                pairs = _forest(pairs)
+        yield _edges(_forest(pairs))
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """a, b: links between classes (rep_id, bands, sketch) that make the candidate groups."""
+    entries = classes.select("rep_id", F.explode("bands").alias("bucket"))
+    full = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    held = entries.join(full, "bucket").join(classes.select("rep_id", "sketch"), "rep_id")
+    return _in_pairs(held.withColumn("block", F.pmod(F.xxhash64("rep_id"), F.col("blocks")).cast("int")), "bucket").mapInArrow(_alike, schema("a long, b long"))
 
 
-# ---- verification ------------------------------------------------------------------------------------------------------
+def _in_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of each key's blocks sent to every pair (i <= j) of them; role 1 is the side of j."""
+    targets = F.sequence(F.lit(0), F.col("blocks") - 1)
+    sent = rows.withColumn("t", F.explode(targets)).withColumns({"i": F.least("block", "t"), "j": F.greatest("block", "t"), "role": (F.col("t") < F.col("block")).cast("int")})
+    return sent.drop("t", "blocks", "block").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
-    at = np.minimum(np.searchsorted(h1, h2), max(len(h1) - 1, 0))
-    same = h1[at] == h2 if len(h1) else np.zeros(len(h2), bool)
-    both = float(np.minimum(w1[at[same]], w2[same]).sum()) if len(h1) else 0.0
-    total = float(w1.sum() + w2.sum()) - both
-    return both / total if total else 0.0
+# ---- verification ------------------------------------------------------------------------------------------------------
+
 
+class Shingled:
+    """The (shingle, occurrence) features of some documents: the n-th occurrence of a shingle is a feature of its own, so that
+    common features make up the smaller count."""
+
+    def __init__(self, texts: list[bytes], idf: np.ndarray):
+        doc, feature, rare = [], [], []
+        for s, e in slices([len(t) for t in texts], 1 << 20):
+            first, hashed, count, weight = shingles(texts[s:e], idf)
+            of = np.repeat(np.arange(s, e), np.diff(first))
+            nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            doc.append(np.repeat(of, count))
+            feature.append(mix(np.repeat(hashed, count) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            rare.append(np.repeat(weight, count))
+        self.doc = np.concatenate(doc) if doc else np.zeros(0, np.int64)
+        self.feature = np.concatenate(feature) if feature else np.zeros(0, np.uint64)
+        self.rare = np.concatenate(rare) if rare else np.zeros(0)
+        self.total = np.bincount(self.doc, self.rare, minlength=len(texts))
+
+
+def similarities(texts: Shingled, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarity of each left document with each right one, by a matrix product over the features that both
+    sides have, ``width`` of them at a time."""
+    row = np.full(len(texts.total), -1)
+    row[left] = np.arange(len(left))
+    column = np.full(len(texts.total), -1)
+    column[right] = np.arange(len(right))
+    of_left, of_right = row[texts.doc] >= 0, column[texts.doc] >= 0
+    common = np.intersect1d(texts.feature[of_left], texts.feature[of_right])
+    both = np.zeros((len(left), len(right)))
+    at = np.minimum(np.searchsorted(common, texts.feature), max(len(common) - 1, 0))
+    has = common[at] == texts.feature if len(common) else np.zeros(len(at), bool)
+    for s in range(0, len(common), width):
+        some = has & (at >= s) & (at < s + width)
+        a, b = np.zeros((len(left), width)), np.zeros((len(right), width))
+        x, y = some & of_left, some & of_right
+        a[row[texts.doc[x]], at[x] - s] = texts.rare[x]
+        b[column[texts.doc[y]], at[y] - s] = 1.0
+        both += a @ b.T
+    union = texts.total[left][:, None] + texts.total[right][None, :] - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+
+
+def _linked(idf):
+    """Links of role 0 with role 1 in each block, left out where both have one label; a spanning forest of them."""
 
-def _verify(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["a", "salt"]):
-            own, need = None, g.column("need").to_pylist()
-            texts = g.column("text").cast(pa.binary()).to_pylist()
-            a = g.column("a")[0].as_py()
-            ids, sims = [], []
-            for s, e in slices([len(t) for t in texts], 1 << 20):
-                first, hashed, weight = shingles(texts[s:e], idf.value)
-                for k in range(s, e):
-                    lo, hi = first[k - s], first[k - s + 1]
-                    if need[k] == a:
-                        own = hashed[lo:hi], weight[lo:hi]
-                    else:
-                        ids.append(need[k])
-                        sims.append(weighted_jaccard(*own, hashed[lo:hi], weight[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array([a] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
+        for g in _groups(batches, ["cand", "i", "j"]):
+            role, reps, labels = g.column("role").to_numpy(), g.column("rep_id").to_numpy(), g.column("label").to_numpy()
+            left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+            if not len(left) or not len(right):
+                continue
+            texts = Shingled([t or b"" for t in g.column("text").cast(pa.binary()).to_pylist()], idf.value)
+            close = similarities(texts, left, right) >= THRESHOLD - 1e-12
+            close &= labels[left][:, None] != labels[right][None, :]
+            a, b = np.nonzero(close)
+            yield _edges(_forest(list(zip(reps[left[a]].tolist(), reps[right[b]].tolist(), strict=True))))
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """a, b, similarity of the pairs; the text of ``a`` goes once to each block of its partners."""
-    salts = 64
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / 1000).cast("int").alias("blocks"))
-    salted = salted.join(size, "a").withColumn("salt", F.pmod(F.col("salt"), F.col("blocks")))
-    need = salted.select("a", "salt", F.col("b").alias("need")).unionByName(salted.select("a", "salt", F.col("a").alias("need")).distinct())
-    rows = texts.join(need, texts.rep_id == need.need).select("a", "salt", "need", "text")
-    first = F.when(F.col("need") == F.col("a"), 0).otherwise(1)
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", first, "need")
-    return durable(rows.mapInArrow(_verify(idf), schema("a long, b long, similarity double")))
+def _compare(left: DataFrame, right: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Links between left (cand, rep_id, label) and right members of a candidate group, by blocks of both."""
+    sides = {}
+    for name, side in (("l", left), ("r", right)):
+        size = side.groupBy("cand").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{name}_blocks"))
+        sides[name] = side, size
+    sizes = sides["l"][1].join(sides["r"][1], "cand")
+    rows = []
+    for name, other, number in (("l", "r", 0), ("r", "l", 1)):
+        own = sides[name][0].join(sizes, "cand")
+        block, every = F.pmod(F.xxhash64("rep_id"), F.col(f"{name}_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
+        i, j = ("own", "t") if number == 0 else ("t", "own")
+        rows.append(own.withColumns({"own": block}).withColumn("t", every).select("cand", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(number).alias("role"), "rep_id", "label"))
+    need = rows[0].unionByName(rows[1])
+    whole = need.join(texts, "rep_id").repartition("cand", "i", "j").sortWithinPartitions("cand", "i", "j")
+    return whole.select("cand", "i", "j", "role", "rep_id", "label", "text").mapInArrow(_linked(idf), schema("a long, b long"))
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """cand, rep_id of the members that agree most with the most frequent samples of their group."""
+    each = members.select("cand", "rep_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.substring("sketch", 2 * k + 1, 2))).alias("k", "value"))
+    counts = each.groupBy("cand", "k", "value").agg(F.count("*").alias("n"))
+    most = counts.groupBy("cand", "k").agg(F.max(F.struct("n", "value")).alias("m")).select("cand", "k", F.col("m.value").alias("value"))
+    score = each.join(most, ["cand", "k", "value"], "left_semi").groupBy("cand", "rep_id").agg(F.count("*").alias("agree"))
+    best = members.select("cand", "rep_id").join(score, ["cand", "rep_id"], "left")
+    order = W.partitionBy("cand").orderBy(F.desc(F.coalesce("agree", F.lit(0))), "rep_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS).select("cand", "rep_id")
+
+
+def links(classes: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """a, b: verified links that keep the components of all links between candidates."""
+    label = components(candidates(classes))
+    members = durable(label.select(F.col("node").alias("rep_id"), F.col("component").alias("cand")).join(classes.select("rep_id", "sketch"), "rep_id"))
+    texts = durable(texts.join(members.select("rep_id", "cand"), "rep_id").select("rep_id", "text"))
+    own = members.select("cand", "rep_id", F.col("rep_id").alias("label"))
+    hubs = durable(_hubs(members))
+    found = durable(_compare(own.join(hubs, ["cand", "rep_id"], "left_semi"), own, texts, idf))
+    part = components(found)
+    now = durable(members.join(part, F.col("rep_id") == F.col("node"), "left").select("cand", "rep_id", F.coalesce("component", "rep_id").alias("label")))
+    sizes = now.groupBy("cand", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cand").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("size")).where(F.col("size") > HUBS).select("cand", F.col("m.label").alias("main"))
+    outside = now.join(main, "cand").where("label <> main").drop("main")
+    return found.unionByName(durable(_compare(outside, now, texts, idf)))
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, row_hash, class_id (smallest doc_id of the same text), n_links (near texts that were verified), group_id
-    (smallest doc_id reachable by links) of every row."""
+    """doc_id, row_hash, class_id (smallest doc_id of the same text), group_id (smallest doc_id reachable by links) of every
+    row."""
     spark = docs.sparkSession
     base = documents_only(docs).withColumn("ckey", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     idf = spark.sparkContext.broadcast(inverse(word_frequencies(base)))
     rows = durable(base.mapInArrow(_sketches(idf), schema(_SKETCH)))
     named = rows.where("doc_id is not null and bands is not null")
-    classes = durable(named.groupBy("ckey").agg(F.min(F.struct("doc_id", "row_hash", "bands", "sketch")).alias("x")).select("ckey", F.col("x.doc_id").alias("rep_id"), F.col("x.row_hash").alias("rep_row"), "x.bands", "x.sketch"))
-    entries = classes.select("rep_id", F.explode("bands").alias("bucket"))
-    full = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("salts"))
-    buckets = entries.join(full, "bucket").join(classes.select("rep_id", "sketch"), "rep_id").withColumn("salt", F.pmod(F.xxhash64("rep_id"), F.col("salts")).cast("int"))
-    buckets = durable(buckets)
-    texts = base.join(classes.select("rep_id", "rep_row"), (F.col("doc_id") == F.col("rep_id")) & (F.col("row_hash") == F.col("rep_row")))
-    texts = texts.select("rep_id", "text")
-    pairs = durable(candidates(buckets))
-    sims = verified(pairs, texts, idf)
-    failed = sims.where(F.col("similarity") < THRESHOLD).join(pairs.where("follower"), ["a", "b"])
-    links = sims.where(F.col("similarity") >= THRESHOLD).select("a", "b")
-    failed = durable(failed.select("b").unionByName(failed.select(F.col("a").alias("b"))).distinct())
-    if not failed.isEmpty():
-        more = candidates(buckets, failed).select("a", "b").join(sims, ["a", "b"], "left_anti")
-        links = links.unionByName(verified(more, texts, idf).where(F.col("similarity") >= THRESHOLD).select("a", "b"))
-    label = components(links)
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
-    per = classes.select("ckey", "rep_id").join(degree, F.col("rep_id") == F.col("a"), "left").join(label, F.col("rep_id") == F.col("node"), "left")
-    per = per.select("ckey", "rep_id", "n_links", F.coalesce("component", "rep_id").alias("component"))
+    first = F.min(F.struct("doc_id", "row_hash", "bands", "sketch")).alias("x")
+    classes = durable(named.groupBy("ckey").agg(first).select("ckey", F.col("x.doc_id").alias("rep_id"), F.col("x.row_hash").alias("rep_row"), "x.bands", "x.sketch"))
+    # one text stands for each doc_id, should an id have several rows
+    single = classes.groupBy("rep_id").agg(F.min("rep_row").alias("rep_row"))
+    unique = classes.join(single, ["rep_id", "rep_row"], "left_semi").dropDuplicates(["rep_id"])
+    texts = base.join(single, (F.col("doc_id") == F.col("rep_id")) & (F.col("row_hash") == F.col("rep_row"))).select("rep_id", "text")
+    label = components(links(unique, texts, idf))
+    per = classes.select("ckey", "rep_id").join(label, F.col("rep_id") == F.col("node"), "left").select("ckey", "rep_id", F.coalesce("component", "rep_id").alias("component"))
     key = F.when(F.col("doc_id").isNotNull() & F.col("bands").isNotNull(), F.col("ckey"))
     out = rows.select("doc_id", "row_hash", key.alias("ckey")).join(per, "ckey", "left")
-    return out.select("doc_id", "row_hash", F.coalesce("rep_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "doc_id").alias("group_id"))
+    return out.select("doc_id", "row_hash", F.coalesce("rep_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("group_id"))
 
 
 def near_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, group_id, kept (the document of its group with the smallest doc_id)."""
-    out = groups(docs).select("doc_id", "class_id", "n_links", "group_id")
+    """doc_id, class_id, group_id, kept (the document of its group with the smallest doc_id)."""
+    out = groups(docs).select("doc_id", "class_id", "group_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(False)))
 
 

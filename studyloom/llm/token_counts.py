@@ -54,11 +54,16 @@ class PrefixCounter:
     def prefixes(self, piece: bytes) -> list[int]:
         """Counts of the prefixes of one pre-token, from the empty one on; one value a byte."""
         counts, last = [0], [-1]
-        ids, longest = self.ids, self.longest
+        get, known, longest = self.ids.get, self.pairs.get, self.longest
         for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(piece[start:end])
-                if token is not None and (self.fits(last[start], token) if start else self._alone(token)):
+            for start in range(end - longest if end > longest else 0, end):
+                token = get(piece[start:end])
+                if token is None:
+                    continue
+                fits = known((last[start], token))
+                if fits is None:
+                    fits = self.fits(last[start], token) if start else self._alone(token)
+                if fits:
                     last.append(token)
                     counts.append(counts[start] + 1)
                     break

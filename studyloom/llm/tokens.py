@@ -80,7 +80,9 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in held["added_tokens"]}
         self.suffix = model.get("end_of_word_suffix") or ""
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.rank = {(self.vocab[a], self.vocab[b]): (i, self.vocab[a + b]) for i, (a, b) in enumerate(pairs)}
+        merges = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
+        self.rank = {(a, b): i for i, (a, b, _) in enumerate(merges)}
+        self.made = [c for _, _, c in merges]  # by rank
         letters = byte_letters()
         self.inner = [self.vocab.get(x, -1) for x in letters]
         self.last = [self.vocab.get(x + self.suffix, -1) for x in letters]
@@ -94,34 +96,37 @@ class Bpe:
         return self._short(ids) if len(ids) <= 48 else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        rank = self.rank
-        while len(ids) > 1:
-            best, at, made = None, 0, 0
-            for i in range(len(ids) - 1):
-                found = rank.get((ids[i], ids[i + 1]))
-                if found is not None and (best is None or found[0] < best):
-                    best, made, at = found[0], found[1], i
-            if best is None:
+        get, made, none = self.rank.get, self.made, len(self.made)
+        found = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best == none:
                 break
-            ids[at : at + 2] = [made]
+            at = found.index(best)
+            new = ids[at] = made[best]
+            del ids[at + 1], found[at]
+            if at:
+                found[at - 1] = get((ids[at - 1], new), none)
+            if at < len(found):
+                found[at] = get((new, ids[at + 1]), none)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
         n, rank = len(ids), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j], after[i] = rank[a, b][1], -2, after[j]
+            ids[i], ids[j], after[i] = self.made[best], -2, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for left in (before[i], i):
-                if left >= 0 and after[left] < n and (r := rank.get((ids[left], ids[after[left]]))):
-                    heapq.heappush(heap, (r[0], left, ids[left], ids[after[left]]))
+                if left >= 0 and after[left] < n and (r := rank.get((ids[left], ids[after[left]]))) is not None:
+                    heapq.heappush(heap, (r, left, ids[left], ids[after[left]]))
         return [x for x in ids if x != -2]
 
 
@@ -140,16 +145,21 @@ def word_pretokens(unit: str) -> list[bytes]:
 
 
 class Memo(dict):
-    """unit -> value, made when first asked for; emptied when it holds ``most`` units, which bounds a worker's memory."""
+    """unit -> value, made when first asked for. Two generations of ``most`` units at most bound a worker's memory: what is
+    asked for again moves to the younger one, the rest is forgotten with the older one."""
 
     def __init__(self, make: Callable[[str], object], most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, unit: str):
+        value = self.older.get(unit)
+        if value is None:
+            value = self.make(unit)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[unit] = self.make(unit)
+        self[unit] = value
         return value
 
 
