@@ -1,10 +1,9 @@
 """Quality rules by cross-document line frequency, with DataFrame functions only.
 
 Each document's lines are normalised (lower case, digits and white space collapsed) and hashed; per host (``source``) the
-documents that hold a line are counted. A line is boilerplate if at least ``line_docs`` documents of one host hold it in
-contexts of their own: copies of a document, which share nearly all text, would make every line of theirs look frequent,
-so a document counts by its context, the smallest hash of its three-word windows, and a line must have ``own_share`` as
-many contexts as documents. Boilerplate lines are removed, and a document of whose words less than ``least_left`` remain
+distinct documents that hold a line are counted. A line is boilerplate if at least ``line_docs`` distinct documents of one
+host hold it; documents of equal words (case and white space aside) are copies and count once, as copies alone would make
+every line of theirs look frequent. Near copies are documents of their own. Boilerplate lines are removed, and a document of whose words less than ``least_left`` remain
 is rejected as depleted. All counts cover all documents; the frequent (host, line) groups are aggregated before and after
 the shuffle, never gathered.
 
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import documents_only, durable, fresh, recounted
 
-LINE_DOCS, OWN_SHARE, LEAST_LEFT = 20, 0.5, 0.2
+LINE_DOCS, LEAST_LEFT = 20, 0.2
 _SPACES = " \t\n\u000b\f\r"
 _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
@@ -77,31 +76,29 @@ def _counts(text: Column, words: Column, windows: Column) -> list[Column]:
         (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _covered(windows).alias("n_repeat_words"),
-        F.array_min(windows).alias("context"),
+        F.xxhash64(F.transform(words, F.lower)).alias("content"),
         F.transform(lines, lambda x: F.struct(line_key(x).alias("key"), (F.length(x) - F.length(F.translate(x, " \t", "")) + 1).alias("size"))).alias("lines"),
     ]
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """The base counts of each document, its context and the keys and sizes of its lines; one pass over the texts."""
+    """The base counts of each document, the hash of its words and the keys and sizes of its lines; one pass over the texts."""
     base = documents_only(docs, F.col("source").cast("string").alias("host")).withColumn("text", F.coalesce("text", F.lit("")))
     split = base.withColumn("words", words_of(F.col("text")))
     cut = split.withColumn("windows", _windows(F.col("words")))
     return durable(cut.select("doc_id", "row_hash", "host", *_counts(F.col("text"), F.col("words"), F.col("windows"))))
 
 
-def frequent_lines(rows: DataFrame, line_docs: int = LINE_DOCS, own_share: float = OWN_SHARE) -> DataFrame:
+def frequent_lines(rows: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
     """host, key of the boilerplate lines."""
-    held = rows.select("host", "doc_id", "row_hash", "context", F.explode(F.array_distinct(F.transform("lines", lambda x: x.key))).alias("key"))
-    contexts = held.groupBy("host", "key", "context").agg(F.count("*").alias("n"))
-    counted = contexts.groupBy("host", "key").agg(F.count("context").alias("own"), F.sum("n").alias("docs"))
-    return counted.where((F.col("own") >= line_docs) & (F.col("own") >= F.lit(own_share) * F.col("docs"))).select("host", "key")
+    held = rows.select("host", "content", F.explode(F.array_distinct(F.transform("lines", lambda x: x.key))).alias("key")).distinct()
+    return held.groupBy("host", "key").agg(F.count("*").alias("docs")).where(F.col("docs") >= line_docs).select("host", "key")
 
 
-def verdicts(docs: DataFrame, line_docs: int = LINE_DOCS, own_share: float = OWN_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def verdicts(docs: DataFrame, line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """One row for each document: the base counts, base_failed, kept, the share of its words left, its removed lines."""
     rows = measured(docs)
-    bad = frequent_lines(rows, line_docs, own_share)
+    bad = frequent_lines(rows, line_docs)
     held = rows.select("doc_id", "row_hash", "host", F.explode("lines").alias("line")).select("doc_id", "row_hash", "host", F.col("line.key").alias("key"))
     bad = bad.select(F.col("host").alias("bad_host"), F.col("key").alias("bad_key"))
     lost = held.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("key") == F.col("bad_key")))
@@ -119,11 +116,11 @@ def quality_digest(docs: DataFrame) -> DataFrame:
     return verdicts(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, line_docs: int = LINE_DOCS, own_share: float = OWN_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def keep_good(docs: DataFrame, line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """The documents that pass, all columns, without their boilerplate lines; n_chars follows the text."""
     columns = docs.columns
     row, ident, cut, host = (fresh(x, columns) for x in ("row_hash", "ident", "cut_lines", "host"))
-    good = verdicts(docs, line_docs, own_share, least_left).where("kept").dropDuplicates(["doc_id", "row_hash", "host"])
+    good = verdicts(docs, line_docs, least_left).where("kept").dropDuplicates(["doc_id", "row_hash", "host"])
     good = good.select(F.col("doc_id").alias(ident), F.col("row_hash").alias(row), F.col("host").alias(host), F.col("cut_lines").alias(cut))
     keyed = docs.withColumns({row: F.xxhash64(F.coalesce("text", F.lit(""))), ident: F.col("doc_id").cast("long"), host: F.col("source").cast("string")})
     joined = keyed.join(good, keyed[ident].eqNullSafe(good[ident]) & (keyed[row] == good[row]) & keyed[host].eqNullSafe(good[host]))

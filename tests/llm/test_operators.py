@@ -121,6 +121,19 @@ def test_boilerplate_lines_go_and_depleted_documents_too(spark):
     assert kept.count() == 80 and kept.where(F.col("text").contains("every page")).count() == 0
 
 
+def test_long_boilerplate_counts_on_every_page(spark):
+    rnd = random.Random(2)
+    own = lambda k: " ".join("".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(k))
+    line, menu, copied = own(100), own(30), own(90)
+    data = [(i, own(15) + "\n" + line + "\n" + menu, "s") for i in range(40)]
+    data += [(100 + i, copied.upper() + "\n" + line, "s") for i in range(50)] + [(200 + i, own(80) + "\n" + menu, "t") for i in range(19)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r.doc_id: r.kept for r in rows(quality_rules.quality_digest(df))}
+    assert not any(got[i] for i in range(40)) and all(got[i] for i in got if i >= 100)
+    kept = {r.doc_id: r.text for r in rows(quality_rules.keep_good(df))}
+    assert all(kept[100 + i] == copied.upper() for i in range(50)) and all(menu in kept[200 + i] for i in range(19))
+
+
 SECRET = "password=hunter2hunter2"
 
 
