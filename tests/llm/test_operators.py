@@ -159,6 +159,39 @@ def test_wrapped_secrets_are_found_and_masked(wrap):
     assert "hunter" not in secret_scan.masked(text) and secret_scan.masked(text).startswith("é before ")
 
 
+_NOISE = bytes(random.Random(7).randbytes(90))
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda s: base64.b64encode(f"cl\u00e9\u00a0: {s}\u3000\0\x0c".encode()).decode(),
+        lambda s: base64.b64encode(f"cl\u00e9 {s}".encode("latin-1")).decode(),
+        lambda s: base64.b64encode(gzip.compress(f"\u202f{s}\0".encode())).decode(),
+        lambda s: base64.encodebytes(gzip.compress(_NOISE + s.encode())).decode().strip(),
+        lambda s: base64.encodebytes(b"x" * 50 + s.encode() + b" " * 60).decode().strip().replace("\n", "\\r\\n"),
+        lambda s: "a/" + base64.b64encode(s.encode()).decode(),
+        lambda s: "abc" + base64.b64encode(gzip.compress(s.encode())).decode(),
+        lambda s: urllib.parse.quote(gzip.compress(s.encode())),
+        lambda s: "".join(f"\\x{b:02x}" for b in zlib.compress(s.encode())),
+        lambda s: repr(zlib.compress(_NOISE + s.encode())),
+        lambda s: base64.b64encode(gzip.compress(b"first member") + gzip.compress(s.encode())).decode(),
+        lambda s: base64.b64encode(gzip.compress(s.encode())[:-4]).decode(),
+    ],
+)
+def test_any_bytes_are_scanned(wrap):
+    text = "\u00e9 before " + wrap(SECRET) + " after"
+    spans = secret_scan.all_spans(text)
+    assert {k for _, _, k in spans} == {"assign"}
+    assert secret_scan.all_spans(secret_scan.masked(text)) == [] and secret_scan.masked(text).endswith(" after")
+
+
+def test_secrets_in_large_streams():
+    body = b"0123456789 " * (6 << 20)
+    text = base64.b64encode(zlib.compress(body + b" " + SECRET.encode(), 1)).decode()
+    assert len(body) > secret_scan.MOST_BYTES and [k for _, _, k in secret_scan.all_spans(text)] == ["assign"]
+
+
 def test_decoding_ends(spark):
     assert secret_scan.all_spans("%25" * 3000) == []
     bomb = base64.b64encode(zlib.compress(b"a" * (secret_scan.MOST_BYTES + 10))).decode()
