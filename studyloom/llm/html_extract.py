@@ -2,7 +2,9 @@
 
 The page is parsed into a tree (unclosed paragraphs, items, rows and void tags as browsers close them). Subtrees that are
 no article by their tag, role or class names go: scripts, styles, menus, page headers, footers, sidebars, notices, adverts,
-forms and reader comments; an element around the article is never one of them. For every remaining node the composite text
+forms and reader comments. Forms and class names are judged only after the densities of the page without the others are
+known: an element around the core (where no article or main tag marks the article), or one that holds most of the text
+outside links, stays whatever it is called, and if nothing would be left, all of them stay. For every remaining node the composite text
 density is its characters per tag, adjusted by the share of characters and tags in links against that of the whole body.
 The node whose children's densities have the largest sum is the core; the threshold is the least density on its path to
 the body; every node that reaches it yields the node of largest sum beneath it. The text is taken from the article element
@@ -148,8 +150,13 @@ def _named(node: Node) -> bool:
     return False
 
 
-def _prune(nodes: list[Node]) -> None:
-    """Mark the subtrees that are no article."""
+def _prune(nodes: list[Node], names: bool, kept: frozenset[int] = frozenset()) -> bool:
+    """Mark the subtrees that are no article, by forms and names (but for the nodes ``kept``) only if ``names``; whether
+    an article or main tag marks the article."""
+    for node in nodes:
+        node.chars = node.links = node.tags = node.link_tags = 0
+        node.density = node.total = 0.0
+        node.drop, node.best = False, node
     for node in nodes[1:]:
         if node.tag in ("article", "main") and not _named(node) and not any(_comment(n) for n in _above(node)):
             up = node
@@ -164,14 +171,39 @@ def _prune(nodes: list[Node]) -> None:
         elif node.attrs.get("hidden") is not None or node.attrs.get("aria-hidden") == "true" and node.tag not in INLINE:
             node.drop = True
         elif not node.core:
-            other = node.tag in NO_ARTICLE or node.attrs.get("role", "").lower() in ROLES or _named(node)
+            called = (names or _comment(node)) and id(node) not in kept and _named(node)
+            role = node.attrs.get("role", "").lower()
+            form = node.tag == "form" or role == "form"
+            other = called or (names and id(node) not in kept if form else node.tag in NO_ARTICLE or role in ROLES)
             if node.tag == "header":
-                other = not any(n.tag in ("article", "main") for n in _above(node)) or _named(node)
+                other = not any(n.tag in ("article", "main") for n in _above(node)) or called
             node.drop = other and node.tag not in ("h1",)
         elif node.tag in ("nav", "aside", "footer", "form", "dialog"):
             node.drop = False
+    marked = any(n.core for n in nodes)
     for node in nodes:
         node.core = False
+    return marked
+
+
+def _pruned(nodes: list[Node]) -> Node:
+    """Mark the subtrees that are no article and measure the rest; returns the body (or the root)."""
+    titled: set[int] = set()  # a wrapper around the page's title is no list of comments
+    for node in nodes:
+        if node.tag == "h1":
+            titled.update(id(n) for n in _above(node))
+    marked = _prune(nodes, False, frozenset(titled))
+    body = _measure(nodes)
+    _settle(nodes)
+    most = body.chars - body.links
+    kept = {id(n) for n in nodes if not n.drop and 2 * (n.chars - n.links) > most}
+    if not marked:
+        kept |= {id(n) for n in (body.best, *_above(body.best))}
+    _prune(nodes, True, frozenset(kept))
+    if not _measure(nodes).chars:
+        _prune(nodes, False, frozenset(titled))
+        _measure(nodes)
+    return body
 
 
 def _above(node: Node) -> Iterator[Node]:
@@ -264,8 +296,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root, nodes = parse(page)
-    _prune(nodes)
-    body = _measure(nodes)
+    body = _pruned(nodes)
     if not body.chars:
         return ""
     top, threshold = _content(body, nodes)

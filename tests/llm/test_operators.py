@@ -417,6 +417,20 @@ def test_pages(body, want):
     assert html_extract.extract(PAGE.format(body)) == want
 
 
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ("<form id=aspnetForm>", "</form>"),
+        ("<form id=aspnetForm><div class='page has-sidebar'><div id='header-fixed'>", "</div></div></form>"),
+        ("<div class=content-widget>", "</div>"),
+        ("<div class='post has-comments'><h1>T</h1>", f"<div class=comments><p>{'nice ' * 60}</p></div></div>"),
+    ],
+)
+def test_wrappers_keep_the_article(before, after):
+    body = f"<nav><a href=x>Home</a></nav>{before}{LONG * 4}<div class=sidebar><a href=y>more</a> x</div>{after}<footer>f</footer>"
+    assert html_extract.extract(PAGE.format(body)).removeprefix("T\n\n") == "\n\n".join([TEXT] * 4)
+
+
 def test_page_table(spark):
     data = [(1, "u", None, "t"), (1, None, "", "t"), (None, "u", PAGE.format(LONG), "t"), (2, "u", "<p>a < b <c", "t"), (3, "u", "<div>" * 3000 + "deep", "t")]
     got = rows(html_extract.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string, text string")))
