@@ -9,6 +9,32 @@ SUFFIXES = ("zioni", "zione", "iche", "ici", "ale", "ali", "ica", "ico", "i", "e
 NOISE = ("a", "an", "and", "case", "cases", "casi", "dei", "del", "della", "delle", "dell", "di", "e", "example", "examples", "general", "generale", "in", "of", "overview", "panoramica", "the", "tipi", "tipologie", "type", "types")
 GENERIC = ("general", "generale", "overview", "panoramica", "case", "cases", "casi", "type", "types", "tipi", "tipologie")
 ANATOMY = ("upper limb", "lower limb", "shoulder", "arm", "forearm", "hand", "hip", "thigh", "leg", "foot", "pelvis")
+# question openings and what replaces them, first match
+OPENINGS = (
+    ("What is the role of", "During a system response,"),
+    ("What is the primary role of", "In the context of a changing system,"),
+    ("What is the main role of", "During a regulatory process,"),
+    ("What is the function of", "Within an adaptive process,"),
+    ("What is the primary function of", "Within a dynamic system,"),
+    ("What is the significance of", "In a situation where"),
+    ("What is the primary consequence of", "A prolonged alteration results in"),
+    ("What is the main consequence of", "A system disruption leads to"),
+    ("What happens to", "During a changing condition,"),
+    ("What occurs", "During this transition,"),
+    ("What is", "In this situation,"),
+    ("Which of the following", "Among the following scenarios,"),
+    ("Which process", "During a changing situation,"),
+    ("Which pathway", "Within this sequence of events,"),
+    ("Which mechanism", "The explanation that BEST fits this situation"),
+    ("Which component", "An important element in this context"),
+    ("Which factor", "A key factor in this situation"),
+    ("Which condition", "Under these circumstances"),
+    ("Which statement", "The most accurate interpretation"),
+    ("Which enzyme", "A required element in this process"),
+    ("Which molecule", "An important component in this situation"),
+    ("Which amino acid", "In this context,"),
+    ("Which metabolic process", "During this system change,"),
+)
 
 
 def stem(word: str) -> str:
@@ -51,7 +77,7 @@ PLANS: dict[str, str] = {
     "str_bcp47": "select tag, lower(split_part(tag, '-', 1)) || case when length(split_part(tag, '-', 2)) = 4 then '-' || upper(substring(split_part(tag, '-', 2), 1, 1)) || lower(substring(split_part(tag, '-', 2), 2, 3)) when length(split_part(tag, '-', 2)) = 2 then '-' || upper(split_part(tag, '-', 2)) when split_part(tag, '-', 2) <> '' then '-' || lower(split_part(tag, '-', 2)) else '' end as canonical from (select replace(v, '_', '-') as tag from @LITERALS('EN', 'it_IT', 'zh-hans', 'pt-br', 'DE', 'sr-latn', 'en-gb', 'es-419') l) x",
     "str_section_title": f"select doc_id, upper(trim(line)) as section from (select doc_id, pos, line, row_number() over (partition by doc_id order by pos) as rn from (select doc_id, pos, @AT(@SPLIT(text, chr(10)), cast(pos as int)) as line from (select doc_id, text, @EXPLODE(@RANGE(1, 15, 1)) as pos from documents) a) b where trim(coalesce(line, '')) <> '' and ((cast(length(trim(line)) - length(@RX(trim(line), '[A-ZÀ-ÖØ-Þ]', '')) as double) / greatest(length(trim(line)), 1) > 0.7 and @SIZE(@SPLIT(trim(line), ' ')) between 2 and 8) or {any_of('lower(line)', ANATOMY)})) c where rn = 1",
     "str_question_key": "select doc_id, @JOIN(@SLICE(@SPLIT(lower(trim(@RX(substring(text, 1, 400), '[\\t-\\r ]+', ' '))), ' '), 1, 8), ' ') as k from documents",
-    "str_rewrite_opening": "select q, case when q like 'what is %' then 'which principle explains ' || substring(q, 9, 200) when q like 'define %' then 'which statement characterises ' || substring(q, 8, 200) when q like 'who %' then 'which author ' || substring(q, 5, 200) else q end as rewritten from @LITERALS('what is a cell', 'define entropy', 'who wrote it', 'why does it rain') l cross join (select 1 as one) o".replace("select q, case", "select v as q, case").replace("when q like", "when v like").replace("substring(q,", "substring(v,").replace("else q end", "else v end"),
+    "str_rewrite_opening": f"select v as q, case {' '.join(f"when v like '{old}%' then '{new}' || substring(v, {len(old) + 1})" for old, new in OPENINGS)} else v end as rewritten from (select text as v from conversations union all select v from @LITERALS('Why What is it', 'what is a cell', {', '.join(f"'{old} x, {old} y'" for old, _ in OPENINGS)}) l) o",
     "str_split_csv": "select id, trim(part) as part from (select id, @EXPLODE(@SPLIT(csv, ',')) as part from (select id, category || ', ' || topic as csv from topics) a) b",
     "str_url_unquote": "select page_id, @URLDECODE(replace(url, '/', '%2F')) as url from pages",
     "str_context_concat": "select doc_id, @LISTAGG(substring(chunk_text, 1, 40), ' --- ', pos) as context from chunks where pos < 5 group by doc_id",

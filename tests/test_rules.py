@@ -98,3 +98,14 @@ def test_cascade_reaches_grandchildren(spark):
 def test_macros_nest():
     assert dialect.render("@SIZE(@SPLIT(a, ','))", True) == "cast(len(string_split(a, ',')) as bigint)"
     assert dialect.render("@RX(a, '(x)', '$1')", True) == "regexp_replace(a, '(x)', '\\1', 'g')"
+
+
+def test_question_openings(spark):
+    from studyloom.catalog import catalog
+    from studyloom.plans.scalar import OPENINGS
+
+    got = {r.q: r.rewritten for r in catalog()["str_rewrite_opening"].run(spark, "/root/testdata/sf0.001").collect()}
+    assert len(OPENINGS) == 23 and spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where("text is not null").select("text").distinct().count() <= len(got)
+    assert got["What is the role of x, What is the role of y"] == "During a system response, x, What is the role of y"
+    assert got["What is x, What is y"] == "In this situation, x, What is y" and got["Which amino acid x, Which amino acid y"].startswith("In this context, x")
+    assert got["Why What is it"] == "Why What is it" and got["what is a cell"] == "what is a cell"
