@@ -23,7 +23,7 @@ def view(name: str, more: str = "") -> Run:
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = view("topics")(spark, sf_dir).selectExpr("concat(category, ' ', topic) as name").distinct().orderBy("name").limit(60)
+    names = view("topics")(spark, sf_dir).selectExpr("concat(category, ' ', topic) as name").distinct()
     cases = spark.createDataFrame([("DNA SEQUENCING TECHNIQUES",), ("GENETIC SEQUENCING TECHNOLOGIES",), ("Tipi di contratto",)], "name string")
     return names.unionByName(cases)
 
@@ -148,7 +148,7 @@ def snk_status_update(spark, sf_dir):
 
 
 def snk_plan_tree(spark, sf_dir):
-    topics = view("topics")(spark, sf_dir).where("id < 400")
+    topics = view("topics")(spark, sf_dir)
     acts = topics.groupBy("project_id", "category").agg(F.array_sort(F.collect_list("topic")).alias("activities"))
     days = F.transform(F.array_sort(F.collect_list(F.struct("category", "activities"))), lambda x: F.struct(x.category.alias("objective"), x.activities.alias("activities")))
     plans = acts.groupBy(F.col("project_id").alias("plan_id")).agg(days.alias("days"))
@@ -215,7 +215,7 @@ QUERIES: dict[Callable, str | None] = {
     snk_insert_returning: None,
     snk_upsert_document: "select doc_id, string_agg(substring(chunk_text, 1, 20), chr(10) || chr(10) order by pos) as text from chunks group by doc_id",
     snk_status_update: "select id, case when topic_status = 'processing' then 'completed' else topic_status end as topic_status from projects",
-    snk_plan_tree: "select project_id as plan_id, category as objective, string_agg(topic, ',' order by topic) as activities from topics where id < 400 group by project_id, category",
+    snk_plan_tree: "select project_id as plan_id, category as objective, string_agg(topic, ',' order by topic) as activities from topics group by project_id, category",
     snk_replace_scope: "select id, project_id, case when project_id in (1, 2) then upper(topic) else topic end as topic from topics",
     snk_append_chunks: "select id, cast(len(embedding) as bigint) as width from vchunks",
     snk_bulk_links: "select distinct t.id as topic_id, c.id as chunk_id from vtopics t join vchunks c on c.project_id = t.project_id and c.section = t.source_section",

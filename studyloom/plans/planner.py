@@ -29,7 +29,7 @@ PLANS: dict[str, str] = {
     "pln_bridge": "select id, '' as review, coalesce(nullif(study_mode, ''), 'building') as study_mode from projects",
     "jon_positional_zip": "select a.rn, a.category, b.topic from (select category, row_number() over (order by category) as rn from (select distinct category from topics) x) a join (select topic, row_number() over (order by topic) as rn from (select distinct topic from topics) y) b on a.rn = b.rn",
     "jon_lateral_json_each": "select event_id, cast(@JSON(props, '$.k') as bigint) as v from events where @JSON(props, '$.k') is not null",
-    "jon_lateral_unnest": "select doc_id, w from (select doc_id, @EXPLODE(@SPLIT(substring(text, 1, 200), ' ')) as w from documents) x where w <> ''",
+    "jon_lateral_unnest": "select doc_id, w from (select doc_id, @EXPLODE(@SPLIT(text, ' ')) as w from documents) x where w <> ''",
     "jon_left_json_pk": "select c.col, p.col is not null as is_pkey from @COLS c left join (select 'id' as col) p on p.col = c.col".replace("@COLS", "(select 'id' as col union all select 'topic' union all select 'category')"),
     "jon_reciprocal_knn": "with s as (select l.category as a, r.category as b, avg(@DOT(l.embedding, r.embedding)) as sim from ledger l join ledger r on l.category <> r.category group by l.category, r.category), k as (select a, b, sim from (select *, row_number() over (partition by a order by sim desc, b) as rn from s) x where rn <= 2) select x.a, x.b, x.sim from k x join k y on y.a = x.b and y.b = x.a where x.a < x.b",
 }

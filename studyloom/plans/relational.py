@@ -84,7 +84,7 @@ PLANS: dict[str, str] = {
     "agg_hard_metrics": "select id, generated, least(greatest(rejected, 0), generated) as rejected, generated - least(greatest(rejected, 0), generated) as accepted, case when generated = 0 then 0.0 else @BROUND(cast(generated - least(greatest(rejected, 0), generated) as double) / generated, 4) end as rate from runs",
     "agg_role_histogram": "select d.v as role, count(c.id) as n from @LITERALS('cover', 'outline', 'bibliography', 'administrative', 'intro', 'teaching') d left join (select id, case when teaching then 'teaching' else 'intro' end as role from vchunks) c on c.role = d.v group by d.v",
     "agg_category_analytics": f"with ev as (select category, title as k, is_correct, created_at as ts, 1 as quiz from quiz_answers union all select 'Brand#' || cast(1 + user_id % 20 as varchar(10)), topic, is_correct, reviewed_at, 0 from reviews), cats as (select category, count(distinct topic) as topics from topics group by category) select c.category, avg(case when e.is_correct then cast(1 as double) when not e.is_correct then cast(0 as double) end) as accuracy, avg(case when quiz = 1 then case when e.is_correct then cast(1 as double) else cast(0 as double) end end) as quiz_accuracy, avg(case when quiz = 0 then case when e.is_correct then cast(1 as double) else cast(0 as double) end end) as flashcard_accuracy, cast(count(distinct e.k) as double) / nullif(max(c.topics), 0) as coverage, @DAYS({AS_OF}, max(e.ts)) as days_since_review from cats c left join ev e on e.category = c.category group by c.category",
-    "agg_learning_coverage": "select t.project_id, cast(count(distinct e.k) as double) / count(distinct lower(trim(t.topic))) as coverage from topics t left join (select distinct lower(trim(title)) as k from quiz_answers where quiz_id % 50 = 0) e on e.k = lower(trim(t.topic)) group by t.project_id",
+    "agg_learning_coverage": "select t.project_id, cast(count(distinct e.k) as double) / count(distinct lower(trim(t.topic))) as coverage from topics t left join (select distinct lower(trim(title)) as k from quiz_answers) e on e.k = lower(trim(t.topic)) group by t.project_id",
     "agg_taxonomy_snapshot": "select project_id, count(*) as n, @JOIN(@SORTED(@COLLECTSET(trim(topic))), '|') as topics, @JOIN(@SORTED(@COLLECTSET(trim(category))), '|') as categories from topics group by project_id",
     "agg_before_after_category": "select coalesce(m.target, t.category) as category, count(*) as topics, count(distinct t.category) as sources from topics t left join (select distinct category, case when category like '%1%' then 'Brand#1' end as target from topics) m on m.category = t.category group by coalesce(m.target, t.category)",
     "agg_merge_matrix": "select source, target, n, count(*) over (partition by target) as sources from (select category as source, substring(category, 1, 7) as target, count(*) as n from topics group by category, substring(category, 1, 7)) x",
@@ -115,17 +115,17 @@ PLANS: dict[str, str] = {
     "win_topic_cap": "select category, topic, id from (select category, topic, id, row_number() over (partition by category order by id) as rn from topics) x where rn <= 40",
     # ---- orderings
     "srt_vector_topk_l2": "select c.id, @L2(c.embedding, t.embedding) as distance from vchunks c cross join (select embedding from vtopics where id = 7) t order by distance, id limit 20",
-    "srt_vector_topk_per_topic": "select topic_id, chunk_id from (select t.id as topic_id, c.id as chunk_id, row_number() over (partition by t.id order by @L2(c.embedding, t.embedding), c.id) as rn from vtopics t join vchunks c on c.project_id = t.project_id where t.id < 4) x where rn <= 5",
+    "srt_vector_topk_per_topic": "select topic_id, chunk_id from (select t.id as topic_id, c.id as chunk_id, row_number() over (partition by t.id order by @L2(c.embedding, t.embedding), c.id) as rn from vtopics t join vchunks c on c.project_id = t.project_id) x where rn <= 5",
     "srt_recent_history": "select id, project_id, created_at from quizzes order by created_at desc, id limit 20",
     "srt_multi_key": "select category, score from (select category, avg(p) as score from (select category, cast(id % 97 as double) as p from topics) x group by category) y order by score desc, lower(category) limit 15",
     "srt_id_desc_limit": "select id, topic from flashcards order by id desc limit 25",
     "srt_offset": "select name, id from objects order by name, id limit 30 offset 20",
     "srt_row_cursor": "select id, topic from topics where topic > 'red' or (topic = 'red widget' and id > 50)",
     "srt_distinct_on": "select folder, id from (select split_part(name, '/', 1) as folder, id, row_number() over (partition by split_part(name, '/', 1) order by id) as rn from objects) x where rn = 1",
-    "srt_question_order": "select quiz_id, question_order, topic_id from quiz_answers where quiz_id < 100",
+    "srt_question_order": "select quiz_id, question_order, topic_id from quiz_answers",
     "srt_rotate": "select id, @AT(@ARRAY('alpha', 'beta', 'gamma'), cast(id % 3 + 1 as int)) as focus from projects",
     # ---- sets
-    "set_union_all": "select topic, 'quiz' as kind from quiz_answers where quiz_id < 200 union all select topic, 'card' as kind from reviews where project_id = 2",
+    "set_union_all": "select topic, 'quiz' as kind from quiz_answers union all select topic, 'card' as kind from reviews where project_id = 2",
     "set_taxonomy_evolution": "select 'created' as change, topic from (select topic from topics where project_id = 3 except select topic from topics where project_id = 4) a union all select 'preserved', topic from (select topic from topics where project_id = 3 intersect select topic from topics where project_id = 4) b union all select 'removed', topic from (select topic from topics where project_id = 4 except select topic from topics where project_id = 3) c",
     "set_union_evidence": "select lower(trim(topic)) as k from quiz_answers union select lower(trim(topic)) from reviews",
     "set_remaining_topics": "select t.id, t.topic from topics t where not exists (select 1 from quiz_answers a where a.topic_id = t.id and a.quiz_id % 10 = 0)",

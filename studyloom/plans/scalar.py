@@ -65,18 +65,18 @@ def squash(x: str) -> str:
 
 
 PLANS: dict[str, str] = {
-    "str_normalize": f"select doc_id, {squash('substring(text, 1, 300)')} as clean from documents",
-    "str_topic_key": f"select doc_id, lower({squash('substring(text, 1, 80)')}) as k from documents",
-    "str_clean_text": "select doc_id, trim(@RX(@RX(@RX(@RX(@RX(substring(text, 1, 300), '([a-z])([A-Z])', '$1 $2'), '([A-Za-z])([0-9])', '$1 $2'), '([0-9])([A-Za-z])', '$1 $2'), '\\.([A-Za-z])', '. $1'), '[\\t-\\r ]+', ' ')) as clean from documents",
-    "str_role_normalize": "select doc_id, trim(@RX(translate(lower(replace(replace(substring(text, 1, 300), '’', ''''), '‘', '''')), 'àáâãäåèéêëìíîïòóôõöùúûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), '[\\t-\\r ]+', ' ')) as clean from documents",
+    "str_normalize": f"select doc_id, {squash('text')} as clean from documents",
+    "str_topic_key": f"select doc_id, lower({squash('text')}) as k from documents",
+    "str_clean_text": "select doc_id, trim(@RX(@RX(@RX(@RX(@RX(text, '([a-z])([A-Z])', '$1 $2'), '([A-Za-z])([0-9])', '$1 $2'), '([0-9])([A-Za-z])', '$1 $2'), '\\.([A-Za-z])', '. $1'), '[\\t-\\r ]+', ' ')) as clean from documents",
+    "str_role_normalize": "select doc_id, trim(@RX(translate(lower(replace(replace(text, '’', ''''), '‘', '''')), 'àáâãäåèéêëìíîïòóôõöùúûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), '[\\t-\\r ]+', ' ')) as clean from documents",
     "str_count_matches": f"select doc_id, {hits('text', ('the ', 'and ', 'que ', 'der ', 'para '))} as n from documents",
     "str_category_normalize": f"select raw, @JOIN(@SORTED(tokens), ' ') as tokens from {_TOKENS} t",
     "str_core_tokens": f"select raw, @JOIN(@SORTED(@FILTER(tokens, w -> w not in ({listed(NOISE)}))), ' ') as core from {_TOKENS} t",
     "str_name_quality": f"select raw, case when @SIZE(@FILTER(tokens, w -> w in ({listed(GENERIC)}))) > 0 then 1 else 0 end as generic, @SIZE(@FILTER(tokens, w -> w in ({listed(NOISE)}))) as noise, @SIZE(tokens) as n_tokens from {_TOKENS} t",
-    "str_keyword_overlap": "select t.id as topic_id, c.id as chunk_id, @SIZE(@FILTER(@SPLIT(t.topic, ' '), w -> length(w) > 4 and contains(c.chunk_text, w))) as n from vtopics t join vchunks c on c.project_id = t.project_id where t.id < 10",
+    "str_keyword_overlap": "select t.id as topic_id, c.id as chunk_id, @SIZE(@FILTER(@SPLIT(t.topic, ' '), w -> length(w) > 4 and contains(c.chunk_text, w))) as n from vtopics t join vchunks c on c.project_id = t.project_id",
     "str_bcp47": "select tag, lower(split_part(tag, '-', 1)) || case when length(split_part(tag, '-', 2)) = 4 then '-' || upper(substring(split_part(tag, '-', 2), 1, 1)) || lower(substring(split_part(tag, '-', 2), 2, 3)) when length(split_part(tag, '-', 2)) = 2 then '-' || upper(split_part(tag, '-', 2)) when split_part(tag, '-', 2) <> '' then '-' || lower(split_part(tag, '-', 2)) else '' end as canonical from (select replace(v, '_', '-') as tag from @LITERALS('EN', 'it_IT', 'zh-hans', 'pt-br', 'DE', 'sr-latn', 'en-gb', 'es-419') l) x",
     "str_section_title": f"select doc_id, upper(trim(line)) as section from (select doc_id, pos, line, row_number() over (partition by doc_id order by pos) as rn from (select doc_id, pos, @AT(@SPLIT(text, chr(10)), cast(pos as int)) as line from (select doc_id, text, @EXPLODE(@RANGE(1, 15, 1)) as pos from documents) a) b where trim(coalesce(line, '')) <> '' and ((cast(length(trim(line)) - length(@RX(trim(line), '[A-ZÀ-ÖØ-Þ]', '')) as double) / greatest(length(trim(line)), 1) > 0.7 and @SIZE(@SPLIT(trim(line), ' ')) between 2 and 8) or {any_of('lower(line)', ANATOMY)})) c where rn = 1",
-    "str_question_key": "select doc_id, @JOIN(@SLICE(@SPLIT(lower(trim(@RX(substring(text, 1, 400), '[\\t-\\r ]+', ' '))), ' '), 1, 8), ' ') as k from documents",
+    "str_question_key": "select doc_id, @JOIN(@SLICE(@SPLIT(lower(trim(@RX(text, '[\\t-\\r ]+', ' '))), ' '), 1, 8), ' ') as k from documents",
     "str_rewrite_opening": f"select v as q, case {' '.join(f"when v like '{old}%' then '{new}' || substring(v, {len(old) + 1})" for old, new in OPENINGS)} else v end as rewritten from (select text as v from conversations union all select v from @LITERALS('Why What is it', 'what is a cell', {', '.join(f"'{old} x, {old} y'" for old, _ in OPENINGS)}) l) o",
     "str_split_csv": "select id, trim(part) as part from (select id, @EXPLODE(@SPLIT(csv, ',')) as part from (select id, category || ', ' || topic as csv from topics) a) b",
     "str_url_unquote": "select page_id, @URLDECODE(replace(url, '/', '%2F')) as url from pages",
@@ -84,7 +84,7 @@ PLANS: dict[str, str] = {
     "str_human_list": "select category, case when @SIZE(a) = 1 then @AT(a, 1) else @JOIN(@SLICE(a, 1, cast(@SIZE(a) - 1 as int)), ', ') || ' and ' || @AT(a, cast(@SIZE(a) as int)) end as listed from (select category, @SORTED(@COLLECT(distinct topic)) as a from topics where topic is not null group by category) x".replace("@COLLECT(distinct topic)", "@COLLECTSET(topic)"),
     "str_path_parts": "select name, @RX(name, '^.*/', '') as filename, split_part(name, '/', 1) as folder, case when name like '%.%' then @RX(name, '^.*\\.', '') else '' end as extension from objects",
     "str_common_prefix": "select name, case when strpos(substring(name, 5, 400), '/') > 0 then substring(name, 1, cast(4 + strpos(substring(name, 5, 400), '/') as int)) end as prefix from objects".replace("strpos(substring(name, 5, 400), '/')", "@FIND(substring(name, 5, 400), '/')"),
-    "str_word_overlap": "select a.doc_id as a, b.doc_id as b, cast(@SIZE(@BOTH(a.w, b.w)) as double) / least(@SIZE(a.w), @SIZE(b.w)) as overlap from (select doc_id, @DISTINCT(@FILTER(@SPLIT(lower(substring(text, 1, 400)), ' '), x -> length(x) >= 5)) as w from documents where doc_id < 40) a join (select doc_id, @DISTINCT(@FILTER(@SPLIT(lower(substring(text, 1, 400)), ' '), x -> length(x) >= 5)) as w from documents where doc_id < 40) b on a.doc_id < b.doc_id where @SIZE(a.w) >= 6 and @SIZE(b.w) >= 6",
+    "str_word_overlap": "select a.doc_id as a, b.doc_id as b, cast(@SIZE(@BOTH(a.w, b.w)) as double) / least(@SIZE(a.w), @SIZE(b.w)) as overlap from (select doc_id, @DISTINCT(@FILTER(@SPLIT(lower(text), ' '), x -> length(x) >= 5)) as w from documents) a join (select doc_id, @DISTINCT(@FILTER(@SPLIT(lower(text), ' '), x -> length(x) >= 5)) as w from documents) b on a.doc_id < b.doc_id where @SIZE(a.w) >= 6 and @SIZE(b.w) >= 6",
     "str_pronoun_rewrite": "select v, replace(replace(replace(v, 'the student', 'you'), 'his ', 'your '), 'their ', 'your ') as said from @LITERALS('the student knows his topic', 'their plan', 'none') l",
     "str_fence_strip": "select v, trim(@RX(@RX(v, '```json', ''), '```', '')) as body from @LITERALS('```json {\"a\":1} ```', '``` x ```', 'plain') l",
     "str_code_label": "select name, split_part(name, '/', 2) as level_two, trim(trailing '/' from name) as bare, concat_ws(':', split_part(name, '/', 1), cast(bucket as varchar(10))) as label from objects",
@@ -106,8 +106,8 @@ PLANS: dict[str, str] = {
     "mth_norm_accuracy": "select id, case when raw > 1 then raw / 100 else raw end as accuracy from (select o_orderkey as id, case when o_orderkey % 2 = 0 then cast(o_orderkey % 101 as double) else cast(o_orderkey % 11 as double) / 10 end as raw from orders) x",
     "mth_level": "select quiz_id, case when total_questions = 0 then 'unknown' when cast(score as double) / total_questions >= 0.8 then 'high' when cast(score as double) / total_questions >= 0.5 then 'medium' else 'low' end as level from attempts",
     # ---- vectors
-    "vec_neg_inner_product": "select a.vec_id as a, b.vec_id as b, -@DOT(a.embedding, b.embedding) as distance from embeddings a join embeddings b on a.vec_id < b.vec_id where a.vec_id < 20 and b.vec_id < 40",
-    "vec_l2": "select a.vec_id as a, b.vec_id as b, @L2(a.embedding, b.embedding) as distance from embeddings a join embeddings b on a.vec_id < b.vec_id where a.vec_id < 20 and b.vec_id < 40",
+    "vec_neg_inner_product": "select a.vec_id as a, b.vec_id as b, -@DOT(a.embedding, b.embedding) as distance from embeddings a join embeddings b on a.vec_id < b.vec_id",
+    "vec_l2": "select a.vec_id as a, b.vec_id as b, @L2(a.embedding, b.embedding) as distance from embeddings a join embeddings b on a.vec_id < b.vec_id",
     "vec_unit": "select vec_id, sqrt(@DOT(embedding, embedding)) as norm, cast(@AT(embedding, 1) as double) / sqrt(@DOT(embedding, embedding)) as first_unit from embeddings",
     "vec_centroid": "select label, i, avg(cast(@AT(embedding, cast(i as int)) as double)) as mean from (select label, embedding, @EXPLODE(@RANGE(1, 64, 1)) as i from embeddings) x group by label, i",
     "vec_cohesion_spread": "select a.category, avg(@DOT(a.embedding, b.embedding)) as mean_similarity, 1 - min(@DOT(a.embedding, b.embedding)) as spread from ledger a join ledger b on a.category = b.category and a.id <> b.id group by a.category",

@@ -109,3 +109,21 @@ def test_question_openings(spark):
     assert got["What is the role of x, What is the role of y"] == "During a system response, x, What is the role of y"
     assert got["What is x, What is y"] == "In this situation, x, What is y" and got["Which amino acid x, Which amino acid y"].startswith("In this context, x")
     assert got["Why What is it"] == "Why What is it" and got["what is a cell"] == "what is a cell"
+
+
+def test_reference_queries_use_whole_tables(spark, tmp_path):
+    from studyloom.catalog import catalog
+
+    words = [f"word{i:04d}" for i in range(300)]
+    docs = [(i, " ".join(words) + f" tail{i:04d}") for i in range(45)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(45)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda key, sf=str(tmp_path): catalog()[key].run(spark, sf)
+    for key, col in (("str_normalize", "clean"), ("str_topic_key", "k"), ("str_clean_text", "clean"), ("str_role_normalize", "clean")):
+        assert all("tail" in r[col] for r in run(key).collect()), key
+    assert run("jon_lateral_unnest").count() == 45 * 301
+    assert {round(r.overlap, 6) for r in run("str_word_overlap").collect()} == {round(300 / 301, 6)}
+    assert all(run(key).count() == 45 * 44 // 2 for key in ("str_word_overlap", "vec_l2", "vec_neg_inner_product"))
+    small = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert run("srt_question_order", small).count() == lines and run("set_union_all", small).where("kind = 'quiz'").count() == lines
