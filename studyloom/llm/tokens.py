@@ -13,6 +13,9 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # fixed values: white space, the pre-tokenizer patterns of the two vocabularies, their special strings
@@ -163,35 +166,149 @@ class Memo(dict):
         return value
 
 
-class LibraryUnits:
-    """Ids by the tokenizers library as little-endian 32-bit bytes. The library encodes each distinct unit once; texts
-    with special strings go to it whole."""
-
-    def __init__(self, path: str, words: bool, most: int = 500_000):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.cut, self.most, self.held = (word_units if words else byte_units), most, {}
-        self.special = list(self.library.get_added_tokens_decoder())
-        self.mark = "<|"
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.held) > self.most:
-            self.held.clear()
-        units = [None if self.mark in t else self.cut(t) for t in texts]
-        fresh = list(set().union(*(u for u in units if u)).difference(self.held)) if any(units) else []
-        self.held.update(zip(fresh, self._whole(fresh), strict=True))
-        get = self.held.__getitem__
-        return [self._whole([t])[0] if u is None else b"".join(map(get, u)) for t, u in zip(texts, units, strict=True)]
+class UnitIds:
+    """Ids of many texts at once. Arrow cuts the texts into units and numbers the distinct ones; ``make`` gives the ids of
+    units that are new (flat ids and the count of each unit), and one gather lays out the ids of all texts. The ``most``
+    units that most batches hold stay known, which bounds a worker's memory. ``whole`` gives the ids of texts with special
+    strings, which are not cut."""
+
+    def __init__(self, make: Callable, whole: Callable, words: bool, most: int = 500_000):
+        self.make, self.whole, self.words, self.most = make, whole, words, most
+        self.number: dict[str, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.at, self.size, self.seen = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+
+    @staticmethod
+    def _room(values: np.ndarray, n: int) -> np.ndarray:
+        return values if n <= len(values) else np.concatenate([values, np.zeros(max(n, 2 * len(values)) - len(values), values.dtype)])
+
+    def _hold(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Append units to the pool; returns the number of the first."""
+        first, n = len(self.number), len(sizes)
+        self.pool = self._room(self.pool, self.used + len(ids))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at, self.size, self.seen = (self._room(x, first + n) for x in (self.at, self.size, self.seen))
+        self.at[first : first + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + n] = sizes
+        self.seen[first : first + n] = 0
+        self.used += len(ids)
+        return first
+
+    def _forget(self) -> None:
+        kept = np.sort(np.argsort(-self.seen[: len(self.number)], kind="stable")[: self.most // 2])
+        names = list(self.number)
+        ids = self.pool[spread(self.at[kept], self.size[kept])]
+        sizes, seen = self.size[kept], self.seen[kept]
+        self.number, self.used = {}, 0
+        self._hold(ids, sizes)
+        self.seen[: len(kept)] = seen
+        self.number = {names[k]: i for i, k in enumerate(kept.tolist())}
+
+    def _numbers(self, names: list[str]) -> np.ndarray:
+        """The number of each unit of a batch; makes what is new."""
+        if len(self.number) > self.most:
+            self._forget()
+        get = self.number.get
+        found = [get(x, -1) for x in names]
+        out = np.asarray(found, np.int64)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            fresh = [names[i] for i in new.tolist()]
+            first = self._hold(*self.make(fresh))
+            out[new] = np.arange(first, first + len(new))
+            self.number.update(zip(fresh, range(first, first + len(new)), strict=True))
+        self.seen[out] += 1
+        return out
+
+    def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(place of each unit among the distinct ones, first unit of each text and the end, distinct units)."""
+        held = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(held, pattern="[\x1c-\x1f]" if self.words else f"[\x1c-\x1f]| {_RE2_WS}|{_RE2_WS}$").to_numpy(zero_copy_only=False)
+        if self.words:
+            held = pc.if_else(pa.array(odd), "", held) if odd.any() else held
+            cut = pc.utf8_split_whitespace(held)
+        else:
+            cut = pc.split_pattern(pc.if_else(pa.array(odd), "", held) if odd.any() else held, pattern=" ")
+        first = np.asarray(cut.offsets, np.int64)
+        coded = cut.flatten().dictionary_encode()
+        place, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        # no piece has a space, so one join and one split turn them into Python strings
+        whole = pa.ListArray.from_arrays([0, len(distinct)], distinct)
+        names = pc.binary_join(whole, " ")[0].as_py().split(" ") if len(distinct) else []
+        empty = names.index("") if "" in names else -1
+        keep = place != empty
+        if not self.words:  # all but the first piece of a text have the space before them
+            spaced = np.ones(len(place), bool)
+            spaced[first[:-1][np.diff(first) > 0]] = False
+            keep |= spaced
+            place = 2 * place + spaced
+        place, owner = place[keep], np.repeat(np.arange(len(texts)), np.diff(first))[keep]
+        used = np.flatnonzero(np.bincount(place, minlength=1))
+        dense = np.zeros(int(used[-1]) + 1 if len(used) else 0, np.int64)
+        dense[used] = np.arange(len(used))
+        place = dense[place]
+        names = [names[i] for i in used.tolist()] if self.words else [" " + names[i >> 1] if i & 1 else names[i >> 1] for i in used.tolist()]
+        if odd.any():
+            known = {n: i for i, n in enumerate(names)}
+            more, whose = [], []
+            for i in np.flatnonzero(odd).tolist():
+                for unit in (word_units if self.words else byte_units)(texts[i]):
+                    more.append(known.setdefault(unit, len(known)))
+                    whose.append(i)
+            place, owner = np.concatenate([place, np.asarray(more, np.int64)]), np.concatenate([owner, np.asarray(whose, np.int64)])
+            order = np.argsort(owner, kind="stable")
+            place, owner, names = place[order], owner[order], list(known)
+        return place, np.searchsorted(owner, np.arange(len(texts) + 1)), names
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, first id of each text and the end)."""
+        whole = [i for i, t in enumerate(texts) if "<|" in t]
+        place, first, names = self.units(["" if "<|" in t else t for t in texts] if whole else texts)
+        unit = self._numbers(names)[place] if len(names) else place
+        sizes = self.size[unit]
+        ids = self.pool[spread(self.at[unit], sizes)]
+        starts = np.concatenate([[0], np.cumsum(sizes)])[first]
+        if not whole:
+            return ids, starts
+        parts = np.split(ids, starts[1:-1])
+        for i in whole:
+            parts[i] = self.whole(texts[i])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... (sizes[i] of them) for all i, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
+
+
+#: White space of WS in the spelling of Arrow's regular expressions.
+_RE2_WS = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
 @lru_cache(maxsize=2)
-def library_units(path: str, words: bool) -> LibraryUnits:
-    return LibraryUnits(path, words)
+def library_units(path: str, words: bool) -> UnitIds:
+    """Ids by the tokenizers library, which encodes each new unit once: some at a time in one string, with a special
+    string between them, which keeps them apart."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    mark = (WORD_SPECIAL if words else BYTE_SPECIAL)[-1]
+    mark_id = library.token_to_id(mark)
+
+    def make(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = [mark.join(units[i : i + 16]) + mark for i in range(0, len(units), 16)]
+        flat = np.concatenate([np.asarray(x.ids, np.uint32) for x in library.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(flat == mark_id)
+        return flat[flat != mark_id], np.diff(ends, prepend=-1) - 1
+
+    def whole(text: str) -> np.ndarray:
+        return np.asarray(library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return UnitIds(make, whole, words)
