@@ -2,12 +2,13 @@
 
 Documents are tokenized once, then ordered by an affinity, the smallest hash of their token trigrams, so that texts with
 common passages come to lie near each other; ties, such as a large group of copies, are broken by text and id and may
-spread over partitions. Consecutive runs of ``SHARD`` documents are shards, each with its own BM25 inverted index over
-token ids. A seed document fills its window first; then the index returns the seed's unused neighbours by falling score
-(the query are its ``QUERY_TERMS`` heaviest terms), and they fill the window in turn; where the index has no more, the next
-unused document in order follows. The document that crosses the end of a window is cut there, and its rest is the seed of
-the next window, so every window is full. What a partition has left in the end becomes windows of power-of-two lengths,
-which need no padding.
+spread over partitions. Consecutive runs of ``SHARD`` documents (fewer where they hold ``SHARD_IDS`` ids) are shards, each
+with its own BM25 inverted index over token ids; document frequencies and mean length are those of all documents. A seed
+document fills its window first; then the index returns the seed's unused neighbours in its shard by falling score, a score
+being over all terms that both share, and they fill the window in turn; where the index has no more, the next unused
+document in order follows. The document that crosses the end of a window is cut there, and its rest is the seed of the next
+window, so every window is full. What a partition has left in the end becomes windows of power-of-two lengths, which need no
+padding. A seed asks the shard it lies in and no other: to ask all shards would take work with the square of the corpus.
 
 Defined results: a null text is empty and packs its end id alone; rows of a null doc_id are packed as well; repeated rows
 are documents of their own; an empty table gives an empty result; other columns are ignored.
@@ -15,60 +16,109 @@ are documents of their own; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import Rolling, documents_only, durable, mix, schema
-from .tokens import library_units
+from .common import Rolling, documents_only, durable, mix, schema, slices
+from .tokens import library_units, spread
 
-WINDOW, SHARD, QUERY_TERMS, END_ID = 2048, 2048, 24, 1
-K1, B = 1.2, 0.75
+WINDOW, SHARD, SHARD_IDS, END_ID, TEXT_BYTES = 2048, 1024, 2 << 20, 1, 2 << 20
+K1, B, DENSE = 1.2, 0.75, 24
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Index:
-    """BM25 over the token ids of a shard's documents."""
+    """BM25 over the token ids of a shard's documents, by all terms, with the document frequencies and the mean length of
+    the whole corpus. Terms that many documents of the shard hold are scored by one matrix product for all seeds, the others
+    by their postings."""
 
-    def __init__(self, documents: list[np.ndarray]):
+    def __init__(self, documents: list[np.ndarray], corpus: "Corpus"):
         n = len(documents)
         sizes = np.asarray([len(d) for d in documents], np.int64)
         doc = np.repeat(np.arange(n), sizes)
         pairs, tf = np.unique((np.concatenate(documents).astype(np.int64) << 32) | doc, return_counts=True)
-        term, self.doc = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.int64)
-        self.terms, self.first, df = np.unique(term, return_index=True, return_counts=True)
-        self.first = np.append(self.first, len(pairs))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        which = np.repeat(np.arange(len(self.terms)), df)
-        self.weight = idf[which] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / max(sizes.mean(), 1.0)))
-        # each document's terms that others share, heaviest first
-        shared = np.flatnonzero(df[which] > 1)
-        order = shared[np.lexsort((-self.weight[shared], self.doc[shared]))]
-        self.query = which[order]
+        term, doc = pairs >> 32, pairs & 0xFFFFFFFF
+        terms, df = np.unique(term, return_counts=True)
+        which = np.repeat(np.arange(len(terms)), df)
+        weight = (corpus.idf(terms)[which] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / corpus.mean))).astype(np.float32)
+        common = df > max(16, n // DENSE)
+        at = np.flatnonzero(common[which])
+        column = np.cumsum(common) - 1
+        dense = np.zeros((n, int(common.sum())), np.float32)
+        dense[doc[at], column[which[at]]] = weight[at]
+        self.dense, self.held = dense, dense > 0
+        some = np.flatnonzero(~common[which] & (df[which] > 1))
+        self.doc, self.weight = doc[some], weight[some]
+        own = which[some]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        self.first, self.count = starts, np.diff(np.append(starts, len(own)))
+        order = np.argsort(self.doc, kind="stable")
+        self.query = np.repeat(np.arange(len(starts)), self.count)[order]
         self.at = np.searchsorted(self.doc[order], np.arange(n + 1))
         self.n = n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first, ties in order."""
-        terms = self.query[self.at[seed] : min(self.at[seed] + QUERY_TERMS, self.at[seed + 1])]
-        if not len(terms):
-            return np.zeros(0, np.int64)
-        places = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms])
-        places = places[unused[self.doc[places]]]
-        score = np.bincount(self.doc[places], self.weight[places], minlength=0)
-        found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+        """Unused documents that share a term with the seed, best first, ties in order."""
+        score = self.dense @ self.held[seed].astype(np.float32)
+        terms = self.query[self.at[seed] : self.at[seed + 1]]
+        if len(terms):
+            places = spread(self.first[terms], self.count[terms])
+            score += np.bincount(self.doc[places], self.weight[places], minlength=self.n).astype(np.float32)
+        found = np.flatnonzero((score > 0) & unused)
+        return found[np.argsort(-score[found], kind="stable")]
+
+
+class Corpus:
+    """What BM25 needs to know of all documents: in how many each term is, how many there are and their mean length."""
+
+    def __init__(self, frequency: np.ndarray, documents: int, ids: int):
+        self.frequency, self.documents, self.mean = frequency, documents, max(ids / max(documents, 1), 1.0)
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.frequency[terms]
+        return np.log1p((self.documents - df + 0.5) / (df + 0.5))
+
+
+def corpus_of(tokens: DataFrame) -> Corpus:
+    """One pass over the stored ids; what comes back is one row for each term of the vocabulary."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        documents = ids = 0
+        for batch in batches:
+            lists = [_ids(x) for x in batch.column("ids").to_pylist()]
+            for a, b in slices([len(x) for x in lists], 1 << 21):
+                flat = np.concatenate(lists[a:b]).astype(np.int64)
+                documents, ids = documents + b - a, ids + len(flat)
+                width = int(flat.max()) + 1
+                total = np.concatenate([total, np.zeros(max(0, width - len(total)), np.int64)])
+                held = np.zeros(width, bool)
+                for x in lists[a:b]:
+                    held[x] = True
+                    now = np.flatnonzero(held) if len(x) > width // 8 else np.unique(x)
+                    total[now] += 1
+                    held[x] = False
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(total[some], [documents, ids]))], ["term", "n"])
+
+    held = tokens.select("ids").mapInArrow(count, schema("term long, n long")).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    known = dict(zip(held.column("term").to_pylist(), held.column("n").to_pylist(), strict=True))
+    documents, ids = known.pop(-1, 0), known.pop(-2, 0)
+    frequency = np.zeros(max(known, default=0) + 1, np.int64)
+    frequency[list(known)] = list(known.values())
+    return Corpus(frequency, documents, ids)
 
 
 class Packer:
     """Fills windows; the open window is carried from shard to shard."""
 
-    def __init__(self, first_sequence: int):
-        self.sequence, self.room = first_sequence, WINDOW
+    def __init__(self, first_sequence: int, corpus: Corpus):
+        self.sequence, self.room, self.corpus = first_sequence, WINDOW, corpus
         self.open: list[tuple[int | None, int, np.ndarray, int]] = []  # document, start, ids, tokens of the document
         self.done: list[tuple] = []
 
@@ -90,7 +140,7 @@ class Packer:
         return take
 
     def shard(self, names: list, documents: list[np.ndarray]) -> None:
-        index, unused, at = Index(documents), np.ones(len(documents), bool), 0
+        index, unused, at = Index(documents, self.corpus), np.ones(len(documents), bool), 0
         seed: tuple[int, int] | None = None  # document, ids of it that are placed
         around: Iterator[int] = iter(())
         while True:
@@ -132,20 +182,27 @@ class Packer:
 
 
 def _tokenize(path: str):
-    end = struct.pack("<I", END_ID)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = library_units(path, False)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a in range(0, len(texts), 256):
-                coded = [np.frombuffer(x + end, "<u4") for x in library.encode(texts[a : a + 256])]
-                affinity = []
-                for ids in coded:
-                    at = np.arange(max(len(ids) - 2, 1))
-                    affinity.append(int(Rolling(mix(ids.astype(np.uint64) + np.uint64(7))).of(at, np.minimum(at + 3, len(ids))).min() >> np.uint64(1)))
+            for a, b in slices([len(t) for t in texts], TEXT_BYTES):
+                ids, first = library.encode(texts[a:b])
+                n = b - a
+                flat = np.insert(ids, first[1:], END_ID)
+                first = first + np.arange(n + 1)
+                # trigrams that begin in a document and end in it; a short one has one gram of what there is
+                ends = np.repeat(first[1:], np.diff(first))
+                at = np.arange(len(flat))
+                grams = Rolling(mix(flat.astype(np.uint64) + np.uint64(7))).of(at, np.minimum(at + 3, ends))
+                short = (at + 3 > ends) & (at > np.repeat(first[:-1], np.diff(first)))
+                grams[short] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                affinity = (np.minimum.reduceat(grams, first[:-1]) >> np.uint64(1)).astype(np.int64)
+                wide = np.maximum.reduceat(flat, first[:-1]) > 65535
+                small, large, at = flat.astype("<u2"), flat.astype("<u4"), first.tolist()
+                held = [large[at[i] : at[i + 1]].tobytes() if wide[i] else b"\0" + small[at[i] : at[i + 1]].tobytes() for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, len(coded)), batch.column("row_hash").slice(a, len(coded)), pa.array(affinity, pa.int64()), pa.array([x.tobytes() if x.max() > 65535 else b"\0" + x.astype("<u2").tobytes() for x in coded], pa.binary())],
+                    [batch.column("doc_id").slice(a, n), batch.column("row_hash").slice(a, n), pa.array(affinity), pa.array(held, pa.binary())],
                     ["doc_id", "row_hash", "affinity", "ids"],
                 )
 
@@ -157,34 +214,40 @@ def _ids(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2", offset=1) if len(raw) % 2 else np.frombuffer(raw, "<u4")
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _packer(corpus):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        packer = Packer(TaskContext.get().partitionId() << 36, corpus.value)
+        names: list = []
+        documents: list[np.ndarray] = []
+        held = 0
 
-    packer = Packer(TaskContext.get().partitionId() << 36)
-    names: list = []
-    documents: list[np.ndarray] = []
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*packer.done, strict=True)) or [()] * 7
+            packer.done = []
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split(" ")[0] for x in _PIECE.split(", ")])
 
-    def out() -> pa.RecordBatch:
-        cols = list(zip(*packer.done, strict=True)) or [()] * 7
-        packer.done = []
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split(" ")[0] for x in _PIECE.split(", ")])
+        for batch in batches:
+            for name, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                names.append(name)
+                documents.append(_ids(raw))
+                held += len(documents[-1])
+                if len(documents) == SHARD or held >= SHARD_IDS:
+                    packer.shard(names, documents)
+                    names, documents, held = [], [], 0
+                    yield out()
+        if documents:
+            packer.shard(names, documents)
+        packer.finish()
+        yield out()
 
-    for batch in batches:
-        for name, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            names.append(name)
-            documents.append(_ids(raw))
-            if len(documents) == SHARD:
-                packer.shard(names, documents)
-                names, documents = [], []
-                yield out()
-    if documents:
-        packer.shard(names, documents)
-    packer.finish()
-    yield out()
+    return run
 
 
 def pack_documents(docs: DataFrame, path: str) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     tokens = durable(documents_only(docs).mapInArrow(_tokenize(path), schema("doc_id long, row_hash long, affinity long, ids binary")))
+    corpus = tokens.sparkSession.sparkContext.broadcast(corpus_of(tokens))
     ordered = tokens.repartitionByRange("affinity", "row_hash", "doc_id").sortWithinPartitions("affinity", "row_hash", "doc_id")
-    return ordered.select("doc_id", "ids").mapInArrow(_pack, schema(_PIECE))
+    return ordered.select("doc_id", "ids").mapInArrow(_packer(corpus), schema(_PIECE))
