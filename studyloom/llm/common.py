@@ -17,12 +17,14 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (local tests)."""
+    """The folder all executors share; a temporary one only where the session names none and runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="studyloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -30,13 +32,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing. The files are
-    removed when the driver's JVM ends."""
+    removed by :func:`dropped` or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/studyloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._studyloom_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files of durable tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(df._studyloom_path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+#: A key is heavy if it has more than this share of a table's rows, so at most a thousand keys are.
+HEAVY = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``n`` the number of rows that ``left``, of ``total`` rows in
+    all, has for it. The few heavy keys are broadcast, so that their rows stay where they are; the others are shuffled."""
+    weight = F.col("n") > total // HEAVY
+    heavy, light = F.broadcast(right.where(weight).drop("n")), right.where(~weight).drop("n")
+    rest = left.join(F.broadcast(right.where(weight).select(key)), key, "left_anti")
+    return left.join(heavy, key).unionByName(rest.join(light, key, how))
 
 
 def documents_only(docs: DataFrame, *more: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import dropped, durable, spread_join
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,20 +13,23 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) for every node of edges (a, b: long). Each round hooks nodes to smaller
-    neighbours by one aggregation and one join a star, so a hub never meets its neighbours in one task; rounds end when
-    every node hangs directly on its smallest, after about log(n)**2 at worst."""
+    """node, component (smallest node reachable) for every node of edges (a, b: of one type that has an order). Each round hooks
+    nodes to smaller neighbours by one aggregation and one join a star; the hubs with most edges, of which there are few, are
+    joined by broadcast, so a hub never meets its neighbours in one task. Rounds end when every node hangs directly on its
+    smallest, after about log(n)**2 at worst; what a round wrote goes when the next one is written."""
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     known = _state(now)
-    while True:
+    while known[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("hub")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, both.a == least.hub).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, least, "a", 2 * known[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = large.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("m"))
-        small = large.join(least, large.a == least.hub).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = durable(small.unionByName(least.select(F.col("hub").alias("a"), F.col("m").alias("b"))).distinct())
-        state = _state(now)
+        again = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, again, "a", 2 * known[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        after = durable(small.unionByName(again.select("a", F.col("m").alias("b"))).distinct())
+        dropped(now)
+        now, state = after, _state(after)
         if state == known:
             break
         known = state

@@ -7,13 +7,14 @@ group of copies nearly weightless against its few edits, and hide the group.) Ea
 consistent weighted samples; documents whose samples agree in a band are candidates, and a link needs a weighted Jaccard
 similarity of ``THRESHOLD`` or more, computed from the texts.
 
-Copies of one text are a class that goes through once. Within a band's bucket the samples of two documents tell roughly how
-similar they are; pairs far below the threshold are no candidates. The candidates of all bands make candidate groups. In a
-group the ``HUBS`` documents nearest to the group's consensus, its most frequent value of each sample, are compared with
-all members, which joins a group of copies at a cost linear in its size. What is outside the group's largest component is
-then compared with every member outside its own, in blocks, so no link is lost. A block's similarities are one matrix
-product over (shingle, occurrence) features, which gives the weighted intersection exactly. Buckets and groups are cut into
-blocks, so that no group meets in one task.
+Copies of one text are a class that goes through once. Within a band's bucket the samples of two classes tell roughly how
+similar they are; pairs far below the threshold are no candidates. Each bucket has a hub, its class with most company in all
+bands, and the candidates (hub, member) are verified first, which joins a group of copies at a cost linear in its size.
+Members of a bucket that do not hang together by then are compared with those of the other labels by samples, in blocks; the
+candidates that are left make groups, and each group's texts are compared in blocks of bounded bytes and rows, by matrix
+products over (shingle, occurrence) features that give the weighted intersection exactly. So every candidate pair is
+verified or lies within one component, and a block yields no more links than keep its components. Keys
+with many rows (buckets, hubs, copies of a text) are joined by broadcast, as there are few of them, or cut into blocks.
 
 Defined results: null or empty texts have no shingles and are their own group; rows of a null doc_id have a null group and
 are not kept by the digest (the stage keeps them); repeated rows are copies; an empty table gives an empty result; other
@@ -27,18 +28,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import Rolling, Words, documents_only, durable, fresh, mix, schema, slices
+from .common import Rolling, Words, documents_only, dropped, durable, fresh, mix, schema, slices, spread_join
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
 SAMPLES = BANDS * ROWS
 DF_SLOTS = 1 << 18
-CANDIDATE, BUCKET_BLOCK, HUBS, BLOCK = 0.55, 4096, 4, 128
+CANDIDATE, BUCKET_BLOCK, BLOCK, GROUP_ROWS, GROUP_BYTES = 0.55, 512, 128, 1024, 2 << 20
 _SHIFT = np.uint64(64 - 18)
 
 
@@ -165,6 +166,17 @@ def _sketches(idf):
 
 # ---- candidates --------------------------------------------------------------------------------------------------------
 
+
+def _node(doc_id, ckey):
+    """Binary name of a class: its doc_id, so that names sort by it, and the hash of its text."""
+    signed = F.hex(doc_id.bitwiseXOR(F.lit(-(2**63))))
+    return F.concat(F.unhex(F.lpad(signed, 16, "0")), ckey)
+
+
+def _doc_of(node):
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows of equal keys, across batches."""
     held: list[pa.RecordBatch] = []
@@ -172,72 +184,69 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys], 1)
-        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
+        columns = [batch.column(c) for c in keys]
+        new = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            new |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and tuple(ids[s]) != name:
+            here = tuple(c[s].as_py() for c in columns)
+            if held and here != name:
                 yield pa.Table.from_batches(held)
                 held = []
-            name = tuple(ids[s])
+            name = here
             held.append(batch.slice(s, e - s))
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Of the pairs, enough to keep their components."""
-    root: dict[int, int] = {}
+def _pairs(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _forest(names: list, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Of the pairs of places a, b in ``names``, enough to keep their components."""
+    root = list(range(len(names)))
 
     def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
+        while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    kept = []
-    for a, b in pairs:
-        x, y = find(a), find(b)
+    left, right = [], []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(i), find(j)
         if x != y:
             root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
+            left.append(names[i])
+            right.append(names[j])
+    return _pairs(left, right)
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs, strict=True) if pairs else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _blocks(left: DataFrame, right: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows of both sides (role 0 and 1) sent to every pair (i, j) of their blocks within each key, next to each other."""
+    size = [side.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias(name)) for side, name in ((left, "ls"), (right, "rs"))]
+    sizes = size[0].join(size[1], key).withColumn("n", F.lit(0))
+    rows = []
+    for side, own, other, role in ((left, "ls", "rs", 0), (right, "rs", "ls", 1)):
+        held = side.join(sizes.drop("n"), key)
+        placed = held.withColumns({"own": F.pmod(F.xxhash64("node"), F.col(own)).cast("int"), "t": F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
+        i, j = ("own", "t") if role == 0 else ("t", "own")
+        rows.append(placed.select(key, F.col(i).alias("i"), F.col(j).alias("j"), F.lit(role).alias("role"), *[c for c in side.columns if c != key]))
+    return rows[0].unionByName(rows[1]).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's block, or of two of its blocks, whose samples agree enough; a spanning forest of them."""
+    """Pairs of the two sides of a bucket's blocks that have different labels and whose samples agree enough; as many as keep
+    their components."""
     for g in _groups(batches, ["bucket", "i", "j"]):
-        reps, role = g.column("rep_id").to_pylist(), g.column("role").to_numpy()
-        marks = np.frombuffer(b"".join(g.column("sketch").to_pylist()), "<u2").reshape(len(reps), SAMPLES)
-        within = g.column("i")[0].as_py() == g.column("j")[0].as_py()
-        right = np.arange(len(reps)) if within else np.flatnonzero(role == 1)
-        pairs = []
-        for k in range(len(reps)) if within else np.flatnonzero(role == 0).tolist():
-            others = right[k + 1 :] if within else right
-            near = others[(marks[others] == marks[k]).sum(axis=1) >= CANDIDATE * SAMPLES]
-            pairs += [(reps[k], reps[j]) for j in near.tolist()]
-            if len(pairs) > 100_000:
-                pairs = _forest(pairs)
-        yield _edges(_forest(pairs))
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """a, b: links between classes (rep_id, bands, sketch) that make the candidate groups."""
-    entries = classes.select("rep_id", F.explode("bands").alias("bucket"))
-    full = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
-    held = entries.join(full, "bucket").join(classes.select("rep_id", "sketch"), "rep_id")
-    return _in_pairs(held.withColumn("block", F.pmod(F.xxhash64("rep_id"), F.col("blocks")).cast("int")), "bucket").mapInArrow(_alike, schema("a long, b long"))
-
-
-def _in_pairs(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of each key's blocks sent to every pair (i <= j) of them; role 1 is the side of j."""
-    targets = F.sequence(F.lit(0), F.col("blocks") - 1)
-    sent = rows.withColumn("t", F.explode(targets)).withColumns({"i": F.least("block", "t"), "j": F.greatest("block", "t"), "role": (F.col("t") < F.col("block")).cast("int")})
-    return sent.drop("t", "blocks", "block").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+        names, labels = g.column("node").to_pylist(), np.unique(np.asarray(g.column("label").to_pylist(), object), return_inverse=True)[1]
+        role = g.column("role").to_numpy()
+        marks = np.frombuffer(b"".join(g.column("sketch").to_pylist()), "<u2").reshape(len(names), SAMPLES)
+        left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        near = [right[((marks[right] == marks[k]).sum(axis=1) >= CANDIDATE * SAMPLES) & (labels[right] != labels[k])] for k in left.tolist()]
+        yield _forest(names, np.repeat(left, [len(x) for x in near]), np.concatenate([*near, np.zeros(0, np.int64)]).astype(np.int64))
 
 
 # ---- verification ------------------------------------------------------------------------------------------------------
@@ -286,66 +295,106 @@ def similarities(texts: Shingled, left: np.ndarray, right: np.ndarray, width: in
 
 
 def _linked(idf):
-    """Links of role 0 with role 1 in each block, left out where both have one label; a spanning forest of them."""
+    """Links of role 0, a single text, with role 1 in each block. The texts that link with it hang on the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["cand", "i", "j"]):
-            role, reps, labels = g.column("role").to_numpy(), g.column("rep_id").to_numpy(), g.column("label").to_numpy()
+        for g in _groups(batches, ["a", "block"]):
+            role, names = g.column("role").to_numpy(), g.column("b").to_pylist()
             left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
             if not len(left) or not len(right):
                 continue
             texts = Shingled([t or b"" for t in g.column("text").cast(pa.binary()).to_pylist()], idf.value)
+            close = right[similarities(texts, left[:1], right)[0] >= THRESHOLD - 1e-12].tolist()
+            if close:
+                yield _pairs([g.column("a")[0].as_py()] + [names[close[0]]] * (len(close) - 1), [names[k] for k in close])
+
+    return run
+
+
+def _verified(pairs: DataFrame, base: DataFrame, idf) -> DataFrame:
+    """a, b: links that connect what the pairs (a, b) of a similarity of ``THRESHOLD`` or more connect. A text is sent once for
+    each pair as b, and once for each block of pairs as a."""
+    each = pairs.select("a", "b")
+    size = each.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
+    each = durable(spread_join(each, size, "a", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")))
+    need = each.select(F.col("b").alias("node")).unionByName(each.select(F.col("a").alias("node"))).distinct()
+    texts = durable(base.join(need, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"))
+    ones = each.select("a", "block").distinct().select("a", "block", F.lit(0).alias("role"), F.col("a").alias("b"))
+    sent = ones.unionByName(each.select("a", "block", F.lit(1).alias("role"), "b")).join(texts, F.col("b") == F.col("node"))
+    sent = sent.select("a", "block", "role", "b", "text").repartition("a", "block").sortWithinPartitions("a", "block")
+    found = durable(sent.mapInArrow(_linked(idf), schema("a binary, b binary")))
+    dropped(each, texts)
+    return found
+
+
+def _compared(idf):
+    """Links between the texts of two blocks of a group, or of one block with itself, that have different labels; as many as
+    keep their components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["cand", "i", "j"]):
+            role, names = g.column("role").to_numpy(), g.column("node").to_pylist()
+            labels = np.unique(np.asarray(g.column("label").to_pylist(), object), return_inverse=True)[1]
+            same = g.column("i")[0].as_py() == g.column("j")[0].as_py()
+            left = np.arange(len(names)) if same else np.flatnonzero(role == 0)
+            right = left if same else np.flatnonzero(role == 1)
+            if not len(left) or not len(right) or (labels == labels[0]).all():
+                continue
+            texts = Shingled([t or b"" for t in g.column("text").cast(pa.binary()).to_pylist()], idf.value)
             close = similarities(texts, left, right) >= THRESHOLD - 1e-12
-            close &= labels[left][:, None] != labels[right][None, :]
-            a, b = np.nonzero(close)
-            yield _edges(_forest(list(zip(reps[left[a]].tolist(), reps[right[b]].tolist(), strict=True))))
+            a, b = np.nonzero(close & (labels[left][:, None] != labels[right][None, :]))
+            yield _forest(names, left[a], right[b])
 
     return run
 
 
-def _compare(left: DataFrame, right: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Links between left (cand, rep_id, label) and right members of a candidate group, by blocks of both."""
-    sides = {}
-    for name, side in (("l", left), ("r", right)):
-        size = side.groupBy("cand").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{name}_blocks"))
-        sides[name] = side, size
-    sizes = sides["l"][1].join(sides["r"][1], "cand")
-    rows = []
-    for name, other, number in (("l", "r", 0), ("r", "l", 1)):
-        own = sides[name][0].join(sizes, "cand")
-        block, every = F.pmod(F.xxhash64("rep_id"), F.col(f"{name}_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
-        i, j = ("own", "t") if number == 0 else ("t", "own")
-        rows.append(own.withColumns({"own": block}).withColumn("t", every).select("cand", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(number).alias("role"), "rep_id", "label"))
-    need = rows[0].unionByName(rows[1])
-    whole = need.join(texts, "rep_id").repartition("cand", "i", "j").sortWithinPartitions("cand", "i", "j")
-    return whole.select("cand", "i", "j", "role", "rep_id", "label", "text").mapInArrow(_linked(idf), schema("a long, b long"))
-
-
-def _hubs(members: DataFrame) -> DataFrame:
-    """cand, rep_id of the members that agree most with the most frequent samples of their group."""
-    each = members.select("cand", "rep_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.substring("sketch", 2 * k + 1, 2))).alias("k", "value"))
-    counts = each.groupBy("cand", "k", "value").agg(F.count("*").alias("n"))
-    most = counts.groupBy("cand", "k").agg(F.max(F.struct("n", "value")).alias("m")).select("cand", "k", F.col("m.value").alias("value"))
-    score = each.join(most, ["cand", "k", "value"], "left_semi").groupBy("cand", "rep_id").agg(F.count("*").alias("agree"))
-    best = members.select("cand", "rep_id").join(score, ["cand", "rep_id"], "left")
-    order = W.partitionBy("cand").orderBy(F.desc(F.coalesce("agree", F.lit(0))), "rep_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS).select("cand", "rep_id")
-
-
-def links(classes: DataFrame, texts: DataFrame, idf) -> DataFrame:
+def _in_groups(pairs: DataFrame, label: DataFrame, base: DataFrame, idf) -> DataFrame:
+    """a, b: links within each group that the candidate pairs make, by matrix products of its blocks of bounded bytes and rows."""
+    group = durable(components(pairs).select("node", F.col("component").alias("cand")))
+    texts = base.join(group.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
+    members = group.join(label, "node", "left").select("cand", "node", F.coalesce("component", "node").alias("label")).join(texts, "node")
+    members = durable(members)
+    blocks = F.ceil(F.greatest(F.sum(F.octet_length("text")) / GROUP_BYTES, F.count("*") / GROUP_ROWS)).cast("int")
+    sizes = members.groupBy("cand").agg(blocks.alias("blocks"), F.count("*").alias("n"))
+    placed = spread_join(members, sizes, "cand", members.count()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sent = placed.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("cand", F.least("block", "t").alias("i"), F.greatest("block", "t").alias("j"), (F.col("t") < F.col("block")).cast("int").alias("role"), "node", "label", "text")
+    found = durable(sent.repartition("cand", "i", "j").sortWithinPartitions("cand", "i", "j").mapInArrow(_compared(idf), schema("a binary, b binary")))
+    dropped(group, members)
+    return found
+
+
+def links(classes: DataFrame, base: DataFrame, idf) -> DataFrame:
     """a, b: verified links that keep the components of all links between candidates."""
-    label = components(candidates(classes))
-    members = durable(label.select(F.col("node").alias("rep_id"), F.col("component").alias("cand")).join(classes.select("rep_id", "sketch"), "rep_id"))
-    texts = durable(texts.join(members.select("rep_id", "cand"), "rep_id").select("rep_id", "text"))
-    own = members.select("cand", "rep_id", F.col("rep_id").alias("label"))
-    hubs = durable(_hubs(members))
-    found = durable(_compare(own.join(hubs, ["cand", "rep_id"], "left_semi"), own, texts, idf))
-    part = components(found)
-    now = durable(members.join(part, F.col("rep_id") == F.col("node"), "left").select("cand", "rep_id", F.coalesce("component", "rep_id").alias("label")))
-    sizes = now.groupBy("cand", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cand").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("size")).where(F.col("size") > HUBS).select("cand", F.col("m.label").alias("main"))
-    outside = now.join(main, "cand").where("label <> main").drop("main")
-    return found.unionByName(durable(_compare(outside, now, texts, idf)))
+    total = classes.count() * BANDS
+    entries = classes.select("node", F.explode("bands").alias("bucket"))
+    full = durable(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    held = spread_join(entries, full.withColumn("size", F.col("n")), "bucket", total)
+    popular = held.groupBy("node").agg(F.sum("size").alias("popular"))
+    held = durable(held.join(popular, "node").join(classes.select("node", "sketch"), "node"))
+    # the hub of a bucket is its member with most company in all bands
+    hubs = held.groupBy("bucket").agg(F.max(F.struct("popular", "node", "sketch")).alias("h"), F.count("*").alias("n"))
+    hubs = durable(hubs.select("bucket", "n", F.col("h.node").alias("a"), F.col("h.sketch").alias("hub_sketch")))
+    agree = F.size(F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.substring("sketch", 2 * k + 1, 2) == F.substring("hub_sketch", 2 * k + 1, 2)))
+    near = spread_join(held.select("bucket", "node", "sketch"), hubs, "bucket", held.count()).where("node <> a")
+    first = durable(near.where(agree >= CANDIDATE * SAMPLES).select("a", F.col("node").alias("b")).distinct())
+    found = _verified(first, base, idf)
+    label = durable(components(found))
+    # what is left of a bucket: members that do not hang together, compared with those of other labels
+    now = held.select("bucket", "node", "sketch").join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    now = durable(now)
+    sizes = now.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels"), F.sum("k").alias("n"))
+    main = durable(main.where("labels > 1").select("bucket", F.col("m.label").alias("main"), "n"))
+    open_ = durable(spread_join(now, main, "bucket", now.count()))
+    if open_.isEmpty():
+        return found
+    minor = open_.where("label <> main").drop("main")
+    pairs = durable(_blocks(minor, open_.drop("main"), "bucket", BUCKET_BLOCK).mapInArrow(_alike, schema("a binary, b binary")))
+    if not pairs.isEmpty():
+        found = durable(found.unionByName(_in_groups(pairs, label, base, idf)))
+    dropped(full, held, hubs, first, label, now, main, open_, pairs)
+    return found
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -355,17 +404,17 @@ def groups(docs: DataFrame) -> DataFrame:
     base = documents_only(docs).withColumn("ckey", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     idf = spark.sparkContext.broadcast(inverse(word_frequencies(base)))
     rows = durable(base.mapInArrow(_sketches(idf), schema(_SKETCH)))
-    named = rows.where("doc_id is not null and bands is not null")
-    first = F.min(F.struct("doc_id", "row_hash", "bands", "sketch")).alias("x")
-    classes = durable(named.groupBy("ckey").agg(first).select("ckey", F.col("x.doc_id").alias("rep_id"), F.col("x.row_hash").alias("rep_row"), "x.bands", "x.sketch"))
-    # one text stands for each doc_id, should an id have several rows
-    single = classes.groupBy("rep_id").agg(F.min("rep_row").alias("rep_row"))
-    unique = classes.join(single, ["rep_id", "rep_row"], "left_semi").dropDuplicates(["rep_id"])
-    texts = base.join(single, (F.col("doc_id") == F.col("rep_id")) & (F.col("row_hash") == F.col("rep_row"))).select("rep_id", "text")
-    label = components(links(unique, texts, idf))
-    per = classes.select("ckey", "rep_id").join(label, F.col("rep_id") == F.col("node"), "left").select("ckey", "rep_id", F.coalesce("component", "rep_id").alias("component"))
     key = F.when(F.col("doc_id").isNotNull() & F.col("bands").isNotNull(), F.col("ckey"))
-    out = rows.select("doc_id", "row_hash", key.alias("ckey")).join(per, "ckey", "left")
+    named = rows.select("doc_id", "row_hash", key.alias("ckey"), "bands", "sketch")
+    first = F.min(F.struct("doc_id", "bands", "sketch")).alias("x")
+    classes = named.where("ckey is not null").groupBy("ckey").agg(first, F.count("*").alias("n"))
+    classes = durable(classes.select("ckey", "n", F.col("x.doc_id").alias("rep_id"), _node(F.col("x.doc_id"), F.col("ckey")).alias("node"), "x.bands", "x.sketch"))
+    found = links(classes, base.withColumn("node", _node(F.col("doc_id"), F.col("ckey"))), idf)
+    label = components(found)
+    per = classes.select("ckey", "n", "rep_id", "node").join(label, "node", "left")
+    # an id with several texts: whatever one of them reaches, the id reaches
+    per = durable(per.select("ckey", "n", "rep_id", _doc_of(F.coalesce("component", "node")).alias("component")))
+    out = spread_join(named.select("doc_id", "row_hash", "ckey"), per, "ckey", rows.count(), "left")
     return out.select("doc_id", "row_hash", F.coalesce("rep_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("group_id"))
 
 

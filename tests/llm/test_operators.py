@@ -442,6 +442,35 @@ def test_near_duplicates(spark, none):
     assert rows(minhash_dedup.near_digest(none)) == []
 
 
+def test_edited_copies_equal_weighted_brute_force(spark):
+    """Groups of edited copies, and an id with two texts, against all pairs by weighted Jaccard similarity."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+
+    def edited(text: list[str], times: int) -> str:
+        text = list(text)
+        for _ in range(times):
+            text[rnd.randrange(len(text))] = rnd.choice(words)
+        return " ".join(text)
+
+    data = []
+    for _ in range(25):
+        base = rnd.choices(words, k=rnd.randint(80, 200))
+        data += [(len(data) + i, edited(base, rnd.randint(0, 5))) for i in range(rnd.randint(1, 25))]
+    one, two = rnd.choices(words, k=150), rnd.choices(words, k=150)
+    data += [(5000, edited(one, 0)), (5000, edited(two, 0)), (5020, edited(one, 1)), (5021, edited(two, 1))]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    idf = minhash_dedup.inverse(minhash_dedup.word_frequencies(minhash_dedup.documents_only(df)))
+    everything = np.arange(len(data))
+    close = minhash_dedup.similarities(minhash_dedup.Shingled([t.encode() for _, t in data], idf), everything, everything) >= 0.8
+    label = everything.copy()
+    for _ in data:
+        label = np.where(close, label[None, :], len(data)).min(axis=1)
+    want = Counter((d, min(data[j][0] for j in np.flatnonzero(label == label[i]))) for i, (d, _) in enumerate(data))
+    assert Counter((r.doc_id, r.group_id) for r in minhash_dedup.groups(df).collect()) == want and (close.sum() - len(data)) / 2 > 500
+    assert {g for (d, g) in want if d in (5020, 5021)} == {5000}
+
+
 def test_similarity_of_repeated_shingles():
     idf = np.ones(minhash_dedup.DF_SLOTS, np.float32)
     texts = [b"a b c d e " * 4, b"a b c d e " * 2, b"q r s t u v"]
