@@ -141,15 +141,26 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     return root, nodes
 
 
-def _named(node: Node) -> bool:
-    """Whether a class or id calls the element something else than an article."""
+def _named(node: Node, but: str = "") -> bool:
+    """Whether a class or id calls the element something else than an article, and not just ``but``."""
     for name in (*node.attrs.get("class", "").split(), node.attrs.get("id", "")):
         words = [w.lower() for w in _WORDS.findall(name)]
-        if words and (words[0] in NAMES or words[-1] in NAMES):
+        if words and any(w in NAMES and w != but for w in (words[0], words[-1])):
             return True
     return False
 
 
+def _within(nodes: list[Node], what) -> set[int]:
+    """The nodes that lie within another for which ``what`` holds."""
+    found, holds = set(), set()
+    for node in nodes:
+        if what(node):
+            holds.add(id(node))
+        if node.parent is not None and (id(node.parent) in found or id(node.parent) in holds):
+            found.add(id(node))
+    return found
+
+
 def _prune(nodes: list[Node], names: bool, kept: frozenset[int] = frozenset()) -> bool:
     """Mark the subtrees that are no article, by forms and names (but for the nodes ``kept``) only if ``names``; whether
     an article or main tag marks the article."""
@@ -157,8 +168,9 @@ def _prune(nodes: list[Node], names: bool, kept: frozenset[int] = frozenset()) -
         node.chars = node.links = node.tags = node.link_tags = 0
         node.density = node.total = 0.0
         node.drop, node.best = False, node
+    inside, commented = _within(nodes, lambda n: n.tag in ("article", "main")), _within(nodes, _comment)
     for node in nodes[1:]:
-        if node.tag in ("article", "main") and not _named(node) and not any(_comment(n) for n in _above(node)):
+        if node.tag in ("article", "main") and not _named(node) and id(node) not in commented:
             up = node
             while up is not None and not up.core:  # core: holds an article
                 up.core = True
@@ -176,7 +188,7 @@ def _prune(nodes: list[Node], names: bool, kept: frozenset[int] = frozenset()) -
             form = node.tag == "form" or role == "form"
             other = called or (names and id(node) not in kept if form else node.tag in NO_ARTICLE or role in ROLES)
             if node.tag == "header":
-                other = not any(n.tag in ("article", "main") for n in _above(node)) or called
+                other = id(node) not in inside or called and _named(node, "header")
             node.drop = other and node.tag not in ("h1",)
         elif node.tag in ("nav", "aside", "footer", "form", "dialog"):
             node.drop = False
@@ -191,7 +203,10 @@ def _pruned(nodes: list[Node]) -> Node:
     titled: set[int] = set()  # a wrapper around the page's title is no list of comments
     for node in nodes:
         if node.tag == "h1":
-            titled.update(id(n) for n in _above(node))
+            for n in _above(node):
+                if id(n) in titled:
+                    break
+                titled.add(id(n))
     marked = _prune(nodes, False, frozenset(titled))
     body = _measure(nodes)
     _settle(nodes)
@@ -279,16 +294,18 @@ def _content(body: Node, nodes: list[Node]) -> tuple[Node, float]:
     for node in (core, *_above(core)):
         if node.tag in ("article", "main"):
             return node, threshold
-    marked = {id(n.best): n.best for n in nodes if not n.drop and n.tag not in INLINE and n.density >= threshold and n.chars and (n is body or any(u is body for u in _above(n)))}
-    chains = []
-    for node in marked.values():
-        chain = [node, *_above(node)]
-        chains.append(chain[::-1])
+    within = _within(nodes, lambda n: n is body)
+    marked = {id(n.best) for n in nodes if not n.drop and n.tag not in INLINE and n.density >= threshold and n.chars and (n is body or id(n) in within)}
+    # the innermost node that has all of them
+    below: dict[int, int] = {}
     common = core
-    for level in zip(*chains, strict=False):
-        if any(x is not level[0] for x in level):
+    for node in reversed(nodes):
+        below[id(node)] = below.get(id(node), 0) + (id(node) in marked)
+        if marked and below[id(node)] == len(marked):
+            common = node
             break
-        common = level[0]
+        if node.parent is not None:
+            below[id(node.parent)] = below.get(id(node.parent), 0) + below[id(node)]
     return common, threshold
 
 
