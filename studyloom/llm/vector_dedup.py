@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,7 @@ def _matrix(vectors: list[bytes]) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+@lru_cache(maxsize=256)
 def _rotation(d: int, number: int) -> np.ndarray:
     q, _ = np.linalg.qr(np.random.Generator(np.random.PCG64([d, number])).standard_normal((d, d)))
     return q
