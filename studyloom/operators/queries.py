@@ -174,8 +174,7 @@ def snk_bulk_links(spark, sf_dir):
 
 def snk_broadcast(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("props").alias("payload"))
-    has = F.get_json_object("payload", "$.id").isNotNull()
-    return events.select("event_id", F.when(has, F.col("payload")).otherwise(F.concat(F.lit('{"id":"'), F.sha2("payload", 256), F.lit('",'), F.substring("payload", 2, 1000))).alias("payload"))
+    return events.select("event_id", writers.with_id(F.col("payload")).alias("payload"))
 
 
 def src_llm_shape_variants(spark, sf_dir):
@@ -219,7 +218,7 @@ QUERIES: dict[Callable, str | None] = {
     snk_replace_scope: "select id, project_id, case when project_id in (1, 2) then upper(topic) else topic end as topic from topics",
     snk_append_chunks: "select id, cast(len(embedding) as bigint) as width from vchunks",
     snk_bulk_links: "select distinct t.id as topic_id, c.id as chunk_id from vtopics t join vchunks c on c.project_id = t.project_id and c.section = t.source_section",
-    snk_broadcast: "select event_id, '{\"id\":\"' || sha256(props) || '\",' || substring(props, 2, 1000) as payload from events",
+    snk_broadcast: "select event_id, '{\"id\":\"' || sha256(props) || '\"' || case when trim(substring(props, 2)) = '}' then '' else ',' end || substring(props, 2) as payload from events",
     src_llm_shape_variants: "select 0 as id, 'a?' as question union all select 0, 'b?' union all select 1, 'c?' union all select 2, 'd?' union all select 3, 'e?'",
     srt_random: None,
 }

@@ -24,7 +24,7 @@ MACROS: dict[str, tuple[Callable[..., str], Callable[..., str]]] = {
     "RX": (lambda s, p, r: f"regexp_replace({s}, {p}, {r})", lambda s, p, r: f"regexp_replace({s}, {p}, {_duck_regex(r)}, 'g')"),
     "MATCH": (lambda s, p: f"({s} rlike {p})", lambda s, p: f"regexp_matches({s}, {p})"),
     "BROUND": (lambda x, n: f"bround({x}, {n})", lambda x, n: f"round_even({x}, {n})"),
-    "INTDIV": (lambda a, b: f"({a} div {b})", lambda a, b: f"({a} // {b})"),
+    "INTDIV": (lambda a, b: f"(({a}) div ({b}))", lambda a, b: f"(({a}) // ({b}))"),
     "LISTAGG": (lambda x, s, o: f"listagg({x}, {s}) within group (order by {o})", lambda x, s, o: f"string_agg({x}, {s} order by {o})"),
     "DOT": (
         lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, x) -> s + x)",
@@ -52,6 +52,8 @@ MACROS: dict[str, tuple[Callable[..., str], Callable[..., str]]] = {
     "SLICE": (lambda a, i, n: f"slice({a}, {i}, {n})", lambda a, i, n: f"list_slice({a}, {i}, {i} + {n} - 1)"),
     "AT": (lambda a, i: f"try_element_at({a}, {i})", lambda a, i: f"list_extract({a}, {i})"),
     "JSON": (lambda s, k: f"get_json_object({s}, {k})", lambda s, k: f"json_extract_string({s}, {k})"),
+    "OBJECT": (lambda *x: f"to_json(named_struct({', '.join(x)}))", lambda *x: f"cast(json_object({', '.join(x)}) as varchar)"),
+    "TOJSON": (lambda a: f"to_json({a})", lambda a: f"cast(to_json({a}) as varchar)"),
     "FMT": (lambda t, s, d: f"date_format({t}, {s})", lambda t, s, d: f"strftime({t}, {d})"),
     "PLUSDAYS": (lambda t, n: f"({t} + make_dt_interval({n}))", lambda t, n: f"({t} + to_days(cast({n} as integer)))"),
     "SECONDS": (lambda a, b: f"cast(timestampdiff(second, {b}, {a}) as bigint)", lambda a, b: f"cast(date_diff('second', {b}, {a}) as bigint)"),

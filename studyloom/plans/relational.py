@@ -5,10 +5,19 @@ from __future__ import annotations
 from .adapters import AS_OF
 
 #: key -> SELECT in the common dialect.
+def _tenths(total: str, n: str) -> str:
+    """The mean, with one decimal (half to even), of ``n`` values whose sum in thousand millionths is ``total``: in integers, so
+    that no order of summation moves it over a rounding edge."""
+    unit = f"({n} * 100000000)"
+    whole, rest = f"@INTDIV({total}, {unit})", f"(2 * ({total} % {unit}))"
+    up = f"case when {rest} > {unit} or ({rest} = {unit} and {whole} % 2 = 1) then 1 else 0 end"
+    return f"cast({whole} + {up} as double) / 10"
+
+
 PLANS: dict[str, str] = {
     # ---- scans, filters, projections
     "src_table_scan": "select o_orderkey as order_id, o_custkey as user_id, o_totalprice as total from orders",
-    "snk_row_to_json": "select id, '{\"generated\":' || cast(generated as varchar(20)) || ',\"rejected\":' || cast(rejected as varchar(20)) || '}' as doc from runs",
+    "snk_row_to_json": "select id, @OBJECT('generated', generated, 'rejected', rejected) as doc from runs",
     "flt_project_scope": "select id, topic, category from topics where project_id = 7",
     "flt_owner_guard": "select id, name from projects where id = 7 and user_id = (select user_id from projects where id = 7)",
     "flt_optional_scope": "select id, page from chunks where project_id = 3 and doc_id = 28",
@@ -45,9 +54,9 @@ PLANS: dict[str, str] = {
     "jon_cards_left_reviews": "select f.id, count(r.id) as n from flashcards f left join (select * from reviews where is_correct) r on r.flashcard_id = f.id group by f.id",
     "jon_reviews_cards": "select r.topic, count(distinct f.id) as n from reviews r join flashcards f on f.id = r.flashcard_id group by r.topic",
     "jon_semi_in": "select quiz_id, score from attempts where quiz_id in (select id from quizzes where project_id = 9)",
-    "jon_semi_delete": "select id, topic from topics where project_id not in (select id from projects where topic_status = 'error')",
-    "jon_anti_orphans": "select t.id from vtopics t where not exists (select 1 from vchunks c where c.project_id = t.project_id and c.section = t.source_section)",
-    "jon_orphan_chunk_pairs": "select t.id as topic_id, c.id as chunk_id, -@DOT(t.embedding, c.embedding) as distance from vtopics t join vchunks c on c.project_id = t.project_id where c.teaching and not exists (select 1 from vchunks x where x.project_id = t.project_id and x.section = t.source_section and x.id % 9 = 0)",
+    "jon_semi_delete": "select t.id, t.topic from topics t where not exists (select 1 from projects p where p.id = t.project_id and p.topic_status = 'error')",
+    "jon_anti_orphans": "select t.id from vtopics t where not exists (select 1 from vchunks c where c.project_id = t.project_id and c.section = t.source_section and contains(c.chunk_text, split_part(t.topic, ' ', 1)))",
+    "jon_orphan_chunk_pairs": "select t.id as topic_id, c.id as chunk_id, -@DOT(t.embedding, c.embedding) as distance from vtopics t join vchunks c on c.project_id = t.project_id where c.teaching and not exists (select 1 from vchunks x where x.project_id = t.project_id and x.section = t.source_section and contains(x.chunk_text, split_part(t.topic, ' ', 1)))",
     "jon_semi_exists": "select count(*) as n from vtopics t where exists (select 1 from vchunks c where c.project_id = t.project_id and c.section = t.source_section)",
     "jon_exists_order_key": "select id, name, case when exists (select 1 from topics t where t.project_id = p.id and t.category = 'Brand#2') then 0 else 1 end as rank_key from projects p",
     "jon_cross_scalar": "select r.reason, cast(sum(r.n) as bigint) as n, max(t.total) as total from reasons r cross join (select cast(sum(n) as bigint) as total from reasons) t group by r.reason",
@@ -63,8 +72,8 @@ PLANS: dict[str, str] = {
     "agg_coverage_stats": "with links as (select t.id as topic_id, c.id as chunk_id from vtopics t join vchunks c on c.project_id = t.project_id and c.section = t.source_section) select count(*) as links, count(distinct topic_id) as topics, count(distinct chunk_id) as chunks, (select coalesce(max(n), 0) from (select count(*) as n from links group by chunk_id) x) as most from links",
     "agg_max_of_count": "select coalesce(max(n), 0) as most from (select quiz_id, count(*) as n from quiz_answers group by quiz_id) x",
     "agg_quiz_summary": "select q.project_id, count(*) as n, avg(cast(t.score as double) / nullif(t.total_questions, 0) * 100) as average from attempts t join quizzes q on q.id = t.quiz_id where t.total_questions > 0 group by q.project_id",
-    "agg_avg_score": "select q.user_id, coalesce(@BROUND(avg(cast(t.score as double) / nullif(t.total_questions, 0) * 100), 1), 0.0) as average from attempts t join quizzes q on q.id = t.quiz_id group by q.user_id",
-    "agg_hybrid_topic_score": "select coalesce(topic, 'General') as topic, count(*) as n, avg(score) as score from (select a.topic, cast(t.score as double) / t.total_questions * 100 as score from quiz_answers a join attempts t on t.quiz_id = a.quiz_id union all select topic, case when is_correct then 100.0 else 0.0 end from reviews) x group by coalesce(topic, 'General')",
+    "agg_avg_score": f"select user_id, {_tenths('total', 'n')} as average from (select q.user_id, cast(sum(@INTDIV(t.score * 100000000000, t.total_questions)) as bigint) as total, count(*) as n from attempts t join quizzes q on q.id = t.quiz_id where t.total_questions > 0 group by q.user_id) x",
+    "agg_hybrid_topic_score": f"select topic, n, {_tenths('total', 'n')} as score from (select coalesce(topic, 'General') as topic, count(*) as n, cast(sum(score) as bigint) as total from (select a.topic, @INTDIV(t.score * 100000000000, t.total_questions) as score from quiz_answers a join attempts t on t.quiz_id = a.quiz_id union all select topic, case when is_correct then 100000000000 else 0 end from reviews) x group by coalesce(topic, 'General')) y",
     "agg_card_stats_topic": "select topic, total, wrong, hard, good, easy, case when total = 0 then 0.0 else cast(good + easy as double) / total end as accuracy from (select f.topic, count(r.id) as total, count(*) filter (where not r.is_correct) as wrong, count(*) filter (where r.is_correct and r.difficulty = 1) as hard, count(*) filter (where r.is_correct and r.difficulty = 2) as good, count(*) filter (where r.is_correct and r.difficulty = 3) as easy from flashcards f left join reviews r on r.flashcard_id = f.id group by f.topic) x",
     "agg_review_stats_topic": "select topic, count(*) as total, count(*) filter (where not is_correct) as wrong, count(*) filter (where is_correct and difficulty = 1) as hard, count(*) filter (where is_correct and difficulty = 2) as good, count(*) filter (where is_correct and difficulty = 3) as easy from reviews group by topic",
     "agg_card_difficulty_counts": "select topic, cast(sum(n) as bigint) as total from (select lower(trim(coalesce(topic, 'General'))) as topic, difficulty, count(*) as n from flashcards group by coalesce(topic, 'General'), difficulty) x group by topic",
@@ -77,7 +86,7 @@ PLANS: dict[str, str] = {
     "agg_weak_topics": "select title, accuracy from (select title, avg(case when is_correct then 1.0D else 0.0D end) as accuracy from quiz_answers group by title) x order by accuracy asc, title limit 5".replace("1.0D", "cast(1 as double)").replace("0.0D", "cast(0 as double)"),
     "agg_adaptive_quiz_size": "select user_id, case when a < 0.5 then 15 when a < 0.8 then 20 else 25 end as questions from (select q.user_id, coalesce(nullif(avg(case when a.is_correct then cast(1 as double) else cast(0 as double) end), 0), 0.5) as a from quizzes q join quiz_answers a on a.quiz_id = q.id group by q.user_id) x",
     "agg_topic_stats_union": "select topic, cast(sum(correct) as bigint) as correct, cast(sum(total) as bigint) as total from (select a.topic, count(*) filter (where a.is_correct) as correct, count(*) as total from quiz_answers a join quizzes q on q.id = a.quiz_id where a.topic is not null and lower(trim(a.topic)) <> 'general' group by a.topic union all select topic, count(*) filter (where is_correct) as correct, count(*) as total from reviews where topic is not null and lower(trim(topic)) <> 'general' group by topic) x group by topic",
-    "agg_attempts_by_quiz": "select q.difficulty, count(*) as attempts, max(t.score) as best, avg(t.score) as average, max_by(t.score, t.quiz_id) as last_score from attempts t join quizzes q on q.id = t.quiz_id group by q.difficulty",
+    "agg_attempts_by_quiz": "select t.quiz_id, count(*) as attempts, max(t.score) as best, avg(t.score) as average, max_by(t.score, t.created_at) as last_score from attempts t join quizzes q on q.id = t.quiz_id group by t.quiz_id",
     "agg_attempts_summary": "select q.user_id, count(*) as attempts, max(t.score) as best, max_by(t.score, t.quiz_id) as last_score from attempts t join quizzes q on q.id = t.quiz_id group by q.user_id",
     "agg_hard_summary": "select count(*) as runs, avg(rejected) as average, percentile_cont(0.5) within group (order by rejected) as median, min(rejected) as least, max(rejected) as most, avg(cast(generated - rejected as double) / generated) as acceptance from runs",
     "agg_rejection_breakdown": "select reason, n, case when total = 0 then 0.0 else 100.0 * cast(n as double) / total end as pct from (select reason, cast(sum(n) as bigint) as n from reasons group by reason) r cross join (select cast(sum(n) as bigint) as total from reasons) t",
@@ -93,7 +102,7 @@ PLANS: dict[str, str] = {
     "agg_activity_mix": "select project_id, count(*) filter (where kind = 'quiz') as quiz, count(*) filter (where kind = 'cards') as cards, count(*) filter (where kind = 'mixed') as mixed from (select project_id, case id % 3 when 0 then 'quiz' when 1 then 'cards' else 'mixed' end as kind from topics) x group by project_id",
     "agg_bucket_size": "select bucket, cast(sum(size) as bigint) as size from objects group by bucket",
     "agg_string_agg": "select category, @LISTAGG(topic, ',', 'topic') as topics, concat_ws('/', case when bool_or(is_display_topic) then 'shown' end, case when bool_or(not is_display_topic) then 'hidden' end) as flags from topics group by category".replace("'topic'", "topic"),
-    "agg_json_build": "select category, '[' || @LISTAGG('\"' || topic || '\"', ',', topic) || ']' as doc from (select distinct category, topic from topics) x group by category",
+    "agg_json_build": "select category, @TOJSON(@SORTED(@COLLECTSET(topic))) as doc from topics group by category",
     "agg_phase_totals": "select event_type as phase, sum(value) as seconds, max_by(value, ts) as last_value, count(*) as n from events group by event_type",
     "agg_prefix_min": "select split_part(name, '/', 1) as folder, min(id) as first_id, count(*) as n from objects group by split_part(name, '/', 1)",
     "agg_study_flag_counts": "select project_id, count(*) filter (where last_review is not null) as studied from flashcards group by project_id",

@@ -44,11 +44,13 @@ def stem(word: str) -> str:
 
 
 def any_of(text: str, patterns: tuple[str, ...]) -> str:
-    return "(" + " or ".join(f"contains({text}, '{p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + ")"
+    return f"({hits(text, patterns)} > 0)"
 
 
 def hits(text: str, patterns: tuple[str, ...]) -> str:
-    return "(" + " + ".join(f"case when contains({text}, '{p.replace(chr(39), chr(39) * 2)}') then 1 else 0 end" for p in patterns) + ")"
+    """How many of the patterns the text contains; a loop over a literal, as a branch for each makes code too long to compile."""
+    quoted = ", ".join("'" + p.replace("'", "''") + "'" for p in patterns)
+    return f"@SIZE(@FILTER(@ARRAY({quoted}), needle -> contains({text}, needle)))"
 
 
 def listed(values: tuple[str, ...]) -> str:
@@ -110,7 +112,8 @@ PLANS: dict[str, str] = {
     "vec_l2": "select a.vec_id as a, b.vec_id as b, @L2(a.embedding, b.embedding) as distance from embeddings a join embeddings b on a.vec_id < b.vec_id",
     "vec_unit": "select vec_id, sqrt(@DOT(embedding, embedding)) as norm, cast(@AT(embedding, 1) as double) / sqrt(@DOT(embedding, embedding)) as first_unit from embeddings",
     "vec_centroid": "select label, i, avg(cast(@AT(embedding, cast(i as int)) as double)) as mean from (select label, embedding, @EXPLODE(@RANGE(1, 64, 1)) as i from embeddings) x group by label, i",
-    "vec_cohesion_spread": "select a.category, avg(@DOT(a.embedding, b.embedding)) as mean_similarity, 1 - min(@DOT(a.embedding, b.embedding)) as spread from ledger a join ledger b on a.category = b.category and a.id <> b.id group by a.category",
+    # mean similarity to the unit centroid is the length of the mean of unit vectors
+    "vec_cohesion_spread": "select c.category, c.cohesion, coalesce(1 - p.least, cast(0 as double)) as spread from (select category, sqrt(sum(m * m)) as cohesion from (select category, pos, avg(@AT(unit, cast(pos as int))) as m from (select category, unit, @EXPLODE(@RANGE(cast(1 as bigint), @SIZE(unit), cast(1 as bigint))) as pos from (select category, @MAP(embedding, v -> cast(v as double) / norm) as unit from (select category, embedding, sqrt(@DOT(embedding, embedding)) as norm from ledger) n) u) e group by category, pos) g group by category) c left join (select a.category, min(@DOT(a.embedding, b.embedding) / sqrt(@DOT(a.embedding, a.embedding) * @DOT(b.embedding, b.embedding))) as least from ledger a join ledger b on a.category = b.category and a.id < b.id group by a.category) p on p.category = c.category",
     "vec_affinity": "with p as (select a.category as ca, b.category as cb, a.id as ia, b.id as ib, @DOT(a.embedding, b.embedding) as s from ledger a join ledger b on a.category < b.category) select x.ca, x.cb, (x.m + y.m) / 2 as affinity from (select ca, cb, avg(m) as m from (select ca, cb, ia, max(s) as m from p group by ca, cb, ia) u group by ca, cb) x join (select ca, cb, avg(m) as m from (select ca, cb, ib, max(s) as m from p group by ca, cb, ib) v group by ca, cb) y on x.ca = y.ca and x.cb = y.cb",
     "vec_final_score": "select c.id as chunk_id, t.id as topic_id, @DOT(c.embedding, t.embedding) + case when coalesce(c.section, '') = coalesce(t.source_section, '') then 0.20 else 0 end + 0.05 * @SIZE(@FILTER(@SPLIT(t.topic, ' '), w -> length(w) > 4 and contains(c.chunk_text, w))) as score from vchunks c join vtopics t on t.project_id = c.project_id",
     # ---- arrays, maps, JSON, casts
@@ -122,6 +125,6 @@ PLANS: dict[str, str] = {
     "map_merge": "select coalesce(n.user_id, o.user_id) as user_id, coalesce(n.v, o.v) as v from (select user_id, max(value) as v from events where event_type = 'click' group by user_id) n full outer join (select user_id, min(value) as v from events where event_type = 'view' group by user_id) o on o.user_id = n.user_id",
     "jsn_extract": "select event_id, cast(@JSON(props, '$.k') as bigint) as k from events",
     "jsn_parse_or_passthrough": "select event_id, coalesce(@JSON(case when event_id % 5 = 0 then null else props end, '$.k'), 'none') as k from events",
-    "jsn_build": "select event_id, '{\"type\":\"' || event_type || '\",\"user\":' || cast(user_id as varchar(20)) || '}' as doc from events",
+    "jsn_build": "select event_id, @OBJECT('type', event_type, 'user', user_id) as doc from events",
     "cst_safe_int": "select v, coalesce(@TRYINT(v), 0) as n from @LITERALS('12', '-7', '1.5', 'abc', '', '900') l",
 }

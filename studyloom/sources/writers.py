@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -92,13 +92,19 @@ def plan_tree(days: DataFrame, activities: DataFrame) -> DataFrame:
     return out.select("plan_id", F.transform("d", lambda x: F.struct(x.objective.alias("objective"), x.activities.alias("activities"))).alias("days"))
 
 
+def with_id(payload: Column) -> Column:
+    """A JSON object with an id: its own, or the hash of the payload in front of its other members."""
+    rest = F.substring(payload, 2, 2**31 - 1)
+    between = F.when(F.trim(rest) == "}", F.lit('"')).otherwise(F.lit('",'))
+    own = F.get_json_object(payload, "$.id").isNotNull()
+    return F.when(own, payload).otherwise(F.concat(F.lit('{"id":"'), F.sha2(payload, 256), between, rest))
+
+
 def broadcast_batch(path: str):
     """A ``foreachBatch`` sink: add an id to payloads without one and append; replayed batches do not write twice."""
 
     def write(batch: DataFrame, number: int) -> None:
-        has = F.get_json_object("payload", "$.id").isNotNull()
-        given = F.when(has, F.col("payload")).otherwise(F.concat(F.lit('{"id":"'), F.sha2(F.col("payload"), 256), F.lit('",'), F.substring("payload", 2, 1 << 30)))
-        batch.withColumn("payload", given).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        batch.withColumn("payload", with_id(F.col("payload"))).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return write
 
