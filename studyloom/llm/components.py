@@ -5,28 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, durable, spread_join
+from .common import dropped, durable
+
+#: Tasks that share the edges of a node.
+SALTS = 8
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _hooked(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Each edge with what ``least`` says of its node a, as m. The edges of a node are dealt over ``SALTS`` tasks, and adaptive
+    execution may split those further, so a hub never meets its neighbours in one task."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    copies = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return salted.join(copies, ["a", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for every node of edges (a, b: of one type that has an order). Each round hooks
-    nodes to smaller neighbours by one aggregation and one join a star; the hubs with most edges, of which there are few, are
-    joined by broadcast, so a hub never meets its neighbours in one task. Rounds end when every node hangs directly on its
+    nodes to smaller neighbours by one aggregation and one join a star. Rounds end when every node hangs directly on its
     smallest, after about log(n)**2 at worst; what a round wrote goes when the next one is written."""
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     known = _state(now)
     while known[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = spread_join(both, least, "a", 2 * known[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = _hooked(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        again = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = spread_join(large, again, "a", 2 * known[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        again = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = _hooked(large, again).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         after = durable(small.unionByName(again.select("a", F.col("m").alias("b"))).distinct())
         dropped(now)
         now, state = after, _state(after)

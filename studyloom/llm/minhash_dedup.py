@@ -364,8 +364,8 @@ def _in_groups(pairs: DataFrame, label: DataFrame, base: DataFrame, idf) -> Data
     return found
 
 
-def links(classes: DataFrame, base: DataFrame, idf) -> DataFrame:
-    """a, b: verified links that keep the components of all links between candidates."""
+def linked(classes: DataFrame, base: DataFrame, idf) -> DataFrame:
+    """node, component of all classes that have links."""
     total = classes.count() * BANDS
     entries = classes.select("node", F.explode("bands").alias("bucket"))
     full = durable(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
@@ -388,13 +388,14 @@ def links(classes: DataFrame, base: DataFrame, idf) -> DataFrame:
     main = durable(main.where("labels > 1").select("bucket", F.col("m.label").alias("main"), "n"))
     open_ = durable(spread_join(now, main, "bucket", now.count()))
     if open_.isEmpty():
-        return found
+        return label
     minor = open_.where("label <> main").drop("main")
     pairs = durable(_blocks(minor, open_.drop("main"), "bucket", BUCKET_BLOCK).mapInArrow(_alike, schema("a binary, b binary")))
     if not pairs.isEmpty():
-        found = durable(found.unionByName(_in_groups(pairs, label, base, idf)))
-    dropped(full, held, hubs, first, label, now, main, open_, pairs)
-    return found
+        more = _in_groups(pairs, label, base, idf)
+        label = durable(components(more.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    dropped(full, held, hubs, first, found, now, main, open_, pairs)
+    return label
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -409,8 +410,7 @@ def groups(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "bands", "sketch")).alias("x")
     classes = named.where("ckey is not null").groupBy("ckey").agg(first, F.count("*").alias("n"))
     classes = durable(classes.select("ckey", "n", F.col("x.doc_id").alias("rep_id"), _node(F.col("x.doc_id"), F.col("ckey")).alias("node"), "x.bands", "x.sketch"))
-    found = links(classes, base.withColumn("node", _node(F.col("doc_id"), F.col("ckey"))), idf)
-    label = components(found)
+    label = linked(classes, base.withColumn("node", _node(F.col("doc_id"), F.col("ckey"))), idf)
     per = classes.select("ckey", "n", "rep_id", "node").join(label, "node", "left")
     # an id with several texts: whatever one of them reaches, the id reaches
     per = durable(per.select("ckey", "n", "rep_id", _doc_of(F.coalesce("component", "node")).alias("component")))
