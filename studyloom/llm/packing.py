@@ -88,21 +88,18 @@ def corpus_of(tokens: DataFrame) -> Corpus:
     """One pass over the stored ids; what comes back is one row for each term of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total, last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         documents = ids = 0
         for batch in batches:
             lists = [_ids(x) for x in batch.column("ids").to_pylist()]
-            for a, b in slices([len(x) for x in lists], 1 << 21):
-                flat = np.concatenate(lists[a:b]).astype(np.int64)
-                documents, ids = documents + b - a, ids + len(flat)
-                width = int(flat.max()) + 1
-                total = np.concatenate([total, np.zeros(max(0, width - len(total)), np.int64)])
-                held = np.zeros(width, bool)
-                for x in lists[a:b]:
-                    held[x] = True
-                    now = np.flatnonzero(held) if len(x) > width // 8 else np.unique(x)
-                    total[now] += 1
-                    held[x] = False
+            documents, ids = documents + len(lists), ids + sum(map(len, lists))
+            for x in lists:
+                width = int(x.max()) + 1
+                if width > len(total):
+                    total, last = (np.concatenate([t, np.zeros(width - len(t), np.int64)]) for t in (total, last))
+                places = np.arange(len(x))
+                last[x] = places  # of equal ids the last one stays
+                total[x[last[x] == places]] += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(total[some], [documents, ids]))], ["term", "n"])
 

@@ -264,6 +264,14 @@ def test_packing(docs, none):
     assert rows(packing.pack_documents(none, path)) == []
 
 
+def test_corpus_statistics_cover_all_documents(spark):
+    lists = [[5, 5, 7], [7], [70_000, 5], [1]]
+    data = [(b"\0" + np.asarray(x, "<u2").tobytes() if max(x) < 65536 else np.asarray(x, "<u4").tobytes(),) for x in lists]
+    corpus = packing.corpus_of(spark.createDataFrame(data, "ids binary").repartition(3))
+    assert (corpus.documents, corpus.mean) == (4, 7 / 4)
+    assert [int(corpus.frequency[t]) for t in (1, 5, 7, 70_000, 6)] == [1, 2, 2, 1, 0]
+
+
 def test_retrieval_prefers_related_documents():
     docs = [np.arange(i % 2 * 500, i % 2 * 500 + 100) for i in range(8)]
     packer = packing.Packer(0, packing.Corpus(np.full(1000, 4), 8, 800))
