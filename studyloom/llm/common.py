@@ -57,11 +57,15 @@ HEAVY = 1000
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has one row a key and in ``n`` the number of rows that ``left``, of ``total`` rows in
-    all, has for it. The few heavy keys are broadcast, so that their rows stay where they are; the others are shuffled."""
-    weight = F.col("n") > total // HEAVY
-    heavy, light = F.broadcast(right.where(weight).drop("n")), right.where(~weight).drop("n")
-    rest = left.join(F.broadcast(right.where(weight).select(key)), key, "left_anti")
-    return left.join(heavy, key).unionByName(rest.join(light, key, how))
+    all, has for it. The rows of heavy keys, of which there are fewer than ``HEAVY``, stay where they are and meet a broadcast;
+    the others are shuffled, by the same join at every size."""
+    most = total // HEAVY
+    heavy = [row[0] for row in right.where(F.col("n") > most).select(key).collect()]
+    if not heavy:
+        return left.join(right.drop("n").hint("merge"), key, how)
+    named = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    few = left.where(named).join(F.broadcast(right.where(F.col("n") > most).drop("n")), key)
+    return few.unionByName(left.where(~named).join(right.where(F.col("n") <= most).drop("n").hint("merge"), key, how))
 
 
 def documents_only(docs: DataFrame, *more: str) -> DataFrame:

@@ -318,9 +318,9 @@ def _verified(pairs: DataFrame, base: DataFrame, idf) -> DataFrame:
     size = each.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
     each = durable(spread_join(each, size, "a", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")))
     need = each.select(F.col("b").alias("node")).unionByName(each.select(F.col("a").alias("node"))).distinct()
-    texts = durable(base.join(need, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"))
+    texts = durable(base.join(need.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).select("node", "text"))
     ones = each.select("a", "block").distinct().select("a", "block", F.lit(0).alias("role"), F.col("a").alias("b"))
-    sent = ones.unionByName(each.select("a", "block", F.lit(1).alias("role"), "b")).join(texts, F.col("b") == F.col("node"))
+    sent = ones.unionByName(each.select("a", "block", F.lit(1).alias("role"), "b")).join(texts.hint("merge"), F.col("b") == F.col("node"))
     sent = sent.select("a", "block", "role", "b", "text").repartition("a", "block").sortWithinPartitions("a", "block")
     found = durable(sent.mapInArrow(_linked(idf), schema("a binary, b binary")))
     dropped(each, texts)
@@ -351,8 +351,8 @@ def _compared(idf):
 def _in_groups(pairs: DataFrame, label: DataFrame, base: DataFrame, idf) -> DataFrame:
     """a, b: links within each group that the candidate pairs make, by matrix products of its blocks of bounded bytes and rows."""
     group = durable(components(pairs).select("node", F.col("component").alias("cand")))
-    texts = base.join(group.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
-    members = group.join(label, "node", "left").select("cand", "node", F.coalesce("component", "node").alias("label")).join(texts, "node")
+    texts = base.join(group.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
+    members = group.join(label, "node", "left").select("cand", "node", F.coalesce("component", "node").alias("label")).join(texts.hint("merge"), "node")
     members = durable(members)
     blocks = F.ceil(F.greatest(F.sum(F.octet_length("text")) / GROUP_BYTES, F.count("*") / GROUP_ROWS)).cast("int")
     sizes = members.groupBy("cand").agg(blocks.alias("blocks"), F.count("*").alias("n"))
@@ -371,7 +371,7 @@ def linked(classes: DataFrame, base: DataFrame, idf) -> DataFrame:
     full = durable(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     held = spread_join(entries, full.withColumn("size", F.col("n")), "bucket", total)
     popular = held.groupBy("node").agg(F.sum("size").alias("popular"))
-    held = durable(held.join(popular, "node").join(classes.select("node", "sketch"), "node"))
+    held = durable(held.join(popular, "node").join(classes.select("node", "sketch").hint("merge"), "node"))
     # the hub of a bucket is its member with most company in all bands
     hubs = held.groupBy("bucket").agg(F.max(F.struct("popular", "node", "sketch")).alias("h"), F.count("*").alias("n"))
     hubs = durable(hubs.select("bucket", "n", F.col("h.node").alias("a"), F.col("h.sketch").alias("hub_sketch")))
