@@ -51,15 +51,15 @@ def dropped(*tables: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-#: A key is heavy if it has more than this share of a table's rows, so at most a thousand keys are.
-HEAVY = 1000
+#: A key is heavy if it has more than this share of a table's rows, so at most a thousand keys are, and more than so many.
+HEAVY, HEAVY_ROWS = 1000, 100
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has one row a key and in ``n`` the number of rows that ``left``, of ``total`` rows in
     all, has for it. The rows of heavy keys, of which there are fewer than ``HEAVY``, stay where they are and meet a broadcast;
     the others are shuffled, by the same join at every size."""
-    most = total // HEAVY
+    most = max(total // HEAVY, HEAVY_ROWS)
     heavy = [row[0] for row in right.where(F.col("n") > most).select(key).collect()]
     if not heavy:
         return left.join(right.drop("n").hint("merge"), key, how)
