@@ -53,15 +53,15 @@ _ROLE_ROWS = "(select id, lower(chunk_text) as t, page, lower(doc_title) as titl
 # fixed values: limits of the assignment and of the merging of categories
 LINK_SCORE, RESCUE_SCORE, LINKS = 0.54, 0.46, 3
 _SCORE = "@DOT(c.embedding, t.embedding) + case when coalesce(c.section, '') = coalesce(t.source_section, '') then 0.20 else 0 end + 0.05 * @SIZE(@FILTER(@SPLIT(t.topic, ' '), w -> length(w) > 4 and contains(c.chunk_text, w)))"
-_PAIRS = f"(select c.id as chunk_id, t.id as topic_id, c.project_id, {_SCORE} as score from vchunks c join vtopics t on t.project_id = c.project_id where c.teaching)"
+PAIRS = f"(select c.id as chunk_id, t.id as topic_id, c.project_id, {_SCORE} as score from vchunks c join vtopics t on t.project_id = c.project_id where c.teaching)"
 
 
 def phase_a(least: float) -> str:
-    return f"(select chunk_id, topic_id, score from (select *, row_number() over (partition by chunk_id order by score desc, cast(topic_id as varchar(20))) as rn from {_PAIRS} p where score >= {least}) a where rn <= {LINKS})"
+    return f"(select chunk_id, topic_id, score from (select *, row_number() over (partition by chunk_id order by score desc, cast(topic_id as varchar(20))) as rn from {PAIRS} p where score >= {least}) a where rn <= {LINKS})"
 
 
 def rescue(least_a: float, least_b: float) -> str:
-    return f"(select chunk_id, topic_id, score from (select p.*, row_number() over (partition by topic_id order by score desc, chunk_id) as rn from {_PAIRS} p where not exists (select 1 from {phase_a(least_a)} l where l.topic_id = p.topic_id)) b where rn = 1 and score >= {least_b})"
+    return f"(select chunk_id, topic_id, score from (select p.*, row_number() over (partition by topic_id order by score desc, chunk_id) as rn from {PAIRS} p where not exists (select 1 from {phase_a(least_a)} l where l.topic_id = p.topic_id)) b where rn = 1 and score >= {least_b})"
 
 
 def assigned(a: float, b: float) -> str:
@@ -97,11 +97,6 @@ PLANS: dict[str, str] = {
     "dom_chunk_fixed": "select doc_id, pos, @SUBSTR(clean, cast(pos * 1000 + 1 as int), 1200) as chunk from (select doc_id, clean, @EXPLODE(@RANGE(cast(0 as bigint), cast(@INTDIV(greatest(length(clean), 1) - 1, 1000) as bigint), cast(1 as bigint))) as pos from doc_text) x",
     "dom_chunk_role": f"select id, {role('t', 'page', 'title')} as role from {_ROLE_ROWS} r",
     "dom_role_resolve": f"select id, case when stored in ({listed(ROLES)}) then stored else {role('t', 'page', 'title')} end as role, case when stored in ({listed(ROLES)}) then stored else {role('t', 'page', 'title')} end = 'teaching' as eligible from (select *, case when id % 3 = 0 then 'outline' when id % 3 = 1 then 'odd' end as stored from {_ROLE_ROWS} r) x",
-    "dom_assign_phase_a": f"select chunk_id, topic_id, score from {phase_a(LINK_SCORE)} x",
-    "dom_assign_phase_a_low": f"select chunk_id, topic_id, score from {phase_a(0.30)} x",
-    "dom_assign_rescue": f"select chunk_id, topic_id, score from {rescue(LINK_SCORE, 0.20)} x",
-    "dom_assign_final": f"select count(*) as links, count(distinct topic_id) as topics, count(distinct chunk_id) as chunks, 100.0 * cast(count(distinct topic_id) as double) / (select count(*) from vtopics) as coverage from {assigned(0.30, 0.20)} x",
-    "dom_learning_scope": f"select project_id, chunk_id, topic_id, score from (select *, row_number() over (partition by project_id order by score desc, cast(chunk_id as varchar(20))) as pos from (select p.*, row_number() over (partition by chunk_id order by score desc, cast(topic_id as varchar(20)) desc) as rn from {_PAIRS} p) a where rn = 1) b where pos <= 80",
     "dom_vector_search": "select c.id as chunk_id, c.section, @L2(c.embedding, t.embedding) as distance from vchunks c cross join (select embedding from vtopics where id = 11) t order by distance, chunk_id limit 12",
     "dom_chat_query": "select conv_id, @LISTAGG(text, ' ', turn) as query from (select conv_id, turn, text, row_number() over (partition by conv_id order by turn desc) as rn from conversations where role = 'user') x where rn <= 2 group by conv_id",
     "dom_rebalance_taxonomy": "select t.id, case when n.n >= 2 then t.category else s.strongest end as category from (select id, case when id % 40 = 7 then 'lone ' || cast(id as varchar(20)) else category end as category from topics) t join (select category, count(*) as n from (select case when id % 40 = 7 then 'lone ' || cast(id as varchar(20)) else category end as category from topics) u group by category) n on n.category = t.category cross join (select category as strongest from (select category, count(*) as n from (select case when id % 40 = 7 then 'lone ' || cast(id as varchar(20)) else category end as category from topics) v group by category) w order by n desc, category limit 1) s",
@@ -119,7 +114,6 @@ PLANS: dict[str, str] = {
     "dom_expand_topics": "select r.v as requested, coalesce(t.id, -1) as topic_id, coalesce(t.topic, r.v) as topic from @LITERALS('small ring', 'RED WIDGET', 'unknown topic') r left join (select lower(topic) as k, min(id) as id, min(topic) as topic from topics group by lower(topic)) t on t.k = replace(lower(r.v), 'actions', 'action')",
     "dom_recovery_context": "select id, substring(chunk_text, 1, 300) as context from (select id, chunk_text, row_number() over (order by (id * 7919) % 10007, id) as rn from vchunks where teaching and project_id = 2) x where rn <= 5",
     "dom_recall_context": "select id, rn, 'SOURCE: ' || section || ' TOPIC: ' || topic as block from (select c.id, c.section, t.topic, row_number() over (order by @L2(c.embedding, t.embedding), c.id) as rn from vchunks c join vtopics t on t.project_id = c.project_id where t.id = 12) x where rn <= 12",
-    "dom_study_session": f"select w.rn, w.topic, s.chunk_id from (select topic, row_number() over (order by accuracy, topic) as rn from (select topic, avg(case when is_correct then cast(1 as double) else cast(0 as double) end) as accuracy from quiz_answers group by topic) x) w join (select chunk_id, row_number() over (order by best desc, chunk_id) as pos from (select chunk_id, max(score) as best from {_PAIRS} p group by chunk_id) y) s on (s.pos - 1) % 5 + 1 = w.rn where s.pos <= 30 and w.rn <= 5",
     "dom_project_results": "select p.id as project_id, coalesce(q.n, 0) as quizzes, q.average, coalesce(r.n, 0) as reviews, r.accuracy, coalesce(f.n, 0) as studied from projects p left join (select q.project_id, count(*) as n, avg(cast(t.score as double) / t.total_questions * 100) as average from quizzes q join attempts t on t.quiz_id = q.id group by q.project_id) q on q.project_id = p.id left join (select project_id, count(*) as n, 100.0 * cast(count(*) filter (where is_correct) as double) / count(*) as accuracy from reviews group by project_id) r on r.project_id = p.id left join (select project_id, count(*) filter (where last_review is not null) as n from flashcards group by project_id) f on f.project_id = p.id",
     "dom_language_gate": "select lang, cast(n as double) / total as confidence, cast(n as double) / total >= 0.80 as enforced from (select source, lang, count(*) as n, sum(count(*)) over (partition by source) as total from documents group by source, lang) x where source = 'src3'",
     "stm_dedup_chunks": "select distinct topic_id, chunk_id from (select t.id as topic_id, c.id as chunk_id from vtopics t join vchunks c on c.project_id = t.project_id where c.section = t.source_section union all select t.id, c.id from vtopics t join vchunks c on c.project_id = t.project_id where c.section = t.source_section) x",

@@ -107,9 +107,6 @@ PLANS: dict[str, str] = {
     "agg_prefix_min": "select split_part(name, '/', 1) as folder, min(id) as first_id, count(*) as n from objects group by split_part(name, '/', 1)",
     "agg_study_flag_counts": "select project_id, count(*) filter (where last_review is not null) as studied from flashcards group by project_id",
     # ---- window-like operators
-    "win_top3_topics_per_chunk": "select chunk_id, topic_id, score, rn from (select c.id as chunk_id, t.id as topic_id, @DOT(c.embedding, t.embedding) + case when c.section = t.source_section then 0.20 else 0.0 end as score, row_number() over (partition by c.id order by @DOT(c.embedding, t.embedding) + case when c.section = t.source_section then 0.20 else 0.0 end desc, cast(t.id as varchar(20))) as rn from vchunks c join vtopics t on t.project_id = c.project_id) x where rn <= 3 and score >= 0.20",
-    "win_best_chunk_per_orphan": "select topic_id, chunk_id, score from (select t.id as topic_id, c.id as chunk_id, @DOT(c.embedding, t.embedding) as score, row_number() over (partition by t.id order by @DOT(c.embedding, t.embedding) desc, c.id) as rn from vtopics t join vchunks c on c.project_id = t.project_id) x where rn = 1 and score >= 0.30",
-    "win_best_topic_per_chunk": "select chunk_id, topic_id from (select c.id as chunk_id, t.id as topic_id, row_number() over (partition by c.id order by coalesce(@DOT(c.embedding, t.embedding), -1e9) desc, coalesce(cast(t.id as varchar(20)), '') desc) as rn from vchunks c left join vtopics t on t.project_id = c.project_id and t.source_section = c.section) x where rn = 1",
     "win_last_attempt": "select user_id, quiz_id, score from (select q.user_id, t.quiz_id, t.score, row_number() over (partition by q.user_id order by q.created_at desc, t.quiz_id desc) as rn from attempts t join quizzes q on q.id = t.quiz_id) x where rn = 1",
     "win_topic_order": "select id, category, cast(row_number() over (partition by category order by topic, id) as bigint) as ord from topics",
     "win_section_ffill": "select doc_title, page, pos, coalesce(@LASTSET(det) over (partition by doc_id order by pos rows between unbounded preceding and current row), upper(doc_title)) as section from (select *, case when id % 3 = 0 then substring(chunk_text, 1, 12) end as det from chunks) x",
@@ -124,7 +121,6 @@ PLANS: dict[str, str] = {
     "win_topic_cap": "select category, topic, id from (select category, topic, id, row_number() over (partition by category order by id) as rn from topics) x where rn <= 40",
     # ---- orderings
     "srt_vector_topk_l2": "select c.id, @L2(c.embedding, t.embedding) as distance from vchunks c cross join (select embedding from vtopics where id = 7) t order by distance, id limit 20",
-    "srt_vector_topk_per_topic": "select topic_id, chunk_id from (select t.id as topic_id, c.id as chunk_id, row_number() over (partition by t.id order by @L2(c.embedding, t.embedding), c.id) as rn from vtopics t join vchunks c on c.project_id = t.project_id) x where rn <= 5",
     "srt_recent_history": "select id, project_id, created_at from quizzes order by created_at desc, id limit 20",
     "srt_multi_key": "select category, score from (select category, avg(p) as score from (select category, cast(id % 97 as double) as p from topics) x group by category) y order by score desc, lower(category) limit 15",
     "srt_id_desc_limit": "select id, topic from flashcards order by id desc limit 25",

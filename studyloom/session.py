@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: What results depend on, or what plans of any size want.
 DEFAULTS = {
@@ -22,3 +25,36 @@ def local(cores: int = 8, partitions: int = 8, **more: str) -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it; a temporary one only where none is
+    named and all runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="studyloom-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that lineage ends here and a lost executor costs nothing. The files
+    go when the driver's JVM ends, or by :func:`forgotten`."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/studyloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._studyloom_path = path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Remove what :func:`stored` wrote."""
+    for df in tables:
+        spark = df.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(df._studyloom_path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
