@@ -8,7 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import assignment
+from .operators import assignment, feeds
 from .operators import queries as programs
 from .plans import dialect, domain, planner, relational, scalar
 from .plans.adapters import VIEWS
@@ -28,6 +28,6 @@ def catalog() -> dict[str, Item]:
             found[key] = Item(dialect.runner(text, VIEWS), dialect.oracle(text, VIEWS))
     for function, text in programs.QUERIES.items():
         found[function.__name__] = Item(function, dialect.oracle(text, VIEWS) if text else None)
-    for key, (run, text) in assignment.QUERIES.items():
+    for key, (run, text) in (assignment.QUERIES | feeds.QUERIES).items():
         found[key] = Item(run, dialect.oracle(text, VIEWS))
     return found

@@ -117,11 +117,8 @@ PLANS: dict[str, str] = {
     "dom_project_results": "select p.id as project_id, coalesce(q.n, 0) as quizzes, q.average, coalesce(r.n, 0) as reviews, r.accuracy, coalesce(f.n, 0) as studied from projects p left join (select q.project_id, count(*) as n, avg(cast(t.score as double) / t.total_questions * 100) as average from quizzes q join attempts t on t.quiz_id = q.id group by q.project_id) q on q.project_id = p.id left join (select project_id, count(*) as n, 100.0 * cast(count(*) filter (where is_correct) as double) / count(*) as accuracy from reviews group by project_id) r on r.project_id = p.id left join (select project_id, count(*) filter (where last_review is not null) as n from flashcards group by project_id) f on f.project_id = p.id",
     "dom_language_gate": "select lang, cast(n as double) / total as confidence, cast(n as double) / total >= 0.80 as enforced from (select source, lang, count(*) as n, sum(count(*)) over (partition by source) as total from documents group by source, lang) x where source = 'src3'",
     "stm_dedup_chunks": "select distinct topic_id, chunk_id from (select t.id as topic_id, c.id as chunk_id from vtopics t join vchunks c on c.project_id = t.project_id where c.section = t.source_section union all select t.id, c.id from vtopics t join vchunks c on c.project_id = t.project_id where c.section = t.source_section) x",
-    "stm_cdc_fanout": "select e.event_id, s.sub, case when e.value is null then 'Error 400: Bad Request, no primary key' when length(e.props) > 64 then 'Error 413: Payload Too Large' end as error, case when s.cols = 'all' then e.props end as payload from events e join (select 1 as sub, 'click' as action, 'all' as cols, 0 as least union all select 2, 'view', 'keys', 20 union all select 3, 'purchase', 'all', 40) s on s.action = e.event_type and e.value >= s.least",
-    "stm_bounded_poll": "select e.event_id, p.n as slot_changes from (select event_id from events order by event_id limit 100) e cross join (select count(*) as n from (select event_id from events order by event_id limit 100) y) p",
     "stm_row_trigger": "select id, @SUBSTR(name, 1, 100) as name, length(name) <= 100 as valid from objects",
     "src_llm_json": "select event_id, cast(@JSON(replace(replace(v, '```json', ''), '```', ''), '$.k') as bigint) as k from (select event_id, '```json ' || props || '```' as v from events) x",
-    "src_cdc_poll": "select event_id, event_type, ts from events where ts >= timestamp '2024-01-01 00:00:00' order by ts, event_id limit 500",
     # ---- object listing
     "obj_list_delimiter": "select distinct case when contains(substring(name, 5, 400), '/') then substring(name, 1, cast(4 + @FIND(substring(name, 5, 400), '/') as int)) else name end as entry, contains(substring(name, 5, 400), '/') as is_folder from objects order by entry limit 100",
     "obj_search": "select entry, cast(min(id) as bigint) as id, count(*) as n from (select lower(split_part(name, '/', 1)) as entry, id from objects where lower(name) like '%e%') x group by entry order by entry limit 50 offset 5",

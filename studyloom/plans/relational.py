@@ -33,7 +33,6 @@ PLANS: dict[str, str] = {
     "flt_having": "select topic, count(*) as n from reviews group by topic having count(*) >= 2",
     "flt_keyset_page": "select id, topic from topics where id > 100 order by id limit 50",
     "flt_distinct_titles": "select distinct doc_title from chunks",
-    "flt_typed_op": "select v.l_orderkey as id, o.op, case o.op when 'eq' then l_quantity = 25 when 'neq' then l_quantity <> 25 when 'lt' then l_quantity < 25 when 'lte' then l_quantity <= 25 when 'gt' then l_quantity > 25 when 'gte' then l_quantity >= 25 when 'in' then l_quantity in (5, 25) end as holds from lineitem v cross join (select 'eq' as op union all select 'neq' union all select 'lt' union all select 'lte' union all select 'gt' union all select 'gte' union all select 'in') o where v.l_orderkey < 200",
     "flt_user_filters": "select e.event_id, bool_and(coalesce(case f.col when 'event_type' then e.event_type = f.val when 'user' then cast(e.user_id as varchar(20)) <> f.val end, false)) as visible from events e left join (select 'event_type' as col, 'click' as val union all select 'user', '5' union all select 'missing', 'x') f on f.col in ('event_type', 'user') group by e.event_id",
     "flt_validate_filters": "select col, op, val, col in ('id', 'topic') as known, case when col = 'id' then @TRYINT(val) is not null else true end as castable from (select 'id' as col, 'eq' as op, '12' as val union all select 'id', 'lt', 'abc' union all select 'topic', 'eq', 'x' union all select 'other', 'eq', 'y') f",
     "flt_planner_config": "select c_custkey as id, c_custkey % 4 * 15 in (30, 45, 60) and c_custkey % 5 * 30 in (30, 60, 90, 120) and c_mktsegment in ('BUILDING', 'MACHINERY', 'FURNITURE') as valid from customer",
