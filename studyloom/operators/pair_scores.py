@@ -39,6 +39,7 @@ class Scoring:
     keyword: int = 0  # hundredths
     distance: bool = False
     last_topic: bool = False  # of equal topics the last one by id as text, else the first
+    others: bool = False  # no pairs of equal ids
 
 
 def _contained(texts: list[str], topics: list[str]) -> np.ndarray:
@@ -121,7 +122,8 @@ def _tile(how: Scoring):
             score = score + np.where(same, how.section, 0.0)
             if counts is not None:
                 score = score + counts[at : at + STEP] * how.keyword / 100
-            score = np.where(np.isnan(score) | (how.same_section & ~same), -np.inf, score)
+            barred = np.isnan(score) | (how.same_section & ~same) | (how.others & (c_id[at : at + STEP, None] == t_id))
+            score = np.where(barred, -np.inf, score)
 
             def again(i: np.ndarray, j: np.ndarray, at=at, same=same) -> np.ndarray:
                 exact = _exact(a[at + i], b[j], how.distance)
@@ -157,7 +159,7 @@ def best_pairs(chunks: DataFrame, topics: DataFrame, how: Scoring, chunk_tile: i
     the ``per_topic`` best of each topic (true)."""
     none = F.lit("")
     side = lambda df, section, text: df.select(
-        F.col("id").cast("long").alias("id"), F.col("project_id").cast("long").alias("project_id"), F.coalesce(section, none).alias("section"), "embedding", (F.col(text) if how.keyword else none).alias("words")
+        F.col("id").cast("long").alias("id"), F.col("project_id").cast("long").alias("project_id"), F.coalesce(section, none).alias("section"), F.col("embedding").alias("embedding"), (F.col(text) if how.keyword else none).alias("words")
     ).where("project_id is not null and embedding is not null and words is not null")
     left, right = side(chunks, "section", "chunk_text"), side(topics, "source_section", "topic")
     # tiles of each project; Spark broadcasts this table only where it is small
@@ -172,5 +174,5 @@ def best_pairs(chunks: DataFrame, topics: DataFrame, how: Scoring, chunk_tile: i
     name = F.when(~F.col("by_topic"), F.col("topic_id").cast("string"))
     order = [F.col("score") if how.distance else -F.col("score"), name.desc() if how.last_topic else name, F.col("chunk_id")]
     owner = F.when(F.col("by_topic"), F.col("topic_id")).otherwise(F.col("chunk_id"))
-    ranked = met.withColumn("rn", F.row_number().over(Window.partitionBy("by_topic", owner).orderBy(*order)))
+    ranked = met.withColumn("rn", F.row_number().over(Window.partitionBy("project_id", "by_topic", owner).orderBy(*order)))
     return ranked.where(F.col("rn") <= F.when(F.col("by_topic"), how.per_topic).otherwise(how.per_chunk))

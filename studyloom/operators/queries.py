@@ -13,7 +13,8 @@ from ..plans import dialect
 from ..plans.adapters import VIEWS
 from ..sources import writers
 from ..streaming import repetition
-from . import packing, taxonomy, text_rules
+from ..session import stored
+from . import consolidation, packing, pair_scores, taxonomy, text_rules
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -54,9 +55,44 @@ def dom_chunk_paragraph(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(text_rules.paragraph_chunks_udf("text")).alias("pos", "chunk"))
 
 
+def _named_ledger(spark, sf_dir) -> DataFrame:
+    """Topics under names of several words, in four projects."""
+    text = "select e.vec_id % 4 as project_id, upper(concat('field ', e.label, ' ', split_part(p.p_type, ' ', 2))) as category, e.embedding from embeddings e join part p on p.p_partkey = e.vec_id"
+    return dialect.runner(text, {})(spark, sf_dir)
+
+
 def dom_consolidate(spark, sf_dir):
-    ledger = view("ledger")(spark, sf_dir).selectExpr("id % 4 as project_id", "category", "embedding")
-    return taxonomy.consolidate_projects(ledger)
+    return consolidation.consolidate(_named_ledger(spark, sf_dir))[0]
+
+
+def dom_consolidation_audit(spark, sf_dir):
+    return consolidation.consolidate(_named_ledger(spark, sf_dir))[1]
+
+
+def _profiled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    topics = stored(consolidation.unit_topics(view("ledger")(spark, sf_dir).withColumn("project_id", F.lit(0))))
+    return topics, stored(consolidation.profiles(topics))
+
+
+def dom_category_profiles(spark, sf_dir):
+    topics, known = _profiled(spark, sf_dir)
+    # the two least alike: of each topic the farthest one of its category, by the blocked product
+    ids = stored(topics.select(F.monotonically_increasing_id().alias("id"), "category", "v"))
+    place = F.abs(F.xxhash64("category"))
+    side = ids.select("id", place.alias("project_id"), F.lit(None).cast("string").alias("section"), F.col("v").alias("embedding"))
+    far = side.select("id", "project_id", F.col("section").alias("source_section"), F.transform("embedding", lambda x: -x).alias("embedding"))
+    least = pair_scores.best_pairs(side, far, pair_scores.Scoring(per_chunk=1, others=True)).groupBy("project_id").agg(F.max("score").alias("most"))
+    out = known.withColumn("project_id", place).join(least, "project_id", "left")
+    return out.select("category", F.col("n").alias("topics"), F.bround("cohesion", 9).alias("cohesion"), F.bround(F.coalesce(1 + F.col("most"), F.lit(0.0)), 9).alias("spread"), F.bround(F.col("centroid")[0], 9).alias("first"), F.bround(F.col("centroid")[63], 9).alias("last"))
+
+
+def dom_pair_metrics(spark, sf_dir):
+    topics, known = _profiled(spark, sf_dir)
+    names = known.select("project_id", "category")
+    pairs = names.select("project_id", F.col("category").alias("a")).join(names.select("project_id", F.col("category").alias("b")), "project_id").where("a < b")  # the feature is all pairs of categories
+    found = consolidation.pair_metrics(pairs, topics, known)
+    rounded = [F.bround(c, 9).alias(c) for c in ("centroid", "affinity", "lexical", "cohesion", "loss", "retention", "score")]
+    return found.select("a", "b", F.col("n_a").alias("topics_a"), F.col("n_b").alias("topics_b"), *rounded)
 
 
 def dom_alias_rule(spark, sf_dir):
@@ -192,6 +228,11 @@ def srt_random(spark, sf_dir):
     return view("topics")(spark, sf_dir).select("id", "topic").orderBy(F.xxhash64("id", F.lit(42)), "id").limit(30)
 
 
+_PROFILES = """with units as (select id, category, list_transform(embedding, lambda x: x::double / sqrt(list_inner_product(embedding::double[], embedding::double[]))) as v from ledger),
+cells as (select category, i, sum(v[i]) as x from (select category, v, unnest(range(1, 65)) as i from units) c group by category, i),
+sums as (select category, list(x order by i) as s from cells group by category), sizes as (select category, count(*) as n from units group by category),
+known as (select category, n, s, sqrt(list_inner_product(s, s)) as size from sums join sizes using (category)) """
+
 #: function -> SQL in the common dialect, or None where SQL cannot state it
 QUERIES: dict[Callable, str | None] = {
     str_lexical_similarity: None,
@@ -199,6 +240,12 @@ QUERIES: dict[Callable, str | None] = {
     str_role_fold: None,
     dom_chunk_paragraph: None,
     dom_consolidate: None,
+    dom_consolidation_audit: None,
+    dom_category_profiles: _PROFILES
+    + "select category, n as topics, round_even(size / n, 9) as cohesion, round_even(coalesce(1 - least_alike, 0), 9) as spread, round_even(s[1] / size, 9) as first, round_even(s[64] / size, 9) as last from known left join (select a.category, min(list_inner_product(a.v, b.v)) as least_alike from units a join units b on a.category = b.category and a.id < b.id group by a.category) using (category)",
+    # names are one letter and one digit, so two of them have half their characters in common and no token
+    dom_pair_metrics: _PROFILES
+    + ", cross_ as (select a.category as a, b.category as b, a.id as x, b.id as y, list_inner_product(a.v, b.v) as s from units a join units b on a.category < b.category), there as (select a, b, avg(m) as f from (select a, b, x, max(s) as m from cross_ group by a, b, x) group by a, b), back as (select a, b, avg(m) as f from (select a, b, y, max(s) as m from cross_ group by a, b, y) group by a, b), met as (select p.category as a, q.category as b, p.n as topics_a, q.n as topics_b, list_inner_product(p.s, q.s) / (p.size * q.size) as centroid, (there.f + back.f) / 2 as affinity, 0.2::double as lexical, sqrt(p.size * p.size + q.size * q.size + 2 * list_inner_product(p.s, q.s)) / (p.n + q.n) as cohesion, (p.size + q.size) / (p.n + q.n) as apart from known p join known q on p.category < q.category join there on there.a = p.category and there.b = q.category join back on back.a = p.category and back.b = q.category), lost as (select *, greatest(0, apart - cohesion) as loss from met), held as (select *, greatest(0, least(1, 1 - loss / 0.06)) as retention from lost) select a, b, topics_a, topics_b, round_even(centroid, 9) as centroid, round_even(affinity, 9) as affinity, lexical, round_even(cohesion, 9) as cohesion, round_even(loss, 9) as loss, round_even(retention, 9) as retention, round_even(0.45::double * centroid + 0.3::double * affinity + 0.15::double * lexical + 0.1::double * retention, 9) as score from held",
     dom_alias_rule: "select 'DNA SEQUENCING TECHNIQUES' as a, 'GENETIC SEQUENCING TECHNOLOGIES' as b, 2 as n_a, 2 as n_b, cast(0.42 as double) as lexical, cast(0.74 as double) as centroid, cast(0.66 as double) as affinity, 'balanced_lexical_semantic_alias' as kind union all select 'CONTRACTS', 'CONTRACTS AND PROPERTY', 9, 5, 0.71, 0.90, 0.73, null union all select 'General contracts law', 'Contracts law', 3, 2, 0.5, 0.7, 0.6, 'normalized_name_alias'",
     pln_week_schedule: None,
     pln_compose_modules: None,

@@ -1,19 +1,9 @@
-"""Consolidation of taxonomy categories.
-
-Similarities are computed by Spark as category pairs; the merge itself is sequential by definition (each merge changes what
-the next one may do) and works on categories, of which a project has hundreds, so one project's categories form one group
-of ``applyInPandas``; projects run in parallel."""
+"""Names of taxonomy categories: their tokens, which of two names is better, and which are names of one category."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
 from ..plans.scalar import GENERIC, NOISE, SUFFIXES
-from .text_rules import fold, lexical_similarity, prefix_matches
+from .text_rules import fold, prefix_matches
 
 # fixed values: the limits of the alias rules and of merging
 STRICT = {"lexical": 0.60, "centroid": 0.82, "affinity": 0.65, "size_ratio": 1.5}
@@ -55,73 +45,3 @@ def alias_kind(a: str, b: str, count_a: int, count_b: int, lexical: float, centr
     if x and (x == y or len(x) == len(y) == matches) and reaches(SAME_NAME):
         return "normalized_name_alias"
     return "balanced_lexical_semantic_alias" if alike and reaches(BALANCED) else None
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.linalg.norm(m, axis=-1, keepdims=True)
-
-
-@dataclass
-class Group:
-    """Merged categories with their topic vectors."""
-
-    names: list[str]
-    vectors: np.ndarray
-    cohesion: float = field(init=False)
-    spread: float = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.centroid = _unit(self.vectors.mean(axis=0))
-        self.cohesion = float((self.vectors @ self.centroid).mean())
-        pairs = self.vectors @ self.vectors.T
-        self.spread = float(1 - pairs.min()) if len(self.vectors) > 1 else 0.0
-
-
-def affinity(a: np.ndarray, b: np.ndarray) -> float:
-    s = a @ b.T
-    return float((s.max(axis=1).mean() + s.max(axis=0).mean()) / 2)
-
-
-def consolidate(categories: dict[str, np.ndarray]) -> dict[str, str]:
-    """Category -> the name it goes by after merging: reciprocal nearest neighbours and aliases, best score first, as far
-    as size, cohesion, its loss and the spread of the merged group allow."""
-    names = sorted(categories)
-    single = {n: Group([n], _unit(np.asarray(categories[n], float))) for n in names}
-    total = sum(len(g.vectors) for g in single.values())
-    most = min(max(max((len(g.vectors) for g in single.values()), default=1), int(total * MERGE["fraction"])), MERGE["most"])
-    near = {n: sorted((m for m in names if m != n), key=lambda m, n=n: (-float(single[n].centroid @ single[m].centroid), m))[: MERGE["neighbours"]] for n in names}
-    edges, allowed = [], {}
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            ga, gb = single[a], single[b]
-            centroid, aff = float(ga.centroid @ gb.centroid), affinity(ga.vectors, gb.vectors)
-            lexical = lexical_similarity(" ".join(tokens(a)), " ".join(tokens(b)))
-            kind = alias_kind(a, b, len(ga.vectors), len(gb.vectors), lexical, centroid, aff)
-            both = Group([a, b], np.concatenate([ga.vectors, gb.vectors]))
-            apart = (ga.cohesion * len(ga.vectors) + gb.cohesion * len(gb.vectors)) / len(both.vectors)
-            retained = min(max(1 - (apart - both.cohesion) / MERGE["loss"], 0.0), 1.0)
-            score = 0.45 * centroid + 0.30 * aff + 0.15 * lexical + 0.10 * retained
-            allowed[a, b] = kind is not None or (centroid >= MERGE["centroid"] and aff >= MERGE["affinity"])
-            if kind or (b in near[a] and a in near[b] and score >= MERGE["score"] and allowed[a, b]):
-                edges.append((-score, a, b, kind))
-    group = {n: single[n] for n in names}
-    for _, a, b, kind in sorted(edges, key=lambda e: e[:3]):
-        ga, gb = group[a], group[b]
-        if ga is gb or not all(allowed[min(x, y), max(x, y)] for x in ga.names for y in gb.names):
-            continue
-        both = Group(sorted(ga.names + gb.names), np.concatenate([ga.vectors, gb.vectors]))
-        apart = (ga.cohesion * len(ga.vectors) + gb.cohesion * len(gb.vectors)) / len(both.vectors)
-        loss = MERGE["alias_loss"] if kind else MERGE["loss"]
-        if len(both.vectors) <= most and both.cohesion >= MERGE["cohesion"] and apart - both.cohesion <= loss and both.spread <= MERGE["spread"]:
-            group.update(dict.fromkeys(both.names, both))
-    return {n: min(group[n].names, key=lambda m, n=n: (quality(m), -float(single[m].centroid @ group[n].centroid), -len(single[m].vectors), m)) for n in names}
-
-
-def consolidate_projects(ledger: DataFrame) -> DataFrame:
-    """ledger (project_id, category, embedding) -> project_id, category, target."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        found = consolidate({c: np.asarray(g.embedding.tolist(), float) for c, g in rows.groupby("category")})
-        return pd.DataFrame({"project_id": rows.project_id.iloc[0], "category": list(found), "target": list(found.values())})
-
-    return ledger.groupBy("project_id").applyInPandas(one, "project_id long, category string, target string")

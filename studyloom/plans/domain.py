@@ -89,8 +89,6 @@ def starts(text: str, openings: tuple[str, ...]) -> str:
 
 
 _WORDS = "@SIZE(@SPLIT(trim(%s), ' '))"
-_PROFILE = "(select category, count(*) as topics from ledger group by category)"
-_CENTROID = "(select l.category as a, r.category as b, avg(@DOT(l.embedding, r.embedding)) as sim from ledger l join ledger r on l.category < r.category group by l.category, r.category)"
 
 PLANS: dict[str, str] = {
     "dom_chunk_clean_window": "select doc_id, pos, trim(chunk_text) as chunk from chunks where length(chunk_text) > 100",
@@ -101,8 +99,6 @@ PLANS: dict[str, str] = {
     "dom_chat_query": "select conv_id, @LISTAGG(text, ' ', turn) as query from (select conv_id, turn, text, row_number() over (partition by conv_id order by turn desc) as rn from conversations where role = 'user') x where rn <= 2 group by conv_id",
     "dom_rebalance_taxonomy": "select t.id, case when n.n >= 2 then t.category else s.strongest end as category from (select id, case when id % 40 = 7 then 'lone ' || cast(id as varchar(20)) else category end as category from topics) t join (select category, count(*) as n from (select case when id % 40 = 7 then 'lone ' || cast(id as varchar(20)) else category end as category from topics) u group by category) n on n.category = t.category cross join (select category as strongest from (select category, count(*) as n from (select case when id % 40 = 7 then 'lone ' || cast(id as varchar(20)) else category end as category from topics) v group by category) w order by n desc, category limit 1) s",
     "dom_ledger": "select 'T' || case when rn < 10000 then lpad(cast(rn as varchar(10)), 4, '0') else cast(rn as varchar(10)) end as ledger_id, upper(trim(coalesce(nullif(category, ''), 'GENERAL'))) as category, topic, coalesce(importance, 5) as importance, upper(category) || ' - ' || topic || ': ' || coalesce(description, '') as embed_text from (select category, topic, description, cast(null as int) as importance, row_number() over (order by category, topic, id) as rn from topics where trim(topic) <> '') x",
-    "dom_category_profiles": "select category, topics, min_pair, 1 - min_pair as spread from (select p.category, p.topics, min(@DOT(a.embedding, b.embedding)) as min_pair from " + _PROFILE + " p join ledger a on a.category = p.category join ledger b on b.category = p.category group by p.category, p.topics) x",
-    "dom_pair_metrics": f"select x.a, x.b, x.sim, pa.topics as topics_a, pb.topics as topics_b, cast(greatest(pa.topics, pb.topics) as double) / least(pa.topics, pb.topics) as size_ratio from {_CENTROID} x join {_PROFILE} pa on pa.category = x.a join {_PROFILE} pb on pb.category = x.b",
     "dom_canonical_name": "select grp, name from (select grp, category as name, row_number() over (partition by grp order by length(category), n desc, category) as rn from (select substring(category, 1, 7) as grp, category, count(*) as n from topics group by substring(category, 1, 7), category) x) y where rn = 1",
     "dom_validate_consolidation": "select count(*) filter (where target is null) as unmapped, count(*) filter (where target = '') as blank, count(distinct category) as categories, count(distinct target) as targets, count(*) as topics from (select category, substring(category, 1, 7) as target from topics) x",
     "dom_audit_reorg": "select coalesce(e.id, a.id) as id, a.id is null as missing, e.id is null as unknown, coalesce(a.n, 0) > 1 as duplicate, a.targets from (select id from topics where project_id = 5) e full outer join (select id % 300 as id, count(*) as n, count(distinct category) as targets from topics where project_id in (5, 6) group by id % 300) a on a.id = e.id",

@@ -80,7 +80,7 @@ def test_polls_lose_and_double_nothing(spark):
     feed = spark.createDataFrame(rows, "change_id long, size long").repartition(4)
     for most, budget in ((40, None), (1000, 300), (7, 60), (3, 1)):
         slot, taken, left = changes.Slot(spark, f"{shared_dir(spark)}/slot-{uuid.uuid4().hex}"), [], sorted(rows)
-        while len(taken) < 120:
+        while len(taken) < (301 if most > 7 else 30):
             got = sorted(map(tuple, changes.polled(feed, slot, most, budget).collect()))
             want = []
             for r in left:

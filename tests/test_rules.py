@@ -19,15 +19,6 @@ def test_tokens_lose_one_ending():
     assert taxonomy.core("Tipi di contratto") == {"contratto"}
 
 
-def test_consolidate_merges_names_of_one_meaning():
-    rng = np.random.default_rng(0)
-    base = rng.normal(size=32)
-    near = lambda n: base + rng.normal(scale=0.05, size=(n, 32))
-    far = rng.normal(size=(20, 32))
-    found = taxonomy.consolidate({"CELL MEMBRANES": near(3), "CELL MEMBRANE": near(3), "OTHER": far})
-    assert found["CELL MEMBRANES"] == found["CELL MEMBRANE"] != found["OTHER"] == "OTHER"
-
-
 def test_paragraphs():
     assert text_rules.paragraph_chunks("a" * 1000) == ["a" * 1000]
     assert text_rules.paragraph_chunks("x" * 99) == []
