@@ -388,6 +388,7 @@ def linked(classes: DataFrame, base: DataFrame, idf) -> DataFrame:
     main = durable(main.where("labels > 1").select("bucket", F.col("m.label").alias("main"), "n"))
     open_ = durable(spread_join(now, main, "bucket", now.count()))
     if open_.isEmpty():
+        dropped(full, held, hubs, first, found, now, main, open_)
         return label
     minor = open_.where("label <> main").drop("main")
     pairs = durable(_blocks(minor, open_.drop("main"), "bucket", BUCKET_BLOCK).mapInArrow(_alike, schema("a binary, b binary")))
@@ -398,6 +399,19 @@ def linked(classes: DataFrame, base: DataFrame, idf) -> DataFrame:
     return label
 
 
+def _of_one_id(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: classes that hold texts of one doc_id, each with the first of that id; nothing where ids have one text each."""
+    held = named.where("ckey is not null").select("doc_id", "ckey").distinct()
+    several = held.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("ckey").alias("lead")).where("n > 1")
+    several = durable(several)
+    if several.isEmpty():
+        return several.select(F.col("lead").alias("a"), F.col("lead").alias("b"))
+    edges = spread_join(held, several, "doc_id", held.count()).where("ckey <> lead").select("lead", "ckey").distinct()
+    name = lambda key, as_: classes.select(F.col("ckey").alias(key), F.col("node").alias(as_))
+    sizes = edges.groupBy("lead").agg(F.count("*").alias("n")).join(name("lead", "a"), "lead")
+    return spread_join(edges, sizes, "lead", edges.count()).join(name("ckey", "b").hint("merge"), "ckey").select("a", "b")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash, class_id (smallest doc_id of the same text), group_id (smallest doc_id reachable by links) of every
     row."""
@@ -411,8 +425,11 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = named.where("ckey is not null").groupBy("ckey").agg(first, F.count("*").alias("n"))
     classes = durable(classes.select("ckey", "n", F.col("x.doc_id").alias("rep_id"), _node(F.col("x.doc_id"), F.col("ckey")).alias("node"), "x.bands", "x.sketch"))
     label = linked(classes, base.withColumn("node", _node(F.col("doc_id"), F.col("ckey"))), idf)
-    per = classes.select("ckey", "n", "rep_id", "node").join(label, "node", "left")
     # an id with several texts: whatever one of them reaches, the id reaches
+    more = _of_one_id(named, classes)
+    if not more.isEmpty():
+        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    per = classes.select("ckey", "n", "rep_id", "node").join(label, "node", "left")
     per = durable(per.select("ckey", "n", "rep_id", _doc_of(F.coalesce("component", "node")).alias("component")))
     out = spread_join(named.select("doc_id", "row_hash", "ckey"), per, "ckey", rows.count(), "left")
     return out.select("doc_id", "row_hash", F.coalesce("rep_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("group_id"))
