@@ -96,14 +96,10 @@ def dom_pair_metrics(spark, sf_dir):
 
 
 def dom_alias_rule(spark, sf_dir):
-    rows = [("DNA SEQUENCING TECHNIQUES", "GENETIC SEQUENCING TECHNOLOGIES", 2, 2, 0.42, 0.74, 0.66), ("CONTRACTS", "CONTRACTS AND PROPERTY", 9, 5, 0.71, 0.90, 0.73), ("General contracts law", "Contracts law", 3, 2, 0.5, 0.7, 0.6)]
-    found = spark.createDataFrame(rows, "a string, b string, n_a int, n_b int, lexical double, centroid double, affinity double")
-
-    @F.pandas_udf("string")
-    def kind(*cols: pd.Series) -> pd.Series:
-        return pd.Series([taxonomy.alias_kind(*r) for r in zip(*cols, strict=True)])
-
-    return found.withColumn("kind", kind(*found.columns))
+    """Which rule, if any, makes one of two categories that are among each other's nearest."""
+    topics = stored(consolidation.unit_topics(_named_ledger(spark, sf_dir)))
+    known = stored(consolidation.profiles(topics))
+    return consolidation.pair_metrics(consolidation.nearest(known), topics, known).select("project_id", "a", "b", "n_a", "n_b", "alias")
 
 
 def _segments(spark, sf_dir) -> DataFrame:
@@ -176,7 +172,7 @@ def snk_insert_returning(spark, sf_dir):
 def snk_upsert_document(spark, sf_dir):
     chunks = view("chunks")(spark, sf_dir)
     pages = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_text"))).alias("p"))
-    return pages.select("doc_id", F.array_join(F.transform("p", lambda x: F.substring(x.chunk_text, 1, 20)), "\n\n").alias("text"))
+    return pages.select("doc_id", F.array_join(F.transform("p", lambda x: x.chunk_text), "\n\n").alias("text"))
 
 
 def snk_status_update(spark, sf_dir):
@@ -214,14 +210,18 @@ def snk_broadcast(spark, sf_dir):
 
 
 def src_llm_shape_variants(spark, sf_dir):
-    cases = ['[{"stem": "a?"}, {"question": "b?"}]', '{"questions": [{"question": "c?"}]}', '{"question": "d?"}', '{"question": {"stem": "e?"}}', "not json"]
-    rows = spark.createDataFrame(list(enumerate(cases)), "id long, body string")
+    """Answers in five shapes, made of the turns of all conversations."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.concat_ws(" ", F.lit("Why"), "role", "conv_id", "turn").alias("q"))
+    shapes = ('[{"stem": "%s?"}, {"question": "other %s"}]', '{"questions": [{"question": "%s"}]}', '{"question": "%s"}', '{"question": {"stem": "%s"}}', "no JSON, %s")
+    number = (F.col("conv_id") + F.col("turn")) % len(shapes)
+    body = F.coalesce(*(F.when(number == i, F.replace(F.lit(shape), F.lit("%s"), F.col("q"))) for i, shape in enumerate(shapes)))
+    rows = turns.select("conv_id", "turn", body.alias("body"))
     item = "array<struct<stem:string,question:string>>"
     many = F.coalesce(F.when(F.col("body").startswith("["), F.from_json("body", item)), F.from_json(F.get_json_object("body", "$.questions"), item))
     nested = F.get_json_object("body", "$.question")
     one = F.array(F.struct(F.get_json_object(nested, "$.stem").alias("stem"), F.coalesce(F.get_json_object(nested, "$.question"), F.when(~nested.startswith("{"), nested)).alias("question")))
-    found = rows.select("id", F.explode(F.coalesce(many, F.when(nested.isNotNull(), one))).alias("q"))
-    return found.select("id", F.coalesce("q.question", "q.stem").alias("question"))
+    found = rows.select("conv_id", "turn", F.explode(F.coalesce(many, F.when(nested.isNotNull(), one))).alias("q"))
+    return found.select("conv_id", "turn", F.coalesce("q.question", "q.stem").alias("question"))
 
 
 def srt_random(spark, sf_dir):
@@ -246,7 +246,7 @@ QUERIES: dict[Callable, str | None] = {
     # names are one letter and one digit, so two of them have half their characters in common and no token
     dom_pair_metrics: _PROFILES
     + ", cross_ as (select a.category as a, b.category as b, a.id as x, b.id as y, list_inner_product(a.v, b.v) as s from units a join units b on a.category < b.category), there as (select a, b, avg(m) as f from (select a, b, x, max(s) as m from cross_ group by a, b, x) group by a, b), back as (select a, b, avg(m) as f from (select a, b, y, max(s) as m from cross_ group by a, b, y) group by a, b), met as (select p.category as a, q.category as b, p.n as topics_a, q.n as topics_b, list_inner_product(p.s, q.s) / (p.size * q.size) as centroid, (there.f + back.f) / 2 as affinity, 0.2::double as lexical, sqrt(p.size * p.size + q.size * q.size + 2 * list_inner_product(p.s, q.s)) / (p.n + q.n) as cohesion, (p.size + q.size) / (p.n + q.n) as apart from known p join known q on p.category < q.category join there on there.a = p.category and there.b = q.category join back on back.a = p.category and back.b = q.category), lost as (select *, greatest(0, apart - cohesion) as loss from met), held as (select *, greatest(0, least(1, 1 - loss / 0.06)) as retention from lost) select a, b, topics_a, topics_b, round_even(centroid, 9) as centroid, round_even(affinity, 9) as affinity, lexical, round_even(cohesion, 9) as cohesion, round_even(loss, 9) as loss, round_even(retention, 9) as retention, round_even(0.45::double * centroid + 0.3::double * affinity + 0.15::double * lexical + 0.1::double * retention, 9) as score from held",
-    dom_alias_rule: "select 'DNA SEQUENCING TECHNIQUES' as a, 'GENETIC SEQUENCING TECHNOLOGIES' as b, 2 as n_a, 2 as n_b, cast(0.42 as double) as lexical, cast(0.74 as double) as centroid, cast(0.66 as double) as affinity, 'balanced_lexical_semantic_alias' as kind union all select 'CONTRACTS', 'CONTRACTS AND PROPERTY', 9, 5, 0.71, 0.90, 0.73, null union all select 'General contracts law', 'Contracts law', 3, 2, 0.5, 0.7, 0.6, 'normalized_name_alias'",
+    dom_alias_rule: None,
     pln_week_schedule: None,
     pln_compose_modules: None,
     pln_assessment_week: None,
@@ -259,13 +259,13 @@ QUERIES: dict[Callable, str | None] = {
     snk_insert_if_absent: "select id, case when id < 12 then name else upper(name) end as name from projects",
     snk_update_role_backfill: "select id, 'teaching' as role from chunks where id % 2 <> 0",
     snk_insert_returning: None,
-    snk_upsert_document: "select doc_id, string_agg(substring(chunk_text, 1, 20), chr(10) || chr(10) order by pos) as text from chunks group by doc_id",
+    snk_upsert_document: "select doc_id, string_agg(chunk_text, chr(10) || chr(10) order by pos) as text from chunks group by doc_id",
     snk_status_update: "select id, case when topic_status = 'processing' then 'completed' else topic_status end as topic_status from projects",
     snk_plan_tree: "select project_id as plan_id, category as objective, string_agg(topic, ',' order by topic) as activities from topics group by project_id, category",
     snk_replace_scope: "select id, project_id, case when project_id in (1, 2) then upper(topic) else topic end as topic from topics",
     snk_append_chunks: "select id, cast(len(embedding) as bigint) as width from vchunks",
     snk_bulk_links: "select distinct t.id as topic_id, c.id as chunk_id from vtopics t join vchunks c on c.project_id = t.project_id and c.section = t.source_section",
     snk_broadcast: "select event_id, '{\"id\":\"' || sha256(props) || '\"' || case when trim(substring(props, 2)) = '}' then '' else ',' end || substring(props, 2) as payload from events",
-    src_llm_shape_variants: "select 0 as id, 'a?' as question union all select 0, 'b?' union all select 1, 'c?' union all select 2, 'd?' union all select 3, 'e?'",
+    src_llm_shape_variants: "with t as (select conv_id, turn, (conv_id + turn) % 5 as shape, 'Why ' || role || ' ' || conv_id || ' ' || turn as q from conversations) select conv_id, turn, q || '?' as question from t where shape = 0 union all select conv_id, turn, 'other ' || q from t where shape = 0 union all select conv_id, turn, q from t where shape in (1, 2, 3)",
     srt_random: None,
 }

@@ -10,7 +10,7 @@ VIEWS: dict[str, str] = {
     "topics": "select p_partkey as id, p_partkey % 25 as project_id, p_name as topic, p_brand as category, p_type as source_section, p_size % 10 <> 0 as is_display_topic, case when p_size % 4 = 0 then null else p_type end as description from part",
     "quizzes": "select o_orderkey as id, o_custkey as user_id, cast(c_nationkey as bigint) as project_id, o_orderpriority as difficulty, o_orderdate as created_at, o_totalprice as price from orders join customer on c_custkey = o_custkey",
     "quiz_answers": "select l_orderkey as quiz_id, l_partkey as topic_id, p_type as topic, p_name as title, p_brand as category, l_returnflag = 'N' as is_correct, l_shipdate as created_at, cast(l_linenumber as bigint) as question_order from lineitem join part on p_partkey = l_partkey",
-    "attempts": "select l_orderkey as quiz_id, cast(sum(case when l_returnflag = 'N' then 1 else 0 end) as bigint) as score, count(*) as total_questions, max(l_shipdate) as created_at from lineitem group by l_orderkey",
+    "attempts": "select l_orderkey as quiz_id, cast(sum(case when l_returnflag = 'N' then 1 else 0 end) as bigint) as score, count(*) as total_questions, l_shipdate as created_at from lineitem group by l_orderkey, l_shipdate",
     "reviews": "select event_id as id, user_id * 100 + cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as flashcard_id, user_id % 25 as project_id, user_id, event_type in ('click', 'view', 'purchase') as is_correct, 1 + event_id % 3 as difficulty, value as elapsed_seconds, ts as reviewed_at, 'k' || regexp_extract(props, '([0-9]+)', 1) as topic from events",
     "flashcards": "select flashcard_id as id, min(project_id) as project_id, min(user_id) as user_id, min(topic) as topic, max(reviewed_at) as last_review, max(difficulty) as difficulty from reviews group by flashcard_id",
     "doc_text": "select doc_id, 'doc ' || cast(doc_id % 40 as varchar(10)) || '.pdf' as doc_title, source, lang, doc_id % 25 as project_id, 1 + doc_id % 12 as page, trim(@RX(text, '[\\t-\\r ]+', ' ')) as clean from documents where text is not null",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .scalar import any_of, hits, listed, squash
+from .scalar import any_of, hits, listed, one_of, squash
 
 # fixed values: what the roles of a chunk are told by
 INSTITUTIONS = ("university", "universita", "universite", "universidad", "hochschule", "faculty", "facolta", "department", "dipartimento", "institut", "school of")
@@ -68,24 +68,27 @@ def assigned(a: float, b: float) -> str:
     return f"(select chunk_id, topic_id, score from {phase_a(a)} x union all select chunk_id, topic_id, score from {rescue(a, b)} y)"
 
 
-_QUESTIONS = _cases(
-    (
-        (1, "which mechanism explains why the membrane potential changes when the sodium channel opens in a resting cell", "because the channel opens, sodium flows in and therefore the potential rises towards the value that the gradient sets", "s1,s2"),
-        (2, "what is a cell", "a unit", "s1"),
-        (3, "a patient presents with fever; which consequence follows if the treatment is delayed for more than two days", "the infection spreads", "s3"),
-        (4, "define the term contract and name its parts as given in the chapter on obligations of the parties involved", "since the parties agree, the contract binds them and it creates duties on both of the sides at once", "s4"),
-    ),
-    ("id", "question", "explanation", "sources"),
-)
-# fixed values: openings that ask for recall, words that relate two things, connectors, least lengths
-RECALL = ("what is", "define", "which of the following is the definition", "who ", "when did", "name ")
-RELATIONAL = ("explain", "why", "consequence", "because", "mechanism", "if ", "compare", "leads to")
-CONNECTORS = ("because", "therefore", "since", "so that", "which means", "thus")
+# fixed values: openings that ask for recall, words that relate two things, connectors, least lengths; signs of a scenario, of
+# a plain question and of a cause
+RECALL = ("what is ", "what does ", "which statement is true", "which statement is false", "which of the following is true", "which of the following is false", "which mutation ", "which mechanism causes", "which mechanism is", "which process ", "which enzyme ", "which molecule ", "che cos'è ", "che cosa è ", "quale affermazione è vera", "quale affermazione è falsa", "quale affermazione è corretta", "quale affermazione non è corretta", "quale mutazione ", "quale meccanismo causa", "quale meccanismo è", "quale processo ", "quale enzima ", "quale molecola ")
+RELATIONAL = ("although", "both ", "by combining", "compare", "compared to", "compared with", "comparison", "considering", "contrast", "contrasted", "contrasting", "distinct", "distinction", "difference", "different", "differ ", "differ from", "differentiate", "distinguish", "except", "exception", "given that", "however", "if both", "in contrast", "integrate", "integrating", "integration", "relate", "relation between", "relationship", "relationship between", "synthesize", "synthesizes", "synthesized", "synthesizing", "synthesis", "unless", "unlike", "whereas", "while", "a differenza", "combinando", "comparando", "confrontando", "considerando", "contrasto", "distinto", "distinzione", "differire", "differisce", "differiscono", "differenza", "distinguere", "eccezione", "eccetto", "entrambi", "integrare", "integrando", "integrazione", "mentre", "mettendo in relazione", "rapporto tra", "relazionare", "relazione tra", "rispetto a", "se entrambi", "sintetizzare", "sintetizza", "sintetizzando", "sintesi", "salvo che", "a meno che", "tuttavia")
+CONNECTORS = ("because", "since", "therefore", "thus", "consequently", "hence", "thereby", "whereas", "while", "which means", "which explains", "as a result", "in contrast", "unlike", "poiché", "perché", "dato che", "dal momento che", "quindi", "pertanto", "dunque", "di conseguenza", "ne consegue", "in tal modo", "mentre", "ciò significa", "ciò spiega", "a differenza", "invece")
 STEM_WORDS, EXPLANATION_WORDS = 14, 16
+SCENARIO = ("during", "after", "when", "following", "in response", "as a result", "because", "while", "despite", "under", "increased", "decreased", "reduced", "elevated", "shift", "adaptation", "response")
+PLAIN = ("what is", "which enzyme", "which molecule", "what role", "what is the main", "what is the primary", "which process", "which pathway", "what function")
+CAUSAL = ("because", "therefore", "leading to", "resulting in", "causing", "due to", "consequence")
+
+OPENINGS = ("What is", "Which mechanism is", "Che cos'è", "Considering both", "After the shift,", "Why does", "Which enzyme", "What is the difference between")
+ENDINGS = ("This holds because", "", "Ne consegue", "It follows")
+_QUESTIONS = f"(select q.conv_id, q.turn, {squash(one_of(OPENINGS, 'q.conv_id + q.turn') + " || ' ' || coalesce(q.text, '')")} as question, {squash("coalesce(" + one_of(ENDINGS, 'q.conv_id') + " || ' ' || e.text, '')")} as explanation from conversations q left join conversations e on e.conv_id = q.conv_id and e.turn = q.turn + 1 where q.role = 'user')"
+
+
+def says(text: str, words: tuple[str, ...]) -> str:
+    return "(" + " or ".join("contains(" + text + ", '" + w.replace("'", "''") + "')" for w in words) + ")"
 
 
 def starts(text: str, openings: tuple[str, ...]) -> str:
-    return "(" + " or ".join(f"{text} like '{o}%'" for o in openings) + ")"
+    return "(" + " or ".join(f"left({text}, {len(o)}) = '" + o.replace("'", "''") + "'" for o in openings) + ")"
 
 
 _WORDS = "@SIZE(@SPLIT(trim(%s), ' '))"
@@ -98,12 +101,11 @@ PLANS: dict[str, str] = {
     "dom_vector_search": "select c.id as chunk_id, c.section, @L2(c.embedding, t.embedding) as distance from vchunks c cross join (select embedding from vtopics where id = 11) t order by distance, chunk_id limit 12",
     "dom_chat_query": "select conv_id, @LISTAGG(text, ' ', turn) as query from (select conv_id, turn, text, row_number() over (partition by conv_id order by turn desc) as rn from conversations where role = 'user') x where rn <= 2 group by conv_id",
     "dom_rebalance_taxonomy": "select t.id, case when n.n >= 2 then t.category else s.strongest end as category from (select id, case when id % 40 = 7 then 'lone ' || cast(id as varchar(20)) else category end as category from topics) t join (select category, count(*) as n from (select case when id % 40 = 7 then 'lone ' || cast(id as varchar(20)) else category end as category from topics) u group by category) n on n.category = t.category cross join (select category as strongest from (select category, count(*) as n from (select case when id % 40 = 7 then 'lone ' || cast(id as varchar(20)) else category end as category from topics) v group by category) w order by n desc, category limit 1) s",
-    "dom_ledger": "select 'T' || case when rn < 10000 then lpad(cast(rn as varchar(10)), 4, '0') else cast(rn as varchar(10)) end as ledger_id, upper(trim(coalesce(nullif(category, ''), 'GENERAL'))) as category, topic, coalesce(importance, 5) as importance, upper(category) || ' - ' || topic || ': ' || coalesce(description, '') as embed_text from (select category, topic, description, cast(null as int) as importance, row_number() over (order by category, topic, id) as rn from topics where trim(topic) <> '') x",
     "dom_canonical_name": "select grp, name from (select grp, category as name, row_number() over (partition by grp order by length(category), n desc, category) as rn from (select substring(category, 1, 7) as grp, category, count(*) as n from topics group by substring(category, 1, 7), category) x) y where rn = 1",
     "dom_validate_consolidation": "select count(*) filter (where target is null) as unmapped, count(*) filter (where target = '') as blank, count(distinct category) as categories, count(distinct target) as targets, count(*) as topics from (select category, substring(category, 1, 7) as target from topics) x",
     "dom_audit_reorg": "select coalesce(e.id, a.id) as id, a.id is null as missing, e.id is null as unknown, coalesce(a.n, 0) > 1 as duplicate, a.targets from (select id from topics where project_id = 5) e full outer join (select id % 300 as id, count(*) as n, count(distinct category) as targets from topics where project_id in (5, 6) group by id % 300) a on a.id = e.id",
-    "dom_hard_reasoning": f"select id, {starts('question', RECALL)} and not {any_of('question', RELATIONAL)} as direct_recall_opening, {_WORDS % 'question'} < {STEM_WORDS} as stem_too_short, {_WORDS % 'explanation'} < {EXPLANATION_WORDS} as explanation_short, {any_of('explanation', CONNECTORS)} as connector_present, @SIZE(@DISTINCT(@SPLIT(sources, ','))) as source_chunks from {_QUESTIONS} q",
-    "dom_reasoning_score": f"select id, 3 * case when contains(question, 'patient') then 1 else 0 end + 2 * case when {any_of('question', RELATIONAL)} then 1 else 0 end + case when {_WORDS % 'question'} > 18 then 1 else 0 end - 5 * case when {starts('question', RECALL)} then 1 else 0 end as score from {_QUESTIONS} q",
+    "dom_hard_reasoning": f"select conv_id, turn, recall and not relational as direct_recall_opening, stem < {STEM_WORDS} as stem_too_short_for_hard_reasoning, explained < {EXPLANATION_WORDS} as explanation_does_not_show_two_step_reasoning, not (recall and not relational) and stem >= {STEM_WORDS} and explained >= {EXPLANATION_WORDS} as valid, relational, connector and explained > 0 as connector_present, explained as explanation_words from (select conv_id, turn, {starts('lower(question)', RECALL)} as recall, {says('lower(question)', RELATIONAL)} as relational, {says('lower(explanation)', CONNECTORS)} as connector, {_WORDS % 'question'} as stem, case when explanation = '' then 0 else {_WORDS % 'explanation'} end as explained from {_QUESTIONS} q) x",
+    "dom_reasoning_score": f"select conv_id, turn, 3 * case when {says('lower(question)', SCENARIO)} then 1 else 0 end + 2 * case when {says('lower(question)', CAUSAL)} then 1 else 0 end + case when {_WORDS % 'question'} > 18 then 1 else 0 end - 5 * case when {says('lower(question)', PLAIN)} then 1 else 0 end as score from {_QUESTIONS} q",
     "dom_question_topic": "select quiz_id, case when n_topics = 1 then top_topic when 2 * top_n > total then top_topic else first_topic end as topic from (select quiz_id, count(*) as n_topics, cast(sum(n) as bigint) as total, max(n) as top_n, max_by(topic, n * 1000 - first_order) as top_topic, max_by(topic, -first_order) as first_topic from (select quiz_id, topic, count(*) as n, min(question_order) as first_order from quiz_answers group by quiz_id, topic) x group by quiz_id) y where 2 * top_n > total or n_topics = 1",
     "dom_quiz_assembly": "select project_id, id, rn from (select project_id, id, row_number() over (partition by project_id order by id) as rn from (select project_id, id, row_number() over (partition by project_id, category order by id) as dup from topics) x where dup = 1) y where rn <= 10",
     "dom_flashcard_filter": "select id, topic from (select f.id, f.topic, row_number() over (partition by lower(f.topic) order by f.id) as rn from flashcards f where f.id in (select flashcard_id from reviews where is_correct)) x where rn = 1 order by id limit 40",

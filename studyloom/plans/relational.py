@@ -34,10 +34,10 @@ PLANS: dict[str, str] = {
     "flt_keyset_page": "select id, topic from topics where id > 100 order by id limit 50",
     "flt_distinct_titles": "select distinct doc_title from chunks",
     "flt_user_filters": "select e.event_id, bool_and(coalesce(case f.col when 'event_type' then e.event_type = f.val when 'user' then cast(e.user_id as varchar(20)) <> f.val end, false)) as visible from events e left join (select 'event_type' as col, 'click' as val union all select 'user', '5' union all select 'missing', 'x') f on f.col in ('event_type', 'user') group by e.event_id",
-    "flt_validate_filters": "select col, op, val, col in ('id', 'topic') as known, case when col = 'id' then @TRYINT(val) is not null else true end as castable from (select 'id' as col, 'eq' as op, '12' as val union all select 'id', 'lt', 'abc' union all select 'topic', 'eq', 'x' union all select 'other', 'eq', 'y') f",
+    "flt_validate_filters": "select id, col, op, val, known, known and castable and values_ <= 3 as valid, row_number() over (partition by id order by col, op, val) as place from (select *, col in ('event_id', 'event_type', 'value') as known, case when col = 'event_id' then @SIZE(@FILTER(@SPLIT(val, ','), v -> @TRYINT(v) is null)) = 0 else true end as castable, @SIZE(@SPLIT(val, ',')) as values_ from (select s_suppkey as id, case s_suppkey % 3 when 0 then 'event_id' when 1 then 'event_type' else 'other' end as col, case s_nationkey % 2 when 0 then 'eq' else 'in' end as op, case s_nationkey % 4 when 0 then s_name when 1 then cast(s_nationkey as varchar(10)) when 2 then '1,2,' || cast(s_suppkey as varchar(10)) else '1,2,3,' || cast(s_suppkey as varchar(10)) end as val from supplier union all select s_suppkey, 'event_id', 'lt', cast(s_suppkey as varchar(10)) from supplier union all select s_suppkey, 'value', 'gte', cast(s_nationkey as varchar(10)) from supplier) f) x",
     "flt_planner_config": "select c_custkey as id, c_custkey % 4 * 15 in (30, 45, 60) and c_custkey % 5 * 30 in (30, 60, 90, 120) and c_mktsegment in ('BUILDING', 'MACHINERY', 'FURNITURE') as valid from customer",
     "flt_topic_hide": "select id, topic, @MATCH(lower(topic), 'small|widget|ring') as hidden from topics",
-    "flt_operation_match": "select op, coalesce(case when substring(op, 1, 8) = 'storage.' then substring(op, 9, 100) else op end in ('object.list', 'object.get'), false) as allowed from (select 'storage.object.list' as op union all select 'object.get' union all select 'object.put' union all select '' union all select cast(null as varchar(20))) x",
+    "flt_operation_match": "select event_id, coalesce(case when substring(op, 1, 8) = 'storage.' then substring(op, 9, 100) else op end in ('object.click', 'object.view'), false) as any_of_two, case when expected = '' then false else coalesce(case when substring(op, 1, 8) = 'storage.' then substring(op, 9, 100) else op end = expected, false) end as only_one from (select event_id, case event_id % 4 when 0 then 'storage.object.' || event_type when 1 then 'object.' || event_type when 2 then '' end as op, case event_id % 3 when 0 then 'object.' || event_type when 1 then 'object.view' else '' end as expected from events) x",
     "prj_coalesce_default": "select id, coalesce(nullif(study_mode, ''), 'building') as study_mode from projects",
     "prj_correct_answer": "select o_orderkey as id, coalesce(case when o_orderstatus = 'P' then null else o_orderstatus end, o_orderpriority) as answer from orders",
     "prj_topic_from_title": "select id, case when section is null or trim(section) = '' or lower(doc_title) like '%.pdf' then replace(@RX(doc_title, '\\.pdf$', ''), '_', ' ') else section end as topic from chunks",
@@ -46,7 +46,7 @@ PLANS: dict[str, str] = {
     # ---- joins
     "jon_chunk_topic_pairs": "select c.id as chunk_id, t.id as topic_id, -@DOT(c.embedding, t.embedding) as distance from vchunks c join vtopics t on t.project_id = c.project_id",
     "jon_topic_scope": "select c.id as chunk_id, t.id as topic_id, c.section from vchunks c join vtopics t on t.project_id = c.project_id and t.source_section = c.section where t.id in (1, 2, 3, 5, 8, 13, 21, 34)",
-    "jon_global_scope": "select c.id as chunk_id, t.id as topic_id from vchunks c left join (select * from vtopics where id % 3 = 0) t on t.project_id = c.project_id and t.source_section = c.section",
+    "jon_global_scope": "select c.id as chunk_id, t.id as topic_id from vchunks c left join vtopics t on t.project_id = c.project_id and t.source_section = c.section",
     "jon_answers_questions_quizzes": "select a.quiz_id, a.topic, a.is_correct, q.user_id, q.project_id from quiz_answers a join quizzes q on q.id = a.quiz_id where q.project_id = 4",
     "jon_attempts_quizzes": "select t.quiz_id, t.score, t.total_questions, q.difficulty, q.created_at from attempts t join quizzes q on q.id = t.quiz_id",
     "jon_fanout_question_attempts": "select a.topic, avg(cast(t.score as double) / t.total_questions * 100) as pct, count(*) as n from quiz_answers a join quizzes q on q.id = a.quiz_id join attempts t on t.quiz_id = q.id group by a.topic",
@@ -86,7 +86,7 @@ PLANS: dict[str, str] = {
     "agg_adaptive_quiz_size": "select user_id, case when a < 0.5 then 15 when a < 0.8 then 20 else 25 end as questions from (select q.user_id, coalesce(nullif(avg(case when a.is_correct then cast(1 as double) else cast(0 as double) end), 0), 0.5) as a from quizzes q join quiz_answers a on a.quiz_id = q.id group by q.user_id) x",
     "agg_topic_stats_union": "select topic, cast(sum(correct) as bigint) as correct, cast(sum(total) as bigint) as total from (select a.topic, count(*) filter (where a.is_correct) as correct, count(*) as total from quiz_answers a join quizzes q on q.id = a.quiz_id where a.topic is not null and lower(trim(a.topic)) <> 'general' group by a.topic union all select topic, count(*) filter (where is_correct) as correct, count(*) as total from reviews where topic is not null and lower(trim(topic)) <> 'general' group by topic) x group by topic",
     "agg_attempts_by_quiz": "select t.quiz_id, count(*) as attempts, max(t.score) as best, avg(t.score) as average, max_by(t.score, t.created_at) as last_score from attempts t join quizzes q on q.id = t.quiz_id group by t.quiz_id",
-    "agg_attempts_summary": "select q.user_id, count(*) as attempts, max(t.score) as best, max_by(t.score, t.quiz_id) as last_score from attempts t join quizzes q on q.id = t.quiz_id group by q.user_id",
+    "agg_attempts_summary": "select q.user_id, count(*) as attempts, max(t.score) as best, max_by(t.score, t.quiz_id * 100000 + @DAYS(t.created_at, timestamp '1990-01-01 00:00:00')) as last_score from attempts t join quizzes q on q.id = t.quiz_id group by q.user_id",
     "agg_hard_summary": "select count(*) as runs, avg(rejected) as average, percentile_cont(0.5) within group (order by rejected) as median, min(rejected) as least, max(rejected) as most, avg(cast(generated - rejected as double) / generated) as acceptance from runs",
     "agg_rejection_breakdown": "select reason, n, case when total = 0 then 0.0 else 100.0 * cast(n as double) / total end as pct from (select reason, cast(sum(n) as bigint) as n from reasons group by reason) r cross join (select cast(sum(n) as bigint) as total from reasons) t",
     "agg_hard_metrics": "select id, generated, least(greatest(rejected, 0), generated) as rejected, generated - least(greatest(rejected, 0), generated) as accepted, case when generated = 0 then 0.0 else @BROUND(cast(generated - least(greatest(rejected, 0), generated) as double) / generated, 4) end as rate from runs",
@@ -106,15 +106,13 @@ PLANS: dict[str, str] = {
     "agg_prefix_min": "select split_part(name, '/', 1) as folder, min(id) as first_id, count(*) as n from objects group by split_part(name, '/', 1)",
     "agg_study_flag_counts": "select project_id, count(*) filter (where last_review is not null) as studied from flashcards group by project_id",
     # ---- window-like operators
-    "win_last_attempt": "select user_id, quiz_id, score from (select q.user_id, t.quiz_id, t.score, row_number() over (partition by q.user_id order by q.created_at desc, t.quiz_id desc) as rn from attempts t join quizzes q on q.id = t.quiz_id) x where rn = 1",
+    "win_last_attempt": "select user_id, quiz_id, score from (select q.user_id, t.quiz_id, t.score, row_number() over (partition by q.user_id order by q.created_at desc, t.quiz_id desc, t.created_at desc) as rn from attempts t join quizzes q on q.id = t.quiz_id) x where rn = 1",
     "win_topic_order": "select id, category, cast(row_number() over (partition by category order by topic, id) as bigint) as ord from topics",
     "win_section_ffill": "select doc_title, page, pos, coalesce(@LASTSET(det) over (partition by doc_id order by pos rows between unbounded preceding and current row), upper(doc_title)) as section from (select *, case when id % 3 = 0 then substring(chunk_text, 1, 12) end as det from chunks) x",
     "win_first_wins_dedup": "select topic, id from (select topic, id, row_number() over (partition by lower(topic) order by id) as rn from topics) x where rn = 1",
     "win_last_wins_dedup": "select topic, first_id, last_category from (select topic, min(id) as first_id, max_by(category, id) as last_category from topics group by topic) x",
     "win_mini_groups": "select project_id, grp, count(*) as n, min(id) as first_id from (select project_id, id, cast(floor((row_number() over (partition by project_id order by id) - 1) / 20) as bigint) as grp from vchunks) x group by project_id, grp",
-    "win_ledger_ids": "select 'T' || case when rn < 10000 then lpad(cast(rn as varchar(10)), 4, '0') else cast(rn as varchar(10)) end as ledger_id, id from (select id, row_number() over (order by category, topic, id) as rn from topics where project_id = 3) x",
     "win_k_nearest": "select a, b from (select x.a, x.b, row_number() over (partition by x.a order by x.sim desc, x.b) as rn from (select l.category as a, r.category as b, avg(@DOT(l.embedding, r.embedding)) as sim from ledger l join ledger r on l.category <> r.category group by l.category, r.category) x) y where rn <= 2",
-    "win_even_sample": "select id, rn from (select id, row_number() over (order by id) as rn, count(*) over () as n from vchunks) x where rn - 1 in (select cast(@BROUND(cast(i * ((select count(*) from vchunks) - 1) as double) / 23, 0) as bigint) from (select @EXPLODE(@RANGE(0, 23, 1)) as i) s)",
     "win_lead_priority": "select category, case when rn <= 3 then 'priority' else 'secondary' end as role from (select category, row_number() over (order by count(*) desc, category) as rn from topics group by category) x",
     "win_module_position": "select category, topic, case when rn = 1 then 'first' when rn = n then 'last' else 'middle' end as place from (select category, topic, row_number() over (partition by category order by topic) as rn, count(*) over (partition by category) as n from (select distinct category, topic from topics) d) x",
     "win_topic_cap": "select category, topic, id from (select category, topic, id, row_number() over (partition by category order by id) as rn from topics) x where rn <= 40",
@@ -132,7 +130,7 @@ PLANS: dict[str, str] = {
     "set_union_all": "select topic, 'quiz' as kind from quiz_answers union all select topic, 'card' as kind from reviews where project_id = 2",
     "set_taxonomy_evolution": "select 'created' as change, topic from (select topic from topics where project_id = 3 except select topic from topics where project_id = 4) a union all select 'preserved', topic from (select topic from topics where project_id = 3 intersect select topic from topics where project_id = 4) b union all select 'removed', topic from (select topic from topics where project_id = 4 except select topic from topics where project_id = 3) c",
     "set_union_evidence": "select lower(trim(topic)) as k from quiz_answers union select lower(trim(topic)) from reviews",
-    "set_remaining_topics": "select t.id, t.topic from topics t where not exists (select 1 from quiz_answers a where a.topic_id = t.id and a.quiz_id % 10 = 0)",
+    "set_remaining_topics": "select t.id, t.topic from topics t where not exists (select 1 from quiz_answers a join quizzes q on q.id = a.quiz_id where a.topic_id = t.id and q.project_id = t.project_id)",
     "set_coverage_check": "select coalesce(e.id, a.id) as id, a.id is null as missing, e.id is null as unknown, coalesce(a.n, 0) > 1 as duplicate from (select id from vtopics) e full outer join (select id % 60 as id, count(*) as n from vchunks where id % 2 = 0 group by id % 60) a on a.id = e.id",
     "set_sentinel_row": "select id, topic from topics where category = 'none' union all select cast(null as bigint), cast(null as varchar(10)) where not exists (select 1 from topics where category = 'none')",
     "set_token_jaccard": "select a.id as a, b.id as b, cast(@SIZE(@BOTH(a.w, b.w)) as double) / nullif(@SIZE(a.w) + @SIZE(b.w) - @SIZE(@BOTH(a.w, b.w)), 0) as jaccard from (select id, @DISTINCT(@SPLIT(topic, ' ')) as w from vtopics) a join (select id, @DISTINCT(@SPLIT(topic, ' ')) as w from vtopics) b on a.id < b.id",

@@ -66,6 +66,34 @@ def squash(x: str) -> str:
     return _SQUASH % x
 
 
+# fixed values: how a text about the learner becomes one to the learner, in this order
+TO_LEARNER = (
+    ("the student should", "you should"),
+    ("The student should", "You should"),
+    ("a successful student should", "you should"),
+    ("A successful student should", "You should"),
+    ("the student will", "you will"),
+    ("The student will", "You will"),
+    ("students should", "you should"),
+    ("Students should", "You should"),
+    ("learners should", "you should"),
+    ("Learners should", "You should"),
+)
+ABOUT = ("The student should see", "a successful student should see", "learners should see", "Students should know that the student will see", "You will see")
+
+
+def to_learner(text: str) -> str:
+    for source, target in TO_LEARNER:
+        text = f"replace({text}, '{source}', '{target}')"
+    return text
+
+
+def one_of(texts: tuple[str, ...], number: str) -> str:
+    """One of the texts by a number, as SQL."""
+    quoted = [t.replace("'", "''") for t in texts]
+    return "case " + f"({number}) % {len(texts)}" + " ".join(f" when {i} then '{t}'" for i, t in enumerate(quoted)) + " end"
+
+
 PLANS: dict[str, str] = {
     "str_normalize": f"select doc_id, {squash('text')} as clean from documents",
     "str_topic_key": f"select doc_id, lower({squash('text')}) as k from documents",
@@ -76,21 +104,21 @@ PLANS: dict[str, str] = {
     "str_core_tokens": f"select raw, @JOIN(@SORTED(@FILTER(tokens, w -> w not in ({listed(NOISE)}))), ' ') as core from {_TOKENS} t",
     "str_name_quality": f"select raw, case when @SIZE(@FILTER(tokens, w -> w in ({listed(GENERIC)}))) > 0 then 1 else 0 end as generic, @SIZE(@FILTER(tokens, w -> w in ({listed(NOISE)}))) as noise, @SIZE(tokens) as n_tokens from {_TOKENS} t",
     "str_keyword_overlap": "select t.id as topic_id, c.id as chunk_id, @SIZE(@FILTER(@SPLIT(t.topic, ' '), w -> length(w) > 4 and contains(c.chunk_text, w))) as n from vtopics t join vchunks c on c.project_id = t.project_id",
-    "str_bcp47": "select tag, lower(split_part(tag, '-', 1)) || case when length(split_part(tag, '-', 2)) = 4 then '-' || upper(substring(split_part(tag, '-', 2), 1, 1)) || lower(substring(split_part(tag, '-', 2), 2, 3)) when length(split_part(tag, '-', 2)) = 2 then '-' || upper(split_part(tag, '-', 2)) when split_part(tag, '-', 2) <> '' then '-' || lower(split_part(tag, '-', 2)) else '' end as canonical from (select replace(v, '_', '-') as tag from @LITERALS('EN', 'it_IT', 'zh-hans', 'pt-br', 'DE', 'sr-latn', 'en-gb', 'es-419') l) x",
+    "str_bcp47": "select doc_id, lower(split_part(tag, '-', 1)) || case when @SIZE(@SPLIT(tag, '-')) > 1 then '-' || @JOIN(@MAP(@SLICE(@SPLIT(tag, '-'), 2, 8), w -> case when @MATCH(w, '^[A-Za-z]{4}$') then upper(substring(w, 1, 1)) || lower(substring(w, 2, 3)) when @MATCH(w, '^([A-Za-z]{2}|[0-9]{3})$') then upper(w) else lower(w) end), '-') else '' end as canonical from (select doc_id, trim(both '-' from @RX(replace(case doc_id % 6 when 0 then upper(lang) when 1 then lang || '_' || lang when 2 then upper(lang) || '-lATN' when 3 then lang || '_LATN_us' when 4 then lang || '--419-x1b' else '_' || upper(lang) || '-POSIX_' end, '_', '-'), '-+', '-')) as tag from documents) x",
     "str_section_title": f"select doc_id, upper(trim(line)) as section from (select doc_id, pos, line, row_number() over (partition by doc_id order by pos) as rn from (select doc_id, pos, @AT(@SPLIT(text, chr(10)), cast(pos as int)) as line from (select doc_id, text, @EXPLODE(@RANGE(1, 15, 1)) as pos from documents) a) b where trim(coalesce(line, '')) <> '' and ((cast(length(trim(line)) - length(@RX(trim(line), '[A-ZÀ-ÖØ-Þ]', '')) as double) / greatest(length(trim(line)), 1) > 0.7 and @SIZE(@SPLIT(trim(line), ' ')) between 2 and 8) or {any_of('lower(line)', ANATOMY)})) c where rn = 1",
     "str_question_key": "select doc_id, @JOIN(@SLICE(@SPLIT(lower(trim(@RX(text, '[\\t-\\r ]+', ' '))), ' '), 1, 8), ' ') as k from documents",
     "str_rewrite_opening": f"select v as q, case {' '.join(f"when v like '{old}%' then '{new}' || substring(v, {len(old) + 1})" for old, new in OPENINGS)} else v end as rewritten from (select text as v from conversations union all select v from @LITERALS('Why What is it', 'what is a cell', {', '.join(f"'{old} x, {old} y'" for old, _ in OPENINGS)}) l) o",
     "str_split_csv": "select id, trim(part) as part from (select id, @EXPLODE(@SPLIT(csv, ',')) as part from (select id, category || ', ' || topic as csv from topics) a) b",
     "str_url_unquote": "select page_id, @URLDECODE(replace(url, '/', '%2F')) as url from pages",
-    "str_context_concat": "select doc_id, @LISTAGG(substring(chunk_text, 1, 40), ' --- ', pos) as context from chunks where pos < 5 group by doc_id",
+    "str_context_concat": "select doc_id, @LISTAGG(chunk_text, ' --- ', pos) as context from chunks group by doc_id",
     "str_human_list": "select category, case when @SIZE(a) = 1 then @AT(a, 1) else @JOIN(@SLICE(a, 1, cast(@SIZE(a) - 1 as int)), ', ') || ' and ' || @AT(a, cast(@SIZE(a) as int)) end as listed from (select category, @SORTED(@COLLECT(distinct topic)) as a from topics where topic is not null group by category) x".replace("@COLLECT(distinct topic)", "@COLLECTSET(topic)"),
     "str_path_parts": "select name, @RX(name, '^.*/', '') as filename, split_part(name, '/', 1) as folder, case when name like '%.%' then @RX(name, '^.*\\.', '') else '' end as extension from objects",
     "str_common_prefix": "select name, case when strpos(substring(name, 5, 400), '/') > 0 then substring(name, 1, cast(4 + strpos(substring(name, 5, 400), '/') as int)) end as prefix from objects".replace("strpos(substring(name, 5, 400), '/')", "@FIND(substring(name, 5, 400), '/')"),
     "str_word_overlap": "select a.doc_id as a, b.doc_id as b, cast(@SIZE(@BOTH(a.w, b.w)) as double) / least(@SIZE(a.w), @SIZE(b.w)) as overlap from (select doc_id, @DISTINCT(@FILTER(@SPLIT(lower(text), ' '), x -> length(x) >= 5)) as w from documents) a join (select doc_id, @DISTINCT(@FILTER(@SPLIT(lower(text), ' '), x -> length(x) >= 5)) as w from documents) b on a.doc_id < b.doc_id where @SIZE(a.w) >= 6 and @SIZE(b.w) >= 6",
-    "str_pronoun_rewrite": "select v, replace(replace(replace(v, 'the student', 'you'), 'his ', 'your '), 'their ', 'your ') as said from @LITERALS('the student knows his topic', 'their plan', 'none') l",
-    "str_fence_strip": "select v, trim(@RX(@RX(v, '```json', ''), '```', '')) as body from @LITERALS('```json {\"a\":1} ```', '``` x ```', 'plain') l",
+    "str_pronoun_rewrite": f"select conv_id, turn, {to_learner('said')} as said from (select conv_id, turn, trim({one_of(ABOUT, 'conv_id + turn')} || ' ' || coalesce(text, '')) as said from conversations) x",
+    "str_fence_strip": "select conv_id, turn, trim(@RX(@RX(v, '```json', ''), '```', '')) as body from (select conv_id, turn, case turn % 3 when 0 then '```json ' || text || ' ```' when 1 then '``` ' || text || '```' else text end as v from conversations) x",
     "str_code_label": "select name, split_part(name, '/', 2) as level_two, trim(trailing '/' from name) as bare, concat_ws(':', split_part(name, '/', 1), cast(bucket as varchar(10))) as label from objects",
-    "str_quote_ident": "select v, @RX(v, '^\"|\"$', '') as bare from @LITERALS('\"public\".\"t\"', 'public.t', '\"x\"') l",
+    "str_quote_ident": "select p_partkey as id, @RX(v, '^\"|\"$', '') as bare, '\"' || replace(@RX(v, '^\"|\"$', ''), '\"', '\"\"') || '\"' as quoted from (select p_partkey, case p_partkey % 3 when 0 then '\"' || p_name || '\"' when 1 then p_name else '\"' || p_brand || '\".\"' || p_type || '\"' end as v from part) x",
     "str_build_statement": "select id, 'id = ''' || cast(id as varchar(20)) || ''' and topic = ''' || topic || '''' as predicate from topics",
     # ---- dates and numbers
     "dat_week_start": "select o_orderkey as id, date_trunc('week', o_orderdate) as week from orders".replace("date_trunc('week', o_orderdate)", "cast(date_trunc('week', o_orderdate) as date)"),
@@ -126,5 +154,5 @@ PLANS: dict[str, str] = {
     "jsn_extract": "select event_id, cast(@JSON(props, '$.k') as bigint) as k from events",
     "jsn_parse_or_passthrough": "select event_id, coalesce(@JSON(case when event_id % 5 = 0 then null else props end, '$.k'), 'none') as k from events",
     "jsn_build": "select event_id, @OBJECT('type', event_type, 'user', user_id) as doc from events",
-    "cst_safe_int": "select v, coalesce(@TRYINT(v), 0) as n from @LITERALS('12', '-7', '1.5', 'abc', '', '900') l",
+    "cst_safe_int": "select event_id, coalesce(@TRYINT(v), 0) as n from (select event_id, case event_id % 6 when 0 then cast(user_id as varchar(20)) when 1 then '-' || cast(event_id as varchar(20)) when 2 then cast(user_id as varchar(20)) || '.5' when 3 then event_type when 4 then '' end as v from events) x",
 }

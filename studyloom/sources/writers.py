@@ -93,11 +93,13 @@ def plan_tree(days: DataFrame, activities: DataFrame) -> DataFrame:
 
 
 def with_id(payload: Column) -> Column:
-    """A JSON object with an id: its own, or the hash of the payload in front of its other members."""
-    rest = F.substring(payload, 2, 2**31 - 1)
-    between = F.when(F.trim(rest) == "}", F.lit('"')).otherwise(F.lit('",'))
-    own = F.get_json_object(payload, "$.id").isNotNull()
-    return F.when(own, payload).otherwise(F.concat(F.lit('{"id":"'), F.sha2(payload, 256), between, rest))
+    """A JSON object with an id: its own, or the hash of the payload in front of its other members. What is no JSON object is
+    rejected and becomes null."""
+    body = F.btrim(payload)
+    rest = F.substring(body, 2, 2**31 - 1)
+    between = F.when(F.btrim(rest) == "}", F.lit('"')).otherwise(F.lit('",'))
+    held = F.when(F.get_json_object(body, "$.id").isNotNull(), body).otherwise(F.concat(F.lit('{"id":"'), F.sha2(payload, 256), between, rest))
+    return F.when(body.startswith("{") & F.get_json_object(body, "$").isNotNull(), held)
 
 
 def broadcast_batch(path: str):
