@@ -8,7 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import assignment, feeds, ranks, samples, voice_queries
+from .operators import assignment, feeds, listing_queries, ranks, samples, voice_queries
 from .operators import queries as programs
 from .plans import dialect, domain, planner, relational, scalar
 from .plans.adapters import VIEWS
@@ -30,7 +30,7 @@ def catalog() -> dict[str, Item]:
         found[function.__name__] = Item(function, dialect.oracle(text, VIEWS) if text else None)
     for key, (run, text) in (assignment.QUERIES | feeds.QUERIES | ranks.QUERIES).items():
         found[key] = Item(run, dialect.oracle(text, VIEWS))
-    for key, (run, text) in voice_queries.QUERIES.items():  # plain SQL of the other engine
+    for key, (run, text) in (voice_queries.QUERIES | listing_queries.QUERIES).items():  # plain SQL of the other engine
         found[key] = Item(run, text)
     found |= {key: Item(run) for key, run in samples.QUERIES.items()}
     return found

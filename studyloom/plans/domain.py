@@ -118,9 +118,5 @@ PLANS: dict[str, str] = {
     "stm_row_trigger": "select id, @SUBSTR(name, 1, 100) as name, length(name) <= 100 as valid from objects",
     "src_llm_json": "select event_id, cast(@JSON(replace(replace(v, '```json', ''), '```', ''), '$.k') as bigint) as k from (select event_id, '```json ' || props || '```' as v from events) x",
     # ---- object listing
-    "obj_list_delimiter": "select distinct case when contains(substring(name, 5, 400), '/') then substring(name, 1, cast(4 + @FIND(substring(name, 5, 400), '/') as int)) else name end as entry, contains(substring(name, 5, 400), '/') as is_folder from objects order by entry limit 100",
-    "obj_search": "select entry, cast(min(id) as bigint) as id, count(*) as n from (select lower(split_part(name, '/', 1)) as entry, id from objects where lower(name) like '%e%') x group by entry order by entry limit 50 offset 5",
-    "obj_search_by_timestamp": "select folder, first_id from (select split_part(name, '/', 1) as folder, min(id) as first_id from objects group by split_part(name, '/', 1)) x where first_id > 20 or (first_id = 20 and folder > 'm') order by first_id, folder limit 100",
-    "obj_search_v2": "select name, id from objects where lower(name) like 'b%' order by lower(name) desc, id limit 60",
     "obj_list_multipart": "select folder, id, name from (select split_part(name, '/', 1) as folder, id, name, row_number() over (partition by split_part(name, '/', 1) order by name, id) as rn from objects where bucket = 1) x where rn = 1",
 }
