@@ -6,15 +6,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans import dialect
+from ..plans import dialect, relational
 from ..plans.adapters import VIEWS
 from ..sources import writers
 from ..streaming import repetition
 from ..session import stored
-from . import consolidation, packing, pair_scores, taxonomy, text_rules
+from . import consolidation, packing, pair_scores, taxonomy, text_rules, week
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -116,14 +116,31 @@ def pln_compose_modules(spark, sf_dir):
     return packing.compose_projects(acts, None, 45.0)
 
 
-def pln_assessment_week(spark, sf_dir):
-    acts = _segments(spark, sf_dir).selectExpr("project_id", "ord", "category", "1 as topics", "cast(15 as int) as size", "1.0D as minutes")
-    return packing.compose_projects(acts, None, 60.0)
+def _week_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plans of all projects, the analytics of their categories and their topics, from what users answered and reviewed."""
+    evidence = dialect.runner(relational.PLANS["agg_category_analytics"], VIEWS)(spark, sf_dir)
+    topics = view("topics")(spark, sf_dir).where("is_display_topic").select("project_id", "category", "id", F.when(F.col("project_id") % 2 == 0, F.col("id") * 7 % 1000).alias("ord"), F.col("id").alias("seen"))
+    names = topics.select("project_id", "category").distinct()
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("category"))
+    weight = F.when(F.xxhash64("project_id", "category") % 4 == 0, 1.2)
+    analytics = names.join(evidence, "category", "left").withColumns({"ord": place, "weight": weight})
+    plans = view("projects")(spark, sf_dir).select(
+        F.col("id").alias("project_id"), F.concat(F.lit("week-"), "id").alias("week_id"), F.lit("2024-02-05").cast("date").alias("week_start"),
+        (20 + F.col("id") % 4 * 15).alias("budget_minutes"), (60 + F.col("id") % 3 * 30).alias("pace_seconds"), (F.col("id") % 6).alias("sessions"),
+    )
+    return plans, analytics, topics
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("topics", F.array_join("topics", ","))
 
 
 def pln_generate_week(spark, sf_dir):
-    packed = pln_compose_modules(spark, sf_dir)
-    return packed.groupBy("project_id", "module").agg(F.count("*").alias("activities"), F.sum("size").alias("items"))
+    return _shown(week.generate_week(*_week_inputs(spark, sf_dir)))
+
+
+def pln_assessment_week(spark, sf_dir):
+    return _shown(week.assessment_week(*_week_inputs(spark, sf_dir)))
 
 
 def stm_spaced_repetition(spark, sf_dir):
