@@ -5,12 +5,10 @@ again as the next one's docs. The last stage returns pieces of sequences, the ot
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from studyloom.llm import minhash_dedup, packing, quality_rules, secret_scan, substring_dedup
-from studyloom.llm.common import shared_dir
+from studyloom.llm.common import dropped, durable
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -50,11 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over documents, each written to the shared folder and read again; what a stage has read goes when it is
+    written, the last table when the driver's JVM ends."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir))
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs

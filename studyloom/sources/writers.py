@@ -16,17 +16,50 @@ def append(rows: DataFrame, path: str, partition: str | None = None) -> None:
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    jpath = hadoop.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def replace(rows: DataFrame, path: str) -> None:
-    """Write the new table beside the old one, then swap the folders."""
-    spark = rows.sparkSession
-    fresh, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    rows.write.parquet(fresh)
-    hpath = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hpath(path)):
-        fs.rename(hpath(path), hpath(old))
-    fs.rename(hpath(fresh), hpath(path))
-    fs.delete(hpath(old), True)
+    """Write the new table as a version of its own beside the old one, then point to it. The pointer is renamed over the old
+    one in one step, so a reader finds the old table or the new one, and one that is reading goes on; :func:`vacuum` removes
+    what is not pointed to any more."""
+    spark, version = rows.sparkSession, f"version-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{version}")
+    fresh, fs = _files(spark, f"{path}/_pointer-{version}")
+    out = fs.create(fresh)
+    out.write(bytearray(version.encode()))
+    out.close()
+    kind = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(_files(spark, f"{path}/_pointer")[0]), options)
+
+
+def _version(spark: SparkSession, path: str) -> str:
+    jpath, fs = _files(spark, f"{path}/_pointer")
+    held = fs.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
+    finally:
+        held.close()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that :func:`replace` wrote last."""
+    return spark.read.parquet(f"{path}/{_version(spark, path)}")
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Remove the versions that are not current; how many went. Only where nobody reads them any more."""
+    held, (folder, fs) = _version(spark, path), _files(spark, path)
+    old = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("version-") and f.getPath().getName() != held]
+    for jpath in old:
+        fs.delete(jpath, True)
+    return len(old)
 
 
 def replace_scope(rows: DataFrame, path: str, scope: str) -> None:

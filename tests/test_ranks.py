@@ -39,3 +39,14 @@ def test_ids_of_payloads(spark):
     got = [r.p for r in spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "n int, c string").orderBy("n").select(writers.with_id(F.col("c")).alias("p")).collect()]
     sha = lambda c: hashlib.sha256(c.encode()).hexdigest()
     assert [json.loads(p) if p else None for p in got] == [{"id": sha(cases[0]), "a": 1}, {"id": sha(cases[1]), "a": 1}, {"id": sha("{}")}, {"id": "x", "a": 1}, None, None, None, None, None]
+
+
+def test_replaced_table_is_whole_at_any_time(spark, tmp_path):
+    path = str(tmp_path / "table")
+    writers.replace(spark.range(5).toDF("id"), path)
+    reading = writers.current(spark, path)
+    writers.replace(spark.range(7).toDF("id"), path)
+    assert reading.count() == 5 and writers.current(spark, path).count() == 7
+    writers.replace(writers.current(spark, path).where("id > 1"), path)  # a table made of itself
+    assert writers.current(spark, path).count() == 5
+    assert writers.vacuum(spark, path) == 2 and writers.current(spark, path).count() == 5
