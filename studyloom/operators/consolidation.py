@@ -45,12 +45,16 @@ def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["project_id", "category", "n", "total"])
 
 
-def profiles(topics: DataFrame) -> DataFrame:
-    """project_id, category, n, total (sum of unit vectors), cohesion, centroid."""
+def sums(topics: DataFrame) -> DataFrame:
+    """project_id, category, n, total: how many vectors and their sum."""
     some = topics.mapInPandas(_partial, "project_id long, category string, n long, total array<double>")
     cells = some.select("project_id", "category", "n", F.posexplode("total").alias("at", "x")).groupBy("project_id", "category", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    whole = cells.groupBy("project_id", "category").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda c: c.x).alias("total"))
-    return whole.withColumn("size", F.sqrt(F.aggregate("total", F.lit(0.0), lambda a, x: a + x * x))).select(
+    return cells.groupBy("project_id", "category").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda c: c.x).alias("total"))
+
+
+def profiles(topics: DataFrame) -> DataFrame:
+    """project_id, category, n, total (sum of unit vectors), cohesion, centroid."""
+    return sums(topics).withColumn("size", F.sqrt(F.aggregate("total", F.lit(0.0), lambda a, x: a + x * x))).select(
         "project_id", "category", "n", "total", (F.col("size") / F.col("n")).alias("cohesion"), F.transform("total", lambda x: x / F.col("size")).alias("centroid")
     )
 
@@ -65,18 +69,23 @@ def _dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def pair_metrics(pairs: DataFrame, topics: DataFrame, known: DataFrame) -> DataFrame:
-    """``pairs`` (project_id, a, b with a < b) with n_a, n_b, centroid, affinity, lexical, alias, cohesion, loss, retention, score."""
-    for side in "ab":
-        pairs = pairs.join(known.select("project_id", F.col("category").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "total", "cohesion", "centroid"))), ["project_id", side])
-    edges = stored(pairs.withColumn("edge", F.monotonically_increasing_id()))
+def affinities(edges: DataFrame, topics: DataFrame) -> DataFrame:
+    """edge, affinity of ``edges`` (edge, project_id, a, b): the mean of each topic's best match on the other side, both ways."""
     none = F.lit(None).cast("string")
     ends = [
         edges.select("edge", "project_id", F.col(side).alias("category")).join(topics, ["project_id", "category"]).select(F.monotonically_increasing_id().alias("id"), F.col("edge").alias("project_id"), none.alias(section), F.col("v").alias("embedding"))
         for side, section in (("a", "section"), ("b", "source_section"))
     ]
     best = best_pairs(*map(stored, ends), Scoring(per_chunk=1, per_topic=1))
-    affinity = best.groupBy(F.col("project_id").alias("edge")).agg((0.5 * (F.avg(F.when(F.col("by_topic"), F.col("score"))) + F.avg(F.when(~F.col("by_topic"), F.col("score"))))).alias("affinity"))
+    return best.groupBy(F.col("project_id").alias("edge")).agg((0.5 * (F.avg(F.when(F.col("by_topic"), F.col("score"))) + F.avg(F.when(~F.col("by_topic"), F.col("score"))))).alias("affinity"))
+
+
+def pair_metrics(pairs: DataFrame, topics: DataFrame, known: DataFrame) -> DataFrame:
+    """``pairs`` (project_id, a, b with a < b) with n_a, n_b, centroid, affinity, lexical, alias, cohesion, loss, retention, score."""
+    for side in "ab":
+        pairs = pairs.join(known.select("project_id", F.col("category").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "total", "cohesion", "centroid"))), ["project_id", side])
+    edges = stored(pairs.withColumn("edge", F.monotonically_increasing_id()))
+    affinity = affinities(edges, topics)
     both = F.sqrt(F.aggregate(F.zip_with("total_a", "total_b", lambda x, y: x + y), F.lit(0.0), lambda s, x: s + x * x))
     n = F.col("n_a") + F.col("n_b")
     met = edges.join(affinity, "edge").withColumns({"centroid": _dot("centroid_a", "centroid_b"), "cohesion": both / n})
@@ -208,3 +217,27 @@ def consolidate(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = groups.mapInArrow(_targets, "project_id long, category string, target string")
     mapping = known.select("project_id", "category").join(named, ["project_id", "category"], "left").withColumn("target", F.coalesce("target", "category"))
     return mapping, audit.unionByName(refused, allowMissingColumns=True)
+
+
+def validated(ledger: DataFrame, mapping: DataFrame) -> DataFrame:
+    """project_id, rule, violations of ``mapping`` (project_id, category, target) over ``ledger`` (project_id, id, category): one row for
+    each of the eight rules and project; all are zero for a mapping that may be used."""
+    own = ledger.groupBy("project_id", "category").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("id")).alias("twice"))
+    mapped = mapping.groupBy("project_id", "category").agg(F.count("*").alias("copies"), F.max("target").alias("target"))
+    both = own.join(mapped, ["project_id", "category"], "full")
+    blank = F.col("n").isNotNull() & (F.coalesce(F.trim("target"), F.lit("")) == "")
+    per = both.groupBy("project_id").agg(
+        F.count_if(F.col("copies").isNull() | F.col("n").isNull()).alias("mapping_does_not_cover_every_category"),
+        F.coalesce(F.sum("twice"), F.lit(0)).alias("duplicate_topic_ids"),
+        F.coalesce(F.sum(F.when(blank, F.col("n"))), F.lit(0)).alias("topic_without_final_category"),
+        F.coalesce(F.sum(F.when(F.col("copies") > 1, F.col("n"))), F.lit(0)).alias("topic_assigned_more_than_once"),
+        F.greatest(F.countDistinct(F.when(F.col("n").isNotNull() & ~blank, F.col("target"))) - F.countDistinct(F.when(F.col("n").isNotNull(), F.col("category"))), F.lit(0)).alias("category_count_increased"),
+    )
+    total = own.groupBy("project_id").agg(F.least(F.greatest(F.max("n"), F.ceil(F.sum("n") * MERGE["fraction"])), F.lit(MERGE["most"])).alias("most"))
+    final = both.where(F.col("target").isNotNull()).groupBy("project_id", "target").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("category") == F.col("target")).alias("own_name"))
+    ends = final.join(total, "project_id", "left").groupBy("project_id").agg(
+        F.count_if(F.col("n") == 0).alias("empty_category"), F.count_if(F.col("n") > F.col("most")).alias("category_size_limit_exceeded"), F.count_if(F.col("own_name") == 0).alias("name_is_none_of_its_categories")
+    )
+    rows = per.join(ends, "project_id", "left")
+    rules = [c for c in rows.columns if c != "project_id"]
+    return rows.select("project_id", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.coalesce(r, F.lit(0)).cast("long").alias("violations")) for r in rules))).alias("x")).select("project_id", "x.rule", "x.violations")

@@ -57,7 +57,7 @@ def dom_chunk_paragraph(spark, sf_dir):
 
 def _named_ledger(spark, sf_dir) -> DataFrame:
     """Topics under names of several words, in four projects."""
-    text = "select e.vec_id % 4 as project_id, upper(concat('field ', e.label, ' ', split_part(p.p_type, ' ', 2))) as category, e.embedding from embeddings e join part p on p.p_partkey = e.vec_id"
+    text = "select e.vec_id % 4 as project_id, upper(concat('field ', e.label, ' ', split_part(p.p_type, ' ', 2))) as category, e.vec_id as id, e.embedding from embeddings e join part p on p.p_partkey = e.vec_id"
     return dialect.runner(text, {})(spark, sf_dir)
 
 
@@ -69,6 +69,40 @@ def dom_consolidation_audit(spark, sf_dir):
     return consolidation.consolidate(_named_ledger(spark, sf_dir))[1]
 
 
+def dom_canonical_name(spark, sf_dir):
+    """The categories that went together, each with the name its group goes by."""
+    mapping = dom_consolidate(spark, sf_dir)
+    groups = mapping.groupBy("project_id", "target").agg(F.count("*").alias("members")).where("members > 1")
+    return mapping.join(groups, ["project_id", "target"]).select("project_id", "target", "category", "members")
+
+
+def dom_validate_consolidation(spark, sf_dir):
+    ledger = _named_ledger(spark, sf_dir)
+    mapping = stored(consolidation.consolidate(ledger)[0])
+    return consolidation.validated(ledger.select("project_id", "id", "category"), mapping)
+
+
+def _raw(spark, sf_dir) -> DataFrame:
+    return view("ledger")(spark, sf_dir).select(F.lit(0).cast("long").alias("project_id"), "category", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+def jon_reciprocal_knn(spark, sf_dir):
+    # the mean of all inner products of two categories is the inner product of their means
+    known = stored(consolidation.sums(_raw(spark, sf_dir)).select("project_id", "category", F.transform("total", lambda x: x / F.col("n")).alias("centroid")))
+    pairs = consolidation.nearest(known)
+    for side in "ab":
+        pairs = pairs.join(known.select(F.col("category").alias(side), F.col("centroid").alias(f"m_{side}")), side)
+    return pairs.select("a", "b", F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("sim"))
+
+
+def vec_affinity(spark, sf_dir):
+    topics = stored(_raw(spark, sf_dir))
+    names = topics.select("project_id", "category").distinct()
+    pairs = names.select("project_id", F.col("category").alias("a")).join(names.select("project_id", F.col("category").alias("b")), "project_id").where("a < b")  # the feature is all pairs of categories
+    edges = stored(pairs.withColumn("edge", F.monotonically_increasing_id()))
+    return edges.join(consolidation.affinities(edges, topics), "edge").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "affinity")
+
+
 def _profiled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     topics = stored(consolidation.unit_topics(view("ledger")(spark, sf_dir).withColumn("project_id", F.lit(0))))
     return topics, stored(consolidation.profiles(topics))
@@ -257,6 +291,10 @@ QUERIES: dict[Callable, str | None] = {
     str_role_fold: None,
     dom_chunk_paragraph: None,
     dom_consolidate: None,
+    dom_canonical_name: None,
+    dom_validate_consolidation: "select p.project_id, r.rule, cast(0 as bigint) as violations from (select distinct vec_id % 4 as project_id from embeddings e join part on p_partkey = vec_id) p cross join (select unnest(['mapping_does_not_cover_every_category', 'duplicate_topic_ids', 'topic_without_final_category', 'topic_assigned_more_than_once', 'category_count_increased', 'empty_category', 'category_size_limit_exceeded', 'name_is_none_of_its_categories']) as rule) r",
+    jon_reciprocal_knn: "with s as (select l.category as a, r.category as b, avg(@DOT(l.embedding, r.embedding)) as sim from ledger l join ledger r on l.category <> r.category group by l.category, r.category), k as (select a, b, sim from (select *, row_number() over (partition by a order by sim desc, b) as rn from s) x where rn <= 2) select x.a, x.b, x.sim from k x join k y on y.a = x.b and y.b = x.a where x.a < x.b",
+    vec_affinity: "with p as (select a.category as ca, b.category as cb, a.id as ia, b.id as ib, @DOT(a.embedding, b.embedding) as s from ledger a join ledger b on a.category < b.category) select x.ca, x.cb, (x.m + y.m) / 2 as affinity from (select ca, cb, avg(m) as m from (select ca, cb, ia, max(s) as m from p group by ca, cb, ia) u group by ca, cb) x join (select ca, cb, avg(m) as m from (select ca, cb, ib, max(s) as m from p group by ca, cb, ib) v group by ca, cb) y on x.ca = y.ca and x.cb = y.cb",
     dom_consolidation_audit: None,
     dom_category_profiles: _PROFILES
     + "select category, n as topics, round_even(size / n, 9) as cohesion, round_even(coalesce(1 - least_alike, 0), 9) as spread, round_even(s[1] / size, 9) as first, round_even(s[64] / size, 9) as last from known left join (select a.category, min(list_inner_product(a.v, b.v)) as least_alike from units a join units b on a.category = b.category and a.id < b.id group by a.category) using (category)",

@@ -101,8 +101,6 @@ PLANS: dict[str, str] = {
     "dom_vector_search": "select c.id as chunk_id, c.section, @L2(c.embedding, t.embedding) as distance from vchunks c cross join (select embedding from vtopics where id = 11) t order by distance, chunk_id limit 12",
     "dom_chat_query": "select conv_id, @LISTAGG(text, ' ', turn) as query from (select conv_id, turn, text, row_number() over (partition by conv_id order by turn desc) as rn from conversations where role = 'user') x where rn <= 2 group by conv_id",
     "dom_rebalance_taxonomy": "select t.id, case when n.n >= 2 then t.category else s.strongest end as category from (select id, case when id % 40 = 7 then 'lone ' || cast(id as varchar(20)) else category end as category from topics) t join (select category, count(*) as n from (select case when id % 40 = 7 then 'lone ' || cast(id as varchar(20)) else category end as category from topics) u group by category) n on n.category = t.category cross join (select category as strongest from (select category, count(*) as n from (select case when id % 40 = 7 then 'lone ' || cast(id as varchar(20)) else category end as category from topics) v group by category) w order by n desc, category limit 1) s",
-    "dom_canonical_name": "select grp, name from (select grp, category as name, row_number() over (partition by grp order by length(category), n desc, category) as rn from (select substring(category, 1, 7) as grp, category, count(*) as n from topics group by substring(category, 1, 7), category) x) y where rn = 1",
-    "dom_validate_consolidation": "select count(*) filter (where target is null) as unmapped, count(*) filter (where target = '') as blank, count(distinct category) as categories, count(distinct target) as targets, count(*) as topics from (select category, substring(category, 1, 7) as target from topics) x",
     "dom_audit_reorg": "select coalesce(e.id, a.id) as id, a.id is null as missing, e.id is null as unknown, coalesce(a.n, 0) > 1 as duplicate, a.targets from (select id from topics where project_id = 5) e full outer join (select id % 300 as id, count(*) as n, count(distinct category) as targets from topics where project_id in (5, 6) group by id % 300) a on a.id = e.id",
     "dom_hard_reasoning": f"select conv_id, turn, recall and not relational as direct_recall_opening, stem < {STEM_WORDS} as stem_too_short_for_hard_reasoning, explained < {EXPLANATION_WORDS} as explanation_does_not_show_two_step_reasoning, not (recall and not relational) and stem >= {STEM_WORDS} and explained >= {EXPLANATION_WORDS} as valid, relational, connector and explained > 0 as connector_present, explained as explanation_words from (select conv_id, turn, {starts('lower(question)', RECALL)} as recall, {says('lower(question)', RELATIONAL)} as relational, {says('lower(explanation)', CONNECTORS)} as connector, {_WORDS % 'question'} as stem, case when explanation = '' then 0 else {_WORDS % 'explanation'} end as explained from {_QUESTIONS} q) x",
     "dom_reasoning_score": f"select conv_id, turn, 3 * case when {says('lower(question)', SCENARIO)} then 1 else 0 end + 2 * case when {says('lower(question)', CAUSAL)} then 1 else 0 end + case when {_WORDS % 'question'} > 18 then 1 else 0 end - 5 * case when {says('lower(question)', PLAIN)} then 1 else 0 end as score from {_QUESTIONS} q",

@@ -30,5 +30,4 @@ PLANS: dict[str, str] = {
     "jon_lateral_json_each": "select event_id, cast(@JSON(props, '$.k') as bigint) as v from events where @JSON(props, '$.k') is not null",
     "jon_lateral_unnest": "select doc_id, w from (select doc_id, @EXPLODE(@SPLIT(text, ' ')) as w from documents) x where w <> ''",
     "jon_left_json_pk": "select x.event_id, x.col, p.pk is not null as is_pkey from (select event_id, @EXPLODE(@ARRAY('event_id', 'user_id', 'value')) as col from events) x left join (select event_id, case when event_type = 'signup' then 'user_id' else 'event_id' end as pk from events where event_type <> 'error') p on p.event_id = x.event_id and p.pk = x.col",
-    "jon_reciprocal_knn": "with s as (select l.category as a, r.category as b, avg(@DOT(l.embedding, r.embedding)) as sim from ledger l join ledger r on l.category <> r.category group by l.category, r.category), k as (select a, b, sim from (select *, row_number() over (partition by a order by sim desc, b) as rn from s) x where rn <= 2) select x.a, x.b, x.sim from k x join k y on y.a = x.b and y.b = x.a where x.a < x.b",
 }

@@ -9,7 +9,7 @@ SUFFIXES = ("zioni", "zione", "iche", "ici", "ale", "ali", "ica", "ico", "i", "e
 NOISE = ("a", "an", "and", "case", "cases", "casi", "dei", "del", "della", "delle", "dell", "di", "e", "example", "examples", "general", "generale", "in", "of", "overview", "panoramica", "the", "tipi", "tipologie", "type", "types")
 GENERIC = ("general", "generale", "overview", "panoramica", "case", "cases", "casi", "type", "types", "tipi", "tipologie")
 ANATOMY = ("upper limb", "lower limb", "shoulder", "arm", "forearm", "hand", "hip", "thigh", "leg", "foot", "pelvis")
-# question openings and what replaces them, first match
+# fixed values: question openings and what replaces them, first match
 OPENINGS = (
     ("What is the role of", "During a system response,"),
     ("What is the primary role of", "In the context of a changing system,"),
@@ -142,7 +142,6 @@ PLANS: dict[str, str] = {
     "vec_centroid": "select label, i, avg(cast(@AT(embedding, cast(i as int)) as double)) as mean from (select label, embedding, @EXPLODE(@RANGE(1, 64, 1)) as i from embeddings) x group by label, i",
     # mean similarity to the unit centroid is the length of the mean of unit vectors
     "vec_cohesion_spread": "select c.category, c.cohesion, coalesce(1 - p.least, cast(0 as double)) as spread from (select category, sqrt(sum(m * m)) as cohesion from (select category, pos, avg(@AT(unit, cast(pos as int))) as m from (select category, unit, @EXPLODE(@RANGE(cast(1 as bigint), @SIZE(unit), cast(1 as bigint))) as pos from (select category, @MAP(embedding, v -> cast(v as double) / norm) as unit from (select category, embedding, sqrt(@DOT(embedding, embedding)) as norm from ledger) n) u) e group by category, pos) g group by category) c left join (select a.category, min(@DOT(a.embedding, b.embedding) / sqrt(@DOT(a.embedding, a.embedding) * @DOT(b.embedding, b.embedding))) as least from ledger a join ledger b on a.category = b.category and a.id < b.id group by a.category) p on p.category = c.category",
-    "vec_affinity": "with p as (select a.category as ca, b.category as cb, a.id as ia, b.id as ib, @DOT(a.embedding, b.embedding) as s from ledger a join ledger b on a.category < b.category) select x.ca, x.cb, (x.m + y.m) / 2 as affinity from (select ca, cb, avg(m) as m from (select ca, cb, ia, max(s) as m from p group by ca, cb, ia) u group by ca, cb) x join (select ca, cb, avg(m) as m from (select ca, cb, ib, max(s) as m from p group by ca, cb, ib) v group by ca, cb) y on x.ca = y.ca and x.cb = y.cb",
     "vec_final_score": "select c.id as chunk_id, t.id as topic_id, @DOT(c.embedding, t.embedding) + case when coalesce(c.section, '') = coalesce(t.source_section, '') then 0.20 else 0 end + 0.05 * @SIZE(@FILTER(@SPLIT(t.topic, ' '), w -> length(w) > 4 and contains(c.chunk_text, w))) as score from vchunks c join vtopics t on t.project_id = c.project_id",
     # ---- arrays, maps, JSON, casts
     "arr_slice_windows": "select doc_id, pos, @SUBSTR(clean, cast(pos * 1000 + 1 as int), 1200) as win from (select doc_id, clean, @EXPLODE(@RANGE(cast(0 as bigint), cast(@INTDIV(greatest(length(clean), 1) - 1, 1000) as bigint), cast(1 as bigint))) as pos from doc_text) x where length(clean) > 0",

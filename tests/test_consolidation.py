@@ -116,3 +116,22 @@ def test_no_categories_and_zero_vectors(spark):
     assert [tuple(r) for r in mapping.collect()] == [(1, "A", "A")] and audit.collect() == []
     with pytest.raises(Exception, match="zero or missing embedding"):
         consolidation.consolidate(spark.createDataFrame([(1, "A", [0.0, 0.0])], schema))
+
+
+def test_validation_counts_what_is_broken(spark):
+    ledger = spark.createDataFrame([(1, i, "A" if i < 3 else "B") for i in range(5)] + [(1, 4, "B"), (2, 1, "C"), (2, 2, "D")], "project_id long, id long, category string")
+    schema = "project_id long, category string, target string"
+    broken = lambda rows: {(r.project_id, r.rule): r.violations for r in consolidation.validated(ledger, spark.createDataFrame(rows, schema)).collect() if r.violations}
+    good = [(1, "A", "A"), (1, "B", "B"), (2, "C", "C"), (2, "D", "D")]
+    assert broken(good) == {(1, "duplicate_topic_ids"): 1}
+    assert broken([(1, "A", "A"), (2, "C", "C"), (2, "D", " "), (2, "X", "Y")]) == {
+        (1, "duplicate_topic_ids"): 1,
+        (1, "mapping_does_not_cover_every_category"): 1,
+        (1, "topic_without_final_category"): 3,
+        (2, "mapping_does_not_cover_every_category"): 1,
+        (2, "topic_without_final_category"): 1,
+        (2, "empty_category"): 1,
+        (2, "name_is_none_of_its_categories"): 2,
+    }
+    assert broken([*good, (2, "D", "C")])[2, "topic_assigned_more_than_once"] == 1
+    assert broken([(1, "A", "A"), (1, "B", "A"), (2, "C", "C"), (2, "D", "C")])[1, "category_size_limit_exceeded"] == 1
