@@ -70,9 +70,9 @@ def dom_consolidation_audit(spark, sf_dir):
 
 
 def dom_canonical_name(spark, sf_dir):
-    """The categories that went together, each with the name its group goes by."""
+    """Each category with the name its group goes by and the group's categories."""
     mapping = dom_consolidate(spark, sf_dir)
-    groups = mapping.groupBy("project_id", "target").agg(F.count("*").alias("members")).where("members > 1")
+    groups = mapping.groupBy("project_id", "target").agg(F.count("*").alias("members"))
     return mapping.join(groups, ["project_id", "target"]).select("project_id", "target", "category", "members")
 
 
@@ -306,7 +306,7 @@ QUERIES: dict[Callable, str | None] = {
     pln_compose_modules: None,
     pln_assessment_week: None,
     pln_generate_week: None,
-    stm_spaced_repetition: "with recursive r as (select flashcard_id, reviewed_at, is_correct, difficulty, row_number() over (partition by flashcard_id order by reviewed_at, id) as rn, count(*) over (partition by flashcard_id) as n, max(reviewed_at) over (partition by flashcard_id) as last_review from reviews), f as (select flashcard_id, rn, n, last_review, case when not is_correct then 1 when difficulty = 1 then 1 when difficulty = 2 then 2 when difficulty = 3 then 2 else 4 end as d from r where rn = 1 union all select r.flashcard_id, r.rn, r.n, r.last_review, least(3650, case when not r.is_correct then 1 when r.difficulty = 1 then greatest(1, f.d // 2) when r.difficulty = 2 then f.d + 1 when r.difficulty = 3 then f.d * 2 else f.d + 3 end) from r join f on f.flashcard_id = r.flashcard_id and r.rn = f.rn + 1) select flashcard_id, n as n_reviews, last_review, cast(d as integer) as interval_days, last_review + to_days(cast(d as integer)) as next_review from f where rn = n",
+    stm_spaced_repetition: "with recursive r as (select flashcard_id, reviewed_at, is_correct, difficulty, row_number() over (partition by flashcard_id order by reviewed_at, id) as rn, count(*) over (partition by flashcard_id) as n, max(reviewed_at) over (partition by flashcard_id) as last_review from reviews), f as (select flashcard_id, rn, n, last_review, case when not is_correct then 1 when difficulty = 1 then 1 when difficulty = 2 then 2 when difficulty = 3 then 2 else 4 end::bigint as d from r where rn = 1 union all select r.flashcard_id, r.rn, r.n, r.last_review, least(2305843009213693952, case when not r.is_correct then 1 when r.difficulty = 1 then greatest(1, f.d // 2) when r.difficulty = 2 then f.d + 1 when r.difficulty = 3 then f.d * 2 else f.d + 3 end) from r join f on f.flashcard_id = r.flashcard_id and r.rn = f.rn + 1) select flashcard_id, n as n_reviews, last_review, d as interval_days, case when d <= 2900000 then last_review + to_days(cast(d as integer)) end as next_review from f where rn = n",
     stm_windowed_activity: "select date_trunc('hour', ts) as begins, event_type, count(*) as n, sum(value) as total from events group by date_trunc('hour', ts), event_type",
     snk_delete_project: "select id, project_id from topics where project_id not between 3 and 7",
     snk_delete_document: "select id, project_id, doc_title from chunks where not ((project_id = 3 and doc_title = 'doc 3.pdf') or (project_id = 5 and doc_title = 'doc 5.pdf'))",

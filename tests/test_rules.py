@@ -118,3 +118,11 @@ def test_reference_queries_use_whole_tables(spark, tmp_path):
     small = "/root/testdata/sf0.001"
     lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
     assert run("srt_question_order", small).count() == lines and run("set_union_all", small).where("kind = 'quiz'").count() == lines
+
+
+def test_long_intervals_have_no_end_and_no_date(spark):
+    rows = [(n, card, f"2024-01-{1 + n % 28:02d} 00:00:{n:02d}", True, 3) for card, times in ((1, 12), (2, 40), (3, 59)) for n in range(times)]
+    df = spark.createDataFrame(rows, "id long, flashcard_id long, reviewed_at string, is_correct boolean, difficulty long").selectExpr("id", "flashcard_id", "timestamp '2024-01-01' + make_dt_interval(0, 0, 0, id) as reviewed_at", "is_correct", "difficulty")
+    got = {r.flashcard_id: (r.interval_days, r.next_review) for r in repetition.intervals(df).collect()}
+    assert got[1][0] == 2**12 and got[1][1] is not None
+    assert got[2] == (2**40, None) and got[3] == (2**59, None)
