@@ -105,7 +105,7 @@ PLANS: dict[str, str] = {
     "str_name_quality": f"select raw, case when @SIZE(@FILTER(tokens, w -> w in ({listed(GENERIC)}))) > 0 then 1 else 0 end as generic, @SIZE(@FILTER(tokens, w -> w in ({listed(NOISE)}))) as noise, @SIZE(tokens) as n_tokens from {_TOKENS} t",
     "str_keyword_overlap": "select t.id as topic_id, c.id as chunk_id, @SIZE(@FILTER(@SPLIT(t.topic, ' '), w -> length(w) > 4 and contains(c.chunk_text, w))) as n from vtopics t join vchunks c on c.project_id = t.project_id",
     "str_bcp47": "select doc_id, lower(split_part(tag, '-', 1)) || case when @SIZE(@SPLIT(tag, '-')) > 1 then '-' || @JOIN(@MAP(@SLICE(@SPLIT(tag, '-'), 2, 8), w -> case when @MATCH(w, '^[A-Za-z]{4}$') then upper(substring(w, 1, 1)) || lower(substring(w, 2, 3)) when @MATCH(w, '^([A-Za-z]{2}|[0-9]{3})$') then upper(w) else lower(w) end), '-') else '' end as canonical from (select doc_id, trim(both '-' from @RX(replace(case doc_id % 6 when 0 then upper(lang) when 1 then lang || '_' || lang when 2 then upper(lang) || '-lATN' when 3 then lang || '_LATN_us' when 4 then lang || '--419-x1b' else '_' || upper(lang) || '-POSIX_' end, '_', '-'), '-+', '-')) as tag from documents) x",
-    "str_section_title": f"select doc_id, upper(trim(line)) as section from (select doc_id, pos, line, row_number() over (partition by doc_id order by pos) as rn from (select doc_id, pos, @AT(@SPLIT(text, chr(10)), cast(pos as int)) as line from (select doc_id, text, @EXPLODE(@RANGE(1, 15, 1)) as pos from documents) a) b where trim(coalesce(line, '')) <> '' and ((cast(length(trim(line)) - length(@RX(trim(line), '[A-ZÀ-ÖØ-Þ]', '')) as double) / greatest(length(trim(line)), 1) > 0.7 and @SIZE(@SPLIT(trim(line), ' ')) between 2 and 8) or {any_of('lower(line)', ANATOMY)})) c where rn = 1",
+    "str_section_title": f"select doc_id, @UPPER(trim(line)) as section from (select doc_id, pos, line, row_number() over (partition by doc_id order by pos) as rn from (select doc_id, pos, @AT(@SPLIT(text, chr(10)), cast(pos as int)) as line from (select doc_id, text, @EXPLODE(@RANGE(1, 15, 1)) as pos from documents) a) b where trim(coalesce(line, '')) <> '' and ((cast(length(trim(line)) - length(@RX(trim(line), '[A-ZÀ-ÖØ-Þ]', '')) as double) / greatest(length(trim(line)), 1) > 0.7 and @SIZE(@SPLIT(trim(line), ' ')) between 2 and 8) or {any_of('@LOWER(line)', ANATOMY)})) c where rn = 1",
     "str_question_key": "select doc_id, @JOIN(@SLICE(@SPLIT(lower(trim(@RX(text, '[\\t-\\r ]+', ' '))), ' '), 1, 8), ' ') as k from documents",
     "str_rewrite_opening": f"select v as q, case {' '.join(f"when v like '{old}%' then '{new}' || substring(v, {len(old) + 1})" for old, new in OPENINGS)} else v end as rewritten from (select text as v from conversations union all select v from @LITERALS('Why What is it', 'what is a cell', {', '.join(f"'{old} x, {old} y'" for old, _ in OPENINGS)}) l) o",
     "str_split_csv": "select id, trim(part) as part from (select id, @EXPLODE(@SPLIT(csv, ',')) as part from (select id, category || ', ' || topic as csv from topics) a) b",
