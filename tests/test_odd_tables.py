@@ -27,3 +27,24 @@ def same(spark, folder, *keys):
 def test_letters_of_several_capitals(spark, tmp_path):
     texts = ["UPPER LIMB straße\nx", "shoulder ﬁbres of ΐ and ŉ", "ABCDEF GHß ᾳ", "the HİP and the arm", "plain hand", None, ""]
     same(spark, made(tmp_path, texts, 2), "str_section_title")
+
+
+def test_copies_of_vectors_and_ids(spark, tmp_path):
+    """Several documents a vector: classes of equal chunks, and equal topics."""
+    texts = [f"alpha{i % 4} bravo{i % 3} charlie delta " * 20 for i in range(60)]
+    same(spark, made(tmp_path, texts, 12, copies=2), "win_top3_topics_per_chunk", "win_best_topic_per_chunk", "win_best_chunk_per_orphan", "srt_vector_topk_per_topic", "dom_assign_phase_a_low", "dom_learning_scope")
+
+
+def test_a_side_is_not_copied_for_every_thousand_rows_of_the_other(spark):
+    from studyloom.operators import pair_scores
+
+    seen = spark.sparkContext.accumulator(0)
+    tile = pair_scores._tile
+    pair_scores._tile = lambda how: lambda chunks, topics: (seen.add(chunks.num_rows), tile(how)(chunks, topics))[1]
+    try:
+        a = spark.range(50).selectExpr("id", "1L as project_id", "'s' as section", "array(cast(id as float), 1f) as embedding", "'' as chunk_text")
+        b = spark.range(5000).selectExpr("id", "1L as project_id", "'s' as source_section", "array(cast(id as float), 1f) as embedding", "'' as topic")
+        assert pair_scores.best_pairs(a, b, pair_scores.Scoring(per_chunk=1)).count() == 50
+    finally:
+        pair_scores._tile = tile
+    assert seen.value == 50
