@@ -8,7 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import assignment, feeds, listing_queries, ranks, samples, voice_queries
+from .operators import all_pairs, assignment, feeds, listing_queries, ranks, samples, voice_queries
 from .operators import queries as programs
 from .plans import dialect, domain, planner, relational, scalar
 from .plans.adapters import VIEWS
@@ -33,4 +33,6 @@ def catalog() -> dict[str, Item]:
     for key, (run, text) in (voice_queries.QUERIES | listing_queries.QUERIES).items():  # plain SQL of the other engine
         found[key] = Item(run, text)
     found |= {key: Item(run) for key, run in samples.QUERIES.items()}
+    for key, run in all_pairs.RUNS.items():
+        found[key] = Item(run, found[key].oracle)
     return found

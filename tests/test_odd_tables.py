@@ -48,3 +48,14 @@ def test_a_side_is_not_copied_for_every_thousand_rows_of_the_other(spark):
     finally:
         pair_scores._tile = tile
     assert seen.value == 50
+
+
+def test_pairs_of_rows_and_keys(spark, tmp_path, monkeypatch):
+    from studyloom.operators import all_pairs
+
+    monkeypatch.setattr(all_pairs, "TILE", 5)
+    texts = [f"alpha{i % 4} bravo{i % 3} charlie delta{i % 7} echoes foxtrot{i % 5} golfs hotel " * (20 if i % 6 else 1) for i in range(40)]
+    texts += [None, "", "% alpha bravos " * 20, "_x golfs " * 30, " lead " * 40, "a\\b bravo " * 20]
+    folder = made(tmp_path, texts, 46, copies=2)
+    same(spark, folder, *(key for key in all_pairs.RUNS if key not in ("flt_exists_flag", "jon_orphan_chunk_pairs")))
+    assert compare(spark, duck(folder), folder, catalog()["jon_orphan_chunk_pairs"]) in ("", "empty")
