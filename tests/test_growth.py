@@ -1,6 +1,9 @@
 """Steps that must not be done anew for every pair, component or reading."""
 
+import time
+
 from studyloom.catalog import catalog
+from studyloom.operators import all_pairs
 from test_odd_tables import made, same
 
 
@@ -12,3 +15,18 @@ def test_norms_are_not_made_for_each_component(spark, tmp_path):
     folder = made(tmp_path, ["some text"], 30, copies=2)
     same(spark, folder, "vec_cohesion_spread")
     assert "zip_with" not in plan(catalog()["vec_cohesion_spread"].run(spark, folder))
+
+
+def test_words_are_looked_for_once_a_text(spark, tmp_path, monkeypatch):
+    """A word that a text holds often, of many topics; and words that LIKE reads in several ways."""
+    monkeypatch.setattr(all_pairs, "TILE", 7)
+    heads = ["ab", "a_b", "a%b", "%", "_", "a%%", "b_%a", "__", "%_%", "a\\b", "a\\_b", "", "éa_", "b.", "[a]"]
+    texts = [f"{heads[i % len(heads)]} ab ba axb a\\b a\\zb éaß\n b. [a] " * (20 if i % 3 else 1) + "x" * (i % 5) for i in range(60)] + [f"{'quite other words ' * 20}{w}" for w in heads]
+    same(spark, made(tmp_path, texts, 75), "flt_keyword_like")
+    import pyarrow as pa
+
+    chunks = pa.table({"id": range(2000), "project_id": [1] * 2000, "words": ["a" * 1000] * 2000})
+    topics = pa.table({"id": range(500), "project_id": [1] * 500, "word": ["a"] * 500})
+    begun = time.time()
+    assert all_pairs._like(chunks, topics).num_rows == 1_000_000
+    assert time.time() - begun < 10  # 2,000,000 places, 500 topics each
