@@ -30,3 +30,16 @@ def test_words_are_looked_for_once_a_text(spark, tmp_path, monkeypatch):
     begun = time.time()
     assert all_pairs._like(chunks, topics).num_rows == 1_000_000
     assert time.time() - begun < 10  # 2,000,000 places, 500 topics each
+
+
+def test_filters_meet_a_change_once_for_all_their_subscriptions(spark):
+    from studyloom.streaming import changes
+
+    cell = "named_struct('name', '{}', 'type', 'int8', 'value', cast({} as string))".format
+    rows = spark.range(2000).selectExpr("id as change_id", "'public' as schema_name", "'notes' as table_name", "'I' as action", "timestamp '2024-01-01 00:00:00' as committed", f"array({cell('id', 'id')}, {cell('n', 'id % 1000')}) as columns", "cast(null as array<struct<name:string,type:string,value:string>>) as identity", "array('id') as pk", "true as guarded", "id % 2 as owner", "10L as size")
+    subs = spark.range(4000).selectExpr("id as subscription_id", "'public' as schema_name", "'notes' as table_name", "'*' as action_filter", "'reader' as claims_role", "cast(id as string) as claims", "array(named_struct('column_name', 'n', 'op', 'eq', 'value', cast((id + 1) % 2 + 7 as string))) as filters")
+    rights = spark.createDataFrame([("public", "notes", "reader", ["id", "n"])], "schema_name string, table_name string, claims_role string, selectable array<string>")
+    begun = time.time()
+    out = changes.fan_out(rows, subs, rights, "owner = cast(claims as bigint) % 4").select("change_id", "subscription_id").collect()
+    assert time.time() - begun < 30  # 8,000,000 pairs, of which filters let 8,000 through
+    assert {(r.change_id, r.subscription_id) for r in out} == {(c, s) for c in (7, 8, 1007, 1008) for s in range(4000) if (s + 1) % 2 + 7 == c % 1000 and c % 2 == s % 4} and len(out) == 4000
