@@ -46,13 +46,13 @@ def str_prefix_token_match(spark, sf_dir):
 
 
 def str_role_fold(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text_rules.fold_udf("text").alias("folded"))
+    return text_rules.folded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def dom_chunk_paragraph(spark, sf_dir):
     # the texts have line feeds but no blank lines: every second one stands for a paragraph's end
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace("text", "\n([^\n]*\n)?", "\n\n$1").alias("text"))
-    return docs.select("doc_id", F.posexplode(text_rules.paragraph_chunks_udf("text")).alias("pos", "chunk"))
+    return text_rules.chunked(docs)
 
 
 def _named_ledger(spark, sf_dir) -> DataFrame:

@@ -5,13 +5,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK, OVERLAP, LEAST = 1000, 200, 100
+CHUNK, OVERLAP, LEAST, ROWS = 1000, 200, 100, 256
 
 
 def fold(text: str | None) -> str:
@@ -65,16 +68,37 @@ def paragraph_chunks(text: str | None, size: int = CHUNK, overlap: int = OVERLAP
     return [c for c in out if len(c) > least]
 
 
-@F.pandas_udf(T.StringType())
-def fold_udf(s: pd.Series) -> pd.Series:
-    return s.map(fold)
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Ids and texts, few rows at a time, so that a worker holds few texts as Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            yield part.column("doc_id"), part.column("text").to_pylist()
+
+
+def folded(docs: DataFrame) -> DataFrame:
+    """doc_id, folded of ``docs`` (doc_id, text)."""
+
+    def run(batches):
+        for ids, texts in _slices(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([fold(t) for t in texts], pa.string())], ["doc_id", "folded"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("folded", T.StringType())]))
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, chunk of ``docs`` (doc_id, text)."""
+
+    def run(batches):
+        for ids, texts in _slices(batches):
+            lists = [paragraph_chunks(t) for t in texts]
+            rows = pa.array([i for i, chunks in enumerate(lists) for _ in chunks], pa.int64())
+            pos, chunks = pa.array([k for chunks in lists for k in range(len(chunks))], pa.int32()), pa.array([c for chunks in lists for c in chunks], pa.string())
+            yield pa.RecordBatch.from_arrays([ids.take(rows), pos, chunks], ["doc_id", "pos", "chunk"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("pos", T.IntegerType()), T.StructField("chunk", T.StringType())]))
 
 
 @F.pandas_udf(T.DoubleType())
 def lexical_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lexical_similarity(x or "", y or "") for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def paragraph_chunks_udf(s: pd.Series) -> pd.Series:
-    return s.map(paragraph_chunks)

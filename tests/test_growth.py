@@ -43,3 +43,25 @@ def test_filters_meet_a_change_once_for_all_their_subscriptions(spark):
     out = changes.fan_out(rows, subs, rights, "owner = cast(claims as bigint) % 4").select("change_id", "subscription_id").collect()
     assert time.time() - begun < 30  # 8,000,000 pairs, of which filters let 8,000 through
     assert {(r.change_id, r.subscription_id) for r in out} == {(c, s) for c in (7, 8, 1007, 1008) for s in range(4000) if (s + 1) % 2 + 7 == c % 1000 and c % 2 == s % 4} and len(out) == 4000
+
+
+def test_texts_are_taken_few_at_a_time():
+    import pyarrow as pa
+
+    from studyloom.operators import text_rules
+
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [f"text {i}" if i % 9 else None for i in range(1000)]})
+    parts = list(text_rules._slices([rows]))
+    assert max(len(texts) for _, texts in parts) <= text_rules.ROWS
+    assert [(i, t) for ids, texts in parts for i, t in zip(ids.to_pylist(), texts)] == [(i, f"text {i}" if i % 9 else None) for i in range(1000)]
+
+
+def test_folds_and_chunks_are_those_of_each_row(spark, tmp_path):
+    from studyloom.operators import text_rules
+
+    texts = [None, "", "ÀÉ ’x’  y", *("\n".join(f"line {j} " * (i + j) for j in range(i)) for i in range(30))] * 20
+    folder = made(tmp_path, texts)
+    assert {r.doc_id: r.folded for r in catalog()["str_role_fold"].run(spark, folder).collect()} == dict(enumerate(map(text_rules.fold, texts)))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(text_rules.paragraph_chunks(t))]
+    assert sorted(map(tuple, text_rules.chunked(docs).collect())) == want
