@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators import all_pairs, assignment, feeds, listing_queries, ranks, samples, voice_queries
 from .operators import queries as programs
 from .plans import dialect, domain, planner, relational, scalar
-from .plans.adapters import VIEWS
+from .plans.adapters import RUN_VIEWS, VIEWS
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,7 @@ def catalog() -> dict[str, Item]:
     found: dict[str, Item] = {}
     for module in (relational, scalar, domain, planner):
         for key, text in module.PLANS.items():
-            found[key] = Item(dialect.runner(text, VIEWS), dialect.oracle(text, VIEWS))
+            found[key] = Item(dialect.runner(text, RUN_VIEWS), dialect.oracle(text, VIEWS))
     for function, text in programs.QUERIES.items():
         found[function.__name__] = Item(function, dialect.oracle(text, VIEWS) if text else None)
     for key, (run, text) in (assignment.QUERIES | feeds.QUERIES | ranks.QUERIES).items():

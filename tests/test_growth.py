@@ -65,3 +65,11 @@ def test_folds_and_chunks_are_those_of_each_row(spark, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     want = [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(text_rules.paragraph_chunks(t))]
     assert sorted(map(tuple, text_rules.chunked(docs).collect())) == want
+
+
+def test_whole_texts_are_not_moved_for_the_names_of_topics(spark, tmp_path):
+    from studyloom.operators import assignment
+
+    lines = plan(assignment._view("vtopics", spark, made(tmp_path, ["Some text"] * 5, 5))).splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert any("substring(text" in line for line in lines[join:])
