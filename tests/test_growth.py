@@ -73,3 +73,32 @@ def test_whole_texts_are_not_moved_for_the_names_of_topics(spark, tmp_path):
     lines = plan(assignment._view("vtopics", spark, made(tmp_path, ["Some text"] * 5, 5))).splitlines()
     join = next(i for i, line in enumerate(lines) if "Join" in line)
     assert any("substring(text" in line for line in lines[join:])
+
+
+LINKS = ("snk_bulk_links", "stm_dedup_chunks")
+
+
+def test_links_are_dealt_out_and_written_in_few_bytes(spark, tmp_path):
+    """Pairs of few ids go to all cores, and lists that repeat take next to nothing in files."""
+    folder = made(tmp_path, ["words of a text " * 700] * 700, 700, labels=1)
+    for key in LINKS:
+        df = catalog()[key].run(spark, folder)
+        df.write.parquet(out := f"{tmp_path}/{key}")
+        rows, parts = spark.read.parquet(out), list(tmp_path.glob(f"{key}/part-*"))
+        assert rows.count() == 700 * 14 * 140 and len(parts) >= 4
+        assert sum(p.stat().st_size for p in parts) < rows.count()  # of two ids each
+
+
+def test_links_of_ids_with_several_keys_and_with_none(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name, value in (("BLOCK", 3), ("CUTS", 2), ("TILE", 2), ("TASK_PAIRS", 50)):
+        monkeypatch.setattr(all_pairs, name, value)
+    folder = made(tmp_path, [f"text {i} " * (20 + 90 * (i % 3)) for i in range(60)], 30)
+    held = pq.read_table(f"{folder}/embeddings.parquet").to_pylist()
+    held += [x | {"label": label} for x in held[:12] for label in (0, 1, 1, 7)] + [x | {"label": None} for x in held[20:24]]
+    for x in held[13:16]:
+        x["label"] = None
+    pq.write_table(pa.Table.from_pylist(held, pq.read_schema(f"{folder}/embeddings.parquet")), f"{folder}/embeddings.parquet")
+    same(spark, folder, *LINKS)
