@@ -75,7 +75,7 @@ def test_whole_texts_are_not_moved_for_the_names_of_topics(spark, tmp_path):
     assert any("substring(text" in line for line in lines[join:])
 
 
-LINKS = ("snk_bulk_links", "stm_dedup_chunks")
+LINKS = ("snk_bulk_links", "stm_dedup_chunks", "jon_global_scope")
 
 
 def test_links_are_dealt_out_and_written_in_few_bytes(spark, tmp_path):
