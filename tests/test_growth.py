@@ -102,3 +102,13 @@ def test_links_of_ids_with_several_keys_and_with_none(spark, tmp_path, monkeypat
         x["label"] = None
     pq.write_table(pa.Table.from_pylist(held, pq.read_schema(f"{folder}/embeddings.parquet")), f"{folder}/embeddings.parquet")
     same(spark, folder, *LINKS)
+
+
+def test_words_of_a_text_are_made_once_and_pairs_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(all_pairs, "TILE", 8)
+    texts = [" ".join(f"wordnumber{(i * j) % 37}" for j in range(9 + i % 20)) + (" İSTANBULΣ" if i % 7 == 0 else "") for i in range(120)]
+    folder = made(tmp_path, texts)
+    same(spark, folder, "str_word_overlap")
+    df = catalog()["str_word_overlap"].run(spark, folder)
+    assert "split(" not in plan(df)  # once, before the sides are read
+    assert df.rdd.getNumPartitions() >= 30  # 120 pairs of tiles
