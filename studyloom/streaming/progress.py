@@ -10,54 +10,54 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-SCHEMA = "run_id long, kind string, phase string, n long, amount long, lines long, at timestamp"
+SCHEMA = "run_id long, kind string, phase string, n long, amount long, lines long, at long"
+OUT = Row("run_id", "kind", "phase", "n", "amount", "lines", "at")
 BEAT, QUIET = 15 * 60, 60 * 60
 
 
 class Progress(StatefulProcessor):
+    """Over lines (run_id, phase, amount, at); times are milliseconds. Plain rows: a table of pandas for each run and
+    each question to the state cost far more than the few lines of a run. A run has one timer, whose time is in its state."""
+
     def __init__(self, beat: int, quiet: int):
         self.beat, self.quiet = beat * 1000, quiet * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "lines long, last long")
-
-    def _rows(self, key, kind: str, cells: list[tuple], lines: int, at: int) -> pd.DataFrame:
-        when = pd.Timestamp(at, unit="ms")
-        return pd.DataFrame([(key[0], kind, p, n, amount, lines, when) for p, n, amount in cells], columns=["run_id", "kind", "phase", "n", "amount", "lines", "at"])
-
-    def _wake(self, at: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, (tuple, list)) else timer)
-        self.handle.registerTimer(at)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        lines, last = self.run.get() if self.run.exists() else (0, 0)
-        got: dict[str, list[int]] = {}
-        for part in rows:
-            for phase, amounts in part.groupby("phase", dropna=False)["amount"]:
-                held = got.setdefault(phase, [0, 0])
-                held[0], held[1] = held[0] + len(amounts), held[1] + int(amounts.sum())
-            lines += len(part)
-            last = max(last, int(part["ts"].max().timestamp() * 1000))
-        self.run.update((lines, last))
-        self._wake(last + self.beat)
-        yield self._rows(key, "progress", [(p, *x) for p, x in got.items()], lines, last)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        lines, last = self.run.get()
-        if at - last >= self.quiet:
-            self.run.clear()
-            yield self._rows(key, "ended", [(None, 0, 0)], lines, at)
-        else:
-            self._wake(min(at + self.beat, last + self.quiet))
-            yield self._rows(key, "waiting", [(None, 0, 0)], lines, at)
+        self.run = handle.getValueState("run", "lines long, last long, wake long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        lines, last, wake = self.run.get() or (0, 0, None)
+        got: dict[str | None, list[int]] = {}
+        for row in rows:
+            held = got.setdefault(row.phase, [0, 0])
+            held[0], held[1] = held[0] + 1, held[1] + (row.amount or 0)
+            lines, last = lines + 1, max(last, row.at or 0)
+        if wake != last + self.beat:
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(last + self.beat)
+        self.run.update((lines, last, last + self.beat))
+        for phase, (n, amount) in got.items():
+            yield OUT(key[0], "progress", phase, n, amount, lines, last)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        """All that is due by now, in however few batches; the timer that has expired goes by itself."""
+        at, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        lines, last, _ = self.run.get()
+        while at - last < self.quiet:
+            yield OUT(key[0], "waiting", None, 0, 0, lines, at)
+            at = min(at + self.beat, last + self.quiet)
+            if at > now:
+                self.handle.registerTimer(at)
+                self.run.update((lines, last, at))
+                return
+        self.run.clear()
+        yield OUT(key[0], "ended", None, 0, 0, lines, at)
 
     def close(self) -> None:
         pass
@@ -65,8 +65,8 @@ class Progress(StatefulProcessor):
 
 def progress(lines: DataFrame, late: str = "10 minutes", beat: int = BEAT, quiet: int = QUIET) -> DataFrame:
     """The feed over a stream of ``lines`` (run_id, phase, amount, ts)."""
-    held = lines.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return held.groupBy("run_id").transformWithStateInPandas(Progress(beat, quiet), SCHEMA, "Update", "EventTime")
+    held = lines.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("at", F.unix_millis("ts"))
+    return held.groupBy("run_id").transformWithState(Progress(beat, quiet), SCHEMA, "Update", "EventTime").withColumn("at", F.timestamp_millis("at"))
 
 
 def fed(lines: DataFrame, out: str, checkpoint: str, **more) -> None:

@@ -170,3 +170,57 @@ def test_pairs_equal_all_pairs(spark, how):
         got = {(r.by_topic, r.chunk_id, r.topic_id, r.score, r.rn) for r in pair_scores.best_pairs(a, b, how, *tiles).collect()}
         assert got == want
     assert pair_scores.best_pairs(a.limit(0), b, how).collect() == []
+
+
+def test_all_that_is_due_comes_in_one_batch(spark):
+    """A run that was silent for long is shown as waiting and ended by the batch whose watermark says so, with few questions to its state."""
+    asked = []
+
+    class Held:
+        def __init__(self):
+            self.value = None
+
+        def get(self):
+            asked.append("get")
+            return self.value
+
+        def update(self, value):
+            asked.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.state = set(), Held()
+
+        def getValueState(self, *_):
+            return self.state
+
+        def registerTimer(self, at):
+            asked.append("timer")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            asked.append("timer")
+            self.timers.remove(at)
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs = lambda self: self.at
+
+    from pyspark.sql import Row
+
+    run, handle = progress.Progress(15, 60), Handle()
+    run.init(handle)
+    lines = [Row(phase=p, amount=a, at=at) for p, a, at in (("x", 2, 1000), (None, 3, 5000), ("x", None, 2000))]
+    assert [tuple(r) for r in run.handleInputRows((7,), iter(lines), None)] == [(7, "progress", "x", 2, 2, 3, 5000), (7, "progress", None, 1, 3, 3, 5000)]
+    assert handle.timers == {20_000} and len(asked) <= 3
+    assert list(run.handleInputRows((7,), iter(lines[:1]), None)) == [(7, "progress", "x", 1, 2, 4, 5000)] and handle.timers == {20_000}
+    handle.timers.clear()  # as an expired one goes
+    assert [(r.kind, r.at) for r in run.handleExpiredTimer((7,), Now(40_000), Now(20_000))] == [("waiting", 20_000), ("waiting", 35_000)] and handle.timers == {50_000}
+    handle.timers.clear()
+    assert [(r.kind, r.at) for r in run.handleExpiredTimer((7,), Now(90_000), Now(50_000))] == [("waiting", 50_000), ("ended", 65_000)] and not handle.timers and handle.state.value is None
