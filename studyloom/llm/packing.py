@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, documents_only, durable, mix, schema, slices
+from .common import Rolling, documents_only, durable, given_back, mix, schema, slices
 from .tokens import library_units, spread
 
 WINDOW, SHARD, SHARD_IDS, END_ID, TEXT_BYTES = 2048, 1024, 2 << 20, 1, 2 << 20
@@ -215,6 +215,8 @@ def _packer(corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        library_units.cache_clear()  # texts are done with; a worker holds either units or shards
+        given_back()
         packer = Packer(TaskContext.get().partitionId() << 36, corpus.value)
         names: list = []
         documents: list[np.ndarray] = []
@@ -238,6 +240,8 @@ def _packer(corpus):
             packer.shard(names, documents)
         packer.finish()
         yield out()
+        del packer, names, documents
+        given_back()
 
     return run
 

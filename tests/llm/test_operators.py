@@ -11,8 +11,10 @@ import struct
 import urllib.parse
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +266,17 @@ def test_packing(docs, none):
     assert rows(packing.pack_documents(none, path)) == []
 
 
+def test_packers_hold_no_units(spark, monkeypatch):
+    import pyspark
+
+    held = tokens.library_units(vocab.path("byte_bpe_50k.json"), False)
+    held.encode(["some words"])
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([np.asarray([5, 1], "<u4").tobytes()])], ["doc_id", "ids"])
+    out = list(packing._packer(SimpleNamespace(value=packing.Corpus(np.ones(10), 1, 2)))(iter([batch])))
+    assert sum(x.num_rows for x in out) == 1 and tokens.library_units.cache_info().currsize == 0
+
+
 def test_corpus_statistics_cover_all_documents(spark):
     lists = [[5, 5, 7], [7], [70_000, 5], [1]]
     data = [(b"\0" + np.asarray(x, "<u2").tobytes() if max(x) < 65536 else np.asarray(x, "<u4").tobytes(),) for x in lists]
