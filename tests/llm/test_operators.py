@@ -231,6 +231,18 @@ def test_large_ids_and_compression():
     assert len(token_store.write_segment([text])) * 8 < 1.5 * 3.8 * len(text)
 
 
+def test_blocks_share_what_they_learn():
+    rnd = np.random.default_rng(5)
+    ids = np.minimum(rnd.zipf(1.3, 300_000) + 255, 3_000).astype(np.uint32)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    payload = token_store.write_segment([ids])
+    # no order helps beyond the counts; a block that starts alone pays for its own alphabet
+    assert len(payload) * 8 < 1.1 * len(ids) * -(share * np.log2(share)).sum()
+    assert np.array_equal(token_store.read_segment(payload)[0], ids)
+    same = [np.full(5000, 7, np.uint32)]
+    assert np.array_equal(token_store.read_segment(token_store.write_segment(same))[0], same[0])
+
+
 def test_token_store(docs, none):
     path = vocab.path("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
