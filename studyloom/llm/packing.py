@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, documents_only, durable, given_back, mix, schema, slices
+from .common import documents_only, durable, given_back, schema, slices
 from .tokens import library_units, spread
 
 WINDOW, SHARD, SHARD_IDS, END_ID, TEXT_BYTES = 2048, 1024, 2 << 20, 1, 2 << 20
@@ -178,6 +178,25 @@ class Packer:
         self.open, self.room = [], WINDOW
 
 
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_MIX = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _grams(flat: np.ndarray) -> np.ndarray:
+    """A hash for each id and the two behind it (zeros behind the last)."""
+    ids = np.zeros(len(flat) + 2, np.uint64)
+    ids[:-2] = flat
+    ids += np.uint64(7)
+    out = ids[:-2] * _MIX[0]
+    out ^= out >> np.uint64(29)
+    for step in (1, 2):
+        out += ids[step : len(flat) + step]
+        out *= _MIX[step]
+        out ^= out >> np.uint64(32)
+    out *= _MIX[3]
+    return out
+
+
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = library_units(path, False)
@@ -189,11 +208,11 @@ def _tokenize(path: str):
                 flat = np.insert(ids, first[1:], END_ID)
                 first = first + np.arange(n + 1)
                 # trigrams that begin in a document and end in it; a short one has one gram of what there is
-                ends = np.repeat(first[1:], np.diff(first))
-                at = np.arange(len(flat))
-                grams = Rolling(mix(flat.astype(np.uint64) + np.uint64(7))).of(at, np.minimum(at + 3, ends))
-                short = (at + 3 > ends) & (at > np.repeat(first[:-1], np.diff(first)))
-                grams[short] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                grams = _grams(flat)
+                last = first[1:, None] - (1, 2)
+                grams[last[last > first[:-1, None]]] = _NONE  # all but the first gram of a short one
+                few = np.flatnonzero(np.diff(first) < 3)
+                grams[first[:-1][few]] = flat[first[:-1][few]].astype(np.uint64) * _MIX[3]
                 affinity = (np.minimum.reduceat(grams, first[:-1]) >> np.uint64(1)).astype(np.int64)
                 wide = np.maximum.reduceat(flat, first[:-1]) > 65535
                 small, large, at = flat.astype("<u2"), flat.astype("<u4"), first.tolist()

@@ -289,6 +289,33 @@ def test_packers_hold_no_units(spark, monkeypatch):
     assert sum(x.num_rows for x in out) == 1 and tokens.library_units.cache_info().currsize == 0
 
 
+def test_affinities_see_a_documents_own_trigrams():
+    texts = ["one two three four", "", "a", "zzz one two three four", None, "one two three four"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts), pa.array([0] * 6)], ["doc_id", "text", "row_hash"])
+    run = packing._tokenize(vocab.path("byte_bpe_50k.json"))
+    together = [x for b in run(iter([batch])) for x in b.column("affinity").to_pylist()]
+    alone = [b.column("affinity")[0].as_py() for i in range(6) for b in run(iter([batch.slice(i, 1)]))]
+    assert together == alone and together[0] == together[5] and together[1] == together[4]
+
+
+def test_plain_units_are_told_apart():
+    texts = ["Word, word... a1b22 (x) École×2 it's naïve—no", "one\ntwo\n three\t four", " ¿qué? Ünïcode! '' ' 12.5% ÷ a≠b", "x" * 300 + " " + "é." * 40]
+    texts += [" ".join(texts) * 3, "ſK İ ß ﬁ"]
+    for name, words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        library, own = tokenizers.Tokenizer.from_file(vocab.path(name)), tokens.library_units(vocab.path(name), words)
+        units = sorted({u for t in texts for u in (tokens.word_units if words else tokens.byte_units)(t)})
+        ids, sizes = own.make(units)
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        assert [p.tolist() for p in parts] == [library.encode(u, add_special_tokens=False).ids for u in units]
+
+
+def test_pretokens_of_plain_units():
+    units = ["Word,", "a1b22", "(x)...", "École×2", "naïve", "12.5%", "ß$$$", "z"]
+    plain = [u for u in units if tokens._PLAIN_WORD.fullmatch(u)]
+    assert set(units) - set(plain) == {"École×2"}
+    assert tokens.pretokens(" ".join(plain)).tolist() == [len(tokens.WORD_PATTERN.findall(u)) for u in plain]
+
+
 def test_corpus_statistics_cover_all_documents(spark):
     lists = [[5, 5, 7], [7], [70_000, 5], [1]]
     data = [(b"\0" + np.asarray(x, "<u2").tobytes() if max(x) < 65536 else np.asarray(x, "<u4").tobytes(),) for x in lists]
