@@ -309,6 +309,16 @@ def test_plain_units_are_told_apart():
         assert [p.tolist() for p in parts] == [library.encode(u, add_special_tokens=False).ids for u in units]
 
 
+def test_words_are_units_whatever_signs_are_beside_them():
+    path = vocab.path("word_bpe_49k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), tokens.library_units(path, True)
+    texts = ["word, (word) word... *word*", "it's 'sword' ,'tis don't' a'b", "", "end", "(next) x=y≠z a1-b2", "Ée! e\u0301, =\u0338a a=\u0338", "no\n-yes", "a\x1cb,c"]
+    ids, first = own.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[first[i] : first[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+    assert sorted(own.units(texts[:1])[2]) == ["(", ")", "*", ",", "...", "word"]
+
+
 def test_pretokens_of_plain_units():
     units = ["Word,", "a1b22", "(x)...", "École×2", "naïve", "12.5%", "ß$$$", "z"]
     plain = [u for u in units if tokens._PLAIN_WORD.fullmatch(u)]
