@@ -45,6 +45,40 @@ def test_filters_meet_a_change_once_for_all_their_subscriptions(spark):
     assert {(r.change_id, r.subscription_id) for r in out} == {(c, s) for c in (7, 8, 1007, 1008) for s in range(4000) if (s + 1) % 2 + 7 == c % 1000 and c % 2 == s % 4} and len(out) == 4000
 
 
+def test_pairs_of_lists_are_made_a_piece_at_a_time(spark, monkeypatch):
+    from studyloom import lists
+
+    monkeypatch.setattr(lists, "INNER", 7)
+    monkeypatch.setattr(lists, "OUTER", 3)
+    held = [(i, [None, *range(n)] if i % 2 else list(range(n)), list(range(m))) for i, (n, m) in enumerate(((0, 5), (5, 0), (1, 1), (20, 8), (7, 3), (22, 40)))]
+    made = lists.pairs(spark.createDataFrame(held, "k long, a array<long>, b array<long>"), "a", "b", "x", "y")
+    want = sorted((repr((k, x, y)) for k, a, b in held for x in a for y in b))
+    assert made.columns == ["k", "x", "y"] and sorted(repr(tuple(r)) for r in made.collect()) == want
+    order = [line.strip(" +-:*0123456789()").split(" ")[0] for line in made._jdf.queryExecution().executedPlan().toString().splitlines()]
+    assert order.index("Sort") < [i for i, x in enumerate(order) if x == "Generate"][2]  # rows of a piece only are held at once
+
+
+def test_refused_changes_stay_lists_until_they_are_rows(spark):
+    """Few lists stand for all pairs of changes and subscriptions, nulls and repeated ids too; their rows are dealt out."""
+    from studyloom.streaming import changes
+
+    cell = "array<struct<name:string,type:string,value:string>>"
+    rows = spark.range(3000).selectExpr("nullif(id, 5) as change_id", "'public' as schema_name", "'notes' as table_name", "if(id % 2 = 0, 'I', 'U') as action", "timestamp '2024-01-01 00:00:00' as committed", f"cast(null as {cell}) as columns", f"cast(null as {cell}) as identity", "cast(array() as array<string>) as pk", "false as guarded", "10L as size")
+    subs = spark.range(600).selectExpr("nullif(id div 2, 7) as subscription_id", "'public' as schema_name", "'notes' as table_name", "case id % 3 when 0 then '*' when 1 then 'INSERT' else 'DELETE' end as action_filter", "if(id < 300, 'reader', null) as claims_role", "'{}' as claims", "cast(null as array<struct<column_name:string,op:string,value:string>>) as filters")
+    rights = spark.createDataFrame([("public", "notes", "reader", ["id"])], "schema_name string, table_name string, claims_role string, selectable array<string>")
+    found = changes.packed(rows, subs, rights).cache()
+    assert found.count() <= 20
+    out = changes.spread(found)
+    assert out.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    got = out.groupBy("subscription_id", "claims_role").count().collect()
+    want = {}
+    for i in range(600):
+        key = (None if i // 2 == 7 else i // 2, "reader" if i < 300 else None)
+        want[key] = want.get(key, 0) + (3000, 1500, 0)[i % 3]
+    assert {(r[0], r[1]): r[2] for r in got} == {k: n for k, n in want.items() if n}
+    assert out.where("change_id is null").count() == 200 and {r[0] for r in out.select("payload").distinct().collect()} == {f'{{"schema": "public", "table": "notes", "type": "{x}"}}' for x in ("INSERT", "UPDATE")}
+
+
 def test_texts_are_taken_few_at_a_time():
     import pyarrow as pa
 
