@@ -146,3 +146,32 @@ def test_words_of_a_text_are_made_once_and_pairs_dealt_out(spark, tmp_path, monk
     df = catalog()["str_word_overlap"].run(spark, folder)
     assert "split(" not in plan(df)  # once, before the sides are read
     assert df.rdd.getNumPartitions() >= 30  # 120 pairs of tiles
+
+
+def test_pairs_of_rows_take_few_bytes(spark, tmp_path):
+    """Ids are runs and lists that repeat, chunks of one text have one distance; words move as numbers."""
+    folder = made(tmp_path, [f"{'quite a number of words in texts ' * 150}and word{i}" for i in range(700)], 700, labels=40)
+    for key, most in (("jon_chunk_topic_pairs", 4), ("vec_final_score", 4), ("str_keyword_overlap", 0.5), ("set_token_jaccard", 0.8), ("vec_l2", 9.2)):
+        catalog()[key].run(spark, folder).write.parquet(out := f"{tmp_path}/{key}")
+        rows = spark.read.parquet(out).count()
+        assert rows == (700 * 699 // 2 if key in ("set_token_jaccard", "vec_l2") else 700 * 7 * 140)
+        assert sum(p.stat().st_size for p in tmp_path.glob(f"{key}/part-*")) < most * rows + 400_000, key
+    words = spark.createDataFrame([(1, ["b", "a"]), (2, ["c", "b"]), (2, ["c"]), (3, ["z"])], "id long, w array<string>")
+    found = all_pairs._numbered(words)
+    assert dict(found.dtypes)["w"] == "array<int>" and sorted(map(tuple, found.collect())) == [(1, [1, 2]), (2, [2, 3]), (2, [3]), (3, [4])]
+
+
+def test_ids_that_several_rows_have_make_no_pair(spark, tmp_path, monkeypatch):
+    """Rows of one id in two tiles, vectors of several lengths and with nulls next to equal ones."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(all_pairs, "TILE", 3)
+    monkeypatch.setattr(all_pairs, "RUN", 2)
+    held = [(i // 4, [1.0, float(i // 8)] if i % 5 else [[], None, [1.0], [None, 2.0]][i % 4]) for i in range(60)]
+    folder = made(tmp_path, ["some text"] * 3, 3)
+    pq.write_table(pa.table({"vec_id": pa.array([i for i, _ in held], pa.int64()), "embedding": pa.array([v for _, v in held], pa.list_(pa.float32())), "label": pa.array([1] * 60, pa.int32())}), f"{folder}/embeddings.parquet")
+    for key, of in (("vec_neg_inner_product", lambda x, y: -sum(p * q for p, q in zip(x, y))), ("vec_l2", lambda x, y: sum((p - q) ** 2 for p, q in zip(x, y)) ** 0.5)):
+        got = sorted((r.a, r.b, r.distance) for r in catalog()[key].run(spark, folder).collect() if r.distance is not None)
+        want = sorted((i, j, of(x, y)) for i, x in held for j, y in held if i < j and x is not None and y is not None and len(x) == len(y) and None not in x + y)
+        assert len(got) == len(want) and all(p[:2] == q[:2] and abs(p[2] - q[2]) < 1e-9 for p, q in zip(got, want))
