@@ -243,6 +243,20 @@ def test_blocks_share_what_they_learn():
     assert np.array_equal(token_store.read_segment(token_store.write_segment(same))[0], same[0])
 
 
+def test_the_coder_learns_from_every_id(monkeypatch):
+    """At each step at which it learns the model has counted all that was coded, by reading as by writing, a short lane too."""
+    made, model = [], token_store._Model
+    monkeypatch.setattr(token_store, "_Model", lambda n: made.append(model(n)) or made[-1])
+    rng = np.random.default_rng(4)
+    for lanes, short in ((1500, 700), (3, 5), (1, 900)):
+        ids = np.minimum(rng.geometric(0.01, 1024 * (lanes - 1) + short), 2000).astype(np.uint32)
+        made.clear()
+        assert np.array_equal(token_store.read_segment(token_store.write_segment([ids]))[0], ids)
+        last = 512 if lanes > 1 or short > 512 else 0
+        want = np.bincount(np.concatenate([ids[i : i + 1024][:last] for i in range(0, len(ids), 1024)]), minlength=2001)
+        assert [m.counts.tolist() for m in made] == [want[np.unique(ids)].tolist()] * 2
+
+
 def test_token_store(docs, none):
     path = vocab.path("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
